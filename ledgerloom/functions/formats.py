@@ -7,8 +7,18 @@ from pyspark.sql import Column, functions as F
 from ledgerloom.functions.values import let, number_prefix
 
 
+def fixed_even(value: Column, digits: int) -> Column:
+    """Fixed decimals of the exact binary value, an exact half to even."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def _fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    """Fixed decimals as a browser writes them: an exact half goes up.
+
+    Only k / 2**(digits + 1) with odd k is an exact half; a quarter unit more decides it.
+    """
+    half = F.pmod(value * F.lit(float(2 ** (digits + 1))), F.lit(2.0)) == 1.0
+    return fixed_even(F.when(half, value + 0.25 * 10.0**-digits).otherwise(value), digits)
 
 
 def format_usd(value: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import dims
 from ledgerloom.functions.periods import valid_period
 from ledgerloom.functions.units import unit_mismatch
-from ledgerloom.operators.resolve import company_bucket_substr, metric_dim_join
+from ledgerloom.operators.resolve import company_bucket_substr, metric_dim_join, wrong_bucket
 from ledgerloom.operators.skew import attach_by_key, count_by
 
 FINDING = ["submission_id", "level", "check", "kpi_key", "detail"]
@@ -31,14 +31,17 @@ def audit_period_format(submissions: DataFrame) -> DataFrame:
     )
 
 
-def audit_orphan(rows: DataFrame, contract_id: str = "contract_id") -> DataFrame:
-    """Rows whose submission_id is not the one of the contract they came with."""
-    wrong = rows.filter(~F.col("submission_id").eqNullSafe(F.col(contract_id)))
-    detail = F.concat(
+def orphan_detail(contract_id: str) -> Column:
+    return F.concat(
         F.lit("kpi_row.submission_id '"), F.coalesce("submission_id", F.lit("None")),
         F.lit("' does not match contract submission_id '"), F.col(contract_id), F.lit("'."),
     )
-    return _finding(wrong.withColumn("__c", F.col(contract_id)), "error", "orphan", F.col("kpi_key"), detail)
+
+
+def audit_orphan(rows: DataFrame, contract_id: str = "contract_id") -> DataFrame:
+    """Rows whose submission_id is not the one of the contract they came with."""
+    wrong = rows.filter(~F.col("submission_id").eqNullSafe(F.col(contract_id)))
+    return _finding(wrong, "error", "orphan", F.col("kpi_key"), orphan_detail(contract_id))
 
 
 def in_batch_duplicate(rows: DataFrame, order: str = "row_seq", row_id: str = "id") -> DataFrame:
@@ -74,42 +77,42 @@ def audit_duplicate(rows: DataFrame, order: str = "row_seq", row_id: str = "id")
     )
 
 
+def unknown_detail() -> Column:
+    return F.concat(
+        F.lit("Metric '"), F.col("kpi_key"),
+        F.lit("' is not registered in DIM_METRIC. It will be discarded (not persisted)."),
+    )
+
+
 def audit_unknown_metric(rows: DataFrame) -> DataFrame:
     return _finding(
-        rows.filter(~F.col("kpi_key").isin(dims.KPI_KEYS)), "error", "unknown_metric", F.col("kpi_key"),
-        F.concat(
-            F.lit("Metric '"), F.col("kpi_key"),
-            F.lit("' is not registered in DIM_METRIC. It will be discarded (not persisted)."),
-        ),
+        rows.filter(~F.col("kpi_key").isin(dims.KPI_KEYS)), "error", "unknown_metric", F.col("kpi_key"), unknown_detail()
+    )
+
+
+def bucket_detail(company: str, bucket: str) -> Column:
+    return F.concat(
+        F.lit("Metric '"), F.col("kpi_key"), F.lit("' belongs to bucket '"), F.col("metric_bucket"),
+        F.lit("' but company '"), F.col(company), F.lit("' is classified as '"), F.col(bucket), F.lit("'."),
     )
 
 
 def audit_bucket_mismatch(rows: DataFrame, company: str = "company_id", bucket: str = "bucket_id") -> DataFrame:
     """Metrics of another sector with a confidence above 0.95 (others are noise of the extraction)."""
-    wrong = metric_dim_join(rows).filter(
-        (F.col("metric_bucket") != "ALL")
-        & (F.col(bucket) != "UNKNOWN")
-        & (F.col("metric_bucket") != F.col(bucket))
-        & (F.col("confidence") > dims.CONF_BUCKET_MISMATCH)
-    )
-    return _finding(
-        wrong, "error", "bucket_mismatch", F.col("kpi_key"),
-        F.concat(
-            F.lit("Metric '"), F.col("kpi_key"), F.lit("' belongs to bucket '"), F.col("metric_bucket"),
-            F.lit("' but company '"), F.col(company), F.lit("' is classified as '"), F.col(bucket), F.lit("'."),
-        ),
+    wrong = metric_dim_join(rows).filter(wrong_bucket(bucket))
+    return _finding(wrong, "error", "bucket_mismatch", F.col("kpi_key"), bucket_detail(company, bucket))
+
+
+def unit_detail() -> Column:
+    return F.concat(
+        F.lit("Expected unit '"), F.col("unit_expected"), F.lit("' for '"), F.col("kpi_key"),
+        F.lit("', got '"), F.col("unit"), F.lit("'."),
     )
 
 
 def audit_unit(rows: DataFrame) -> DataFrame:
     wrong = metric_dim_join(rows).filter(unit_mismatch(F.col("unit"), F.col("unit_expected")))
-    return _finding(
-        wrong, "warning", "unit_mismatch", F.col("kpi_key"),
-        F.concat(
-            F.lit("Expected unit '"), F.col("unit_expected"), F.lit("' for '"), F.col("kpi_key"),
-            F.lit("', got '"), F.col("unit"), F.lit("'."),
-        ),
-    )
+    return _finding(wrong, "warning", "unit_mismatch", F.col("kpi_key"), unit_detail())
 
 
 def contract_findings(rows: DataFrame, submissions: DataFrame, mode: str = "reference") -> DataFrame:
@@ -118,21 +121,27 @@ def contract_findings(rows: DataFrame, submissions: DataFrame, mode: str = "refe
     ``rows``: KPI rows with contract_id, company_id, bucket_id, period_id. ``intended`` lets an
     unknown metric only be dropped (it becomes a warning).
     """
-    unknown = audit_unknown_metric(rows)
-    if mode == "intended":
-        unknown = unknown.withColumn("level", F.lit("warning"))
-    parts = [
-        audit_period_format(submissions),
-        audit_orphan(rows),
-        audit_duplicate(rows),
-        unknown,
-        audit_bucket_mismatch(rows),
-        audit_unit(rows),
-    ]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+    joined = metric_dim_join(rows).withColumn("__contract", F.col("contract_id"))
+    unknown_level = "warning" if mode == "intended" else "error"
+
+    def entry(test: Column, level: str, check: str, detail: Column) -> Column:
+        return F.when(
+            test, F.struct(F.lit(level).alias("level"), F.lit(check).alias("check"), detail.alias("detail"))
+        )
+
+    # the rules that look at a single row share one pass over the rows
+    per_row = F.array_compact(
+        F.array(
+            entry(~F.col("submission_id").eqNullSafe(F.col("contract_id")), "error", "orphan", orphan_detail("contract_id")),
+            entry(F.col("unit_expected").isNull(), unknown_level, "unknown_metric", unknown_detail()),
+            entry(wrong_bucket("bucket_id"), "error", "bucket_mismatch", bucket_detail("company_id", "bucket_id")),
+            entry(unit_mismatch(F.col("unit"), F.col("unit_expected")), "warning", "unit_mismatch", unit_detail()),
+        )
+    )
+    single = joined.select(F.col("__contract").alias("submission_id"), "kpi_key", F.explode(per_row).alias("f")).select(
+        "submission_id", "f.level", "f.check", "kpi_key", "f.detail"
+    )
+    return single.unionByName(audit_duplicate(rows)).unionByName(audit_period_format(submissions))
 
 
 def contract_audit(findings: DataFrame, submissions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import dims
 from ledgerloom.functions.classify import completeness_color, is_present
+from ledgerloom.functions.formats import fixed_even
 
 EXACT = "decimal(38,6)"
 
@@ -109,7 +110,7 @@ def submission_warnings(rollup: DataFrame) -> DataFrame:
             F.when(
                 F.col("avg_confidence") < dims.CONF_REVIEW,
                 F.concat(
-                    F.lit("Average confidence "), F.format_string("%.2f", "avg_confidence"),
+                    F.lit("Average confidence "), fixed_even(F.col("avg_confidence"), 2),
                     F.lit(" is below threshold 0.85. Submission flagged for human review."),
                 ),
             ),
@@ -163,7 +164,8 @@ def derive_margins(rows: DataFrame, order: str = "row_seq", mode: str = "referen
             F.array(
                 F.struct(F.lit("gross_profit_margin").alias("kpi_key"),
                          F.lit("Gross Profit Margin (calc)").alias("kpi_label"), gross.alias("ratio")),
-                F.struct(F.lit("ebitda_margin"), F.lit("EBITDA Margin (calc)"), ebitda),
+                F.struct(F.lit("ebitda_margin").alias("kpi_key"),
+                         F.lit("EBITDA Margin (calc)").alias("kpi_label"), ebitda.alias("ratio")),
             )
         ),
     ).filter(F.col("ratio").isNotNull())

@@ -18,21 +18,30 @@ def strip_code_fence(text: Column) -> Column:
 
 
 def decode(text: Column) -> Column:
-    """JSON text as VARIANT; text that is JSON inside a JSON string is parsed once more; objects only."""
-    first = F.try_parse_json(text)
-    again = F.when(
-        F.schema_of_variant(first) == "STRING", F.try_parse_json(F.try_variant_get(first, "$", "string"))
-    ).otherwise(first)
-    return F.when(F.schema_of_variant(again).startswith("OBJECT"), again)
+    """JSON text as VARIANT; text that is JSON inside a JSON string is parsed once more; objects only.
+
+    The first character tells a string and an object apart, so each row is parsed once per level.
+    """
+    quoted = F.ltrim(text).startswith('"')
+    inner = F.when(quoted, F.try_variant_get(F.try_parse_json(text), "$", "string")).otherwise(text)
+    return F.when(values.strip(inner).startswith("{"), F.try_parse_json(inner))
 
 
 def decode_json_doc(df: DataFrame, text_col: str = "raw_json", out: str = "doc", fenced: bool = False) -> DataFrame:
     """Adds the decoded document (null when it is malformed or not an object)."""
     text = F.col(text_col)
-    decoded = decode(text)
-    if fenced:
-        decoded = F.coalesce(decoded, decode(strip_code_fence(text)))
-    return df.withColumn(out, decoded)
+    return df.withColumn(out, decode(strip_code_fence(text) if fenced else text))
+
+
+def decoded_only(df: DataFrame, text_col: str = "raw_json", out: str = "doc", fenced: bool = False) -> DataFrame:
+    """The same without the undecodable rows.
+
+    Exploding an array of at most one document keeps the parse in one place; a filter on the
+    document would be pushed below it and parse every text twice.
+    """
+    text = F.col(text_col)
+    found = F.array_compact(F.array(decode(strip_code_fence(text) if fenced else text)))
+    return df.select("*", F.explode(found).alias(out))
 
 
 def dig(doc: Column, keys: list[str], kind: str = "variant") -> Column:
@@ -147,9 +156,10 @@ def explode_kpis(docs: DataFrame, doc: str = "doc", keep: list[str] | None = Non
     )
 
 
-def document_period(doc: Column, as_of_year: Column, mode: str = "reference") -> Column:
+def document_period(doc: Column, raw: Column, as_of_year: Column, mode: str = "reference") -> Column:
+    """Period of a document from its original text (key order decides ties)."""
     declared = dig(doc, [dims.CONTEXT, "period"], "string")
-    return periods.infer_period(F.to_json(doc), as_of_year, declared, mode)
+    return periods.infer_period(raw, as_of_year, declared, mode)
 
 
 def dashboard_extract(doc: Column) -> dict[str, Column]:

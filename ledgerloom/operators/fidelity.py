@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.classify import calc_origin
+from ledgerloom.functions.formats import fixed_even
 from ledgerloom.operators.contract import key_difference, present_kpis, required_kpis, sector_label
 from ledgerloom.operators.resolve import bucket_of, dim_identity_join
 from ledgerloom.operators.skew import attach_by_key
@@ -69,8 +70,8 @@ def stored_values(facts: DataFrame, order: str = "row_seq") -> DataFrame:
     return facts.groupBy("submission_id").agg(*[last(k) for k in keys], F.count(F.lit(1)).alias("__rows"))
 
 
-def margin_columns(stored: DataFrame, percent: dict[str, Column] | None = None) -> DataFrame:
-    """Recalculated margins, differences in points and status columns next to stored values."""
+def margin_columns(stored: DataFrame) -> DataFrame:
+    """Recalculated margins next to the stored values, and whether their inputs are all there."""
     rev = F.col("v_revenue")
     recalculated = {
         "gross_profit_margin": F.when(rev != 0, (rev - F.col("v_cogs")) / rev),
@@ -120,15 +121,31 @@ def recalc_margins(facts: DataFrame, order: str = "row_seq", mode: str = "refere
         .when(F.col("is_valid"), "OK")
         .otherwise("WARN")
     )
+    formula = F.create_map(*[F.lit(x) for pair in DERIVABLE.items() for x in pair])
+    pair_text = F.concat(
+        F.lit("pp — almacenado="), fixed_even(stored, 4), F.lit(" vs recalculado="), fixed_even(F.col("__value"), 4)
+    )
     finding = (
         F.when(
             key.isin(list(DERIVABLE)) & F.col("__deps") & F.col("__value").isNotNull(),
             F.when(
                 stored.isNull(),
-                F.concat(F.lit("WARN ["), key, F.lit("]: Valor no almacenado pero recalculable.")),
+                F.concat(
+                    F.lit("WARN ["), key, F.lit("]: Valor no almacenado pero recalculable = "),
+                    fixed_even(F.col("__value"), 4), F.lit("."),
+                ),
             )
-            .when(delta > 2.0, F.concat(F.lit("ERROR ["), key, F.lit("]: Discrepancia alta.")))
-            .when(delta > 0.5, F.concat(F.lit("WARN ["), key, F.lit("]: Discrepancia menor."))),
+            .when(
+                delta > 2.0,
+                F.concat(
+                    F.lit("ERROR ["), key, F.lit("]: Discrepancia alta de "), fixed_even(delta, 2), pair_text,
+                    F.lit(" ("), F.try_element_at(formula, key), F.lit(")."),
+                ),
+            )
+            .when(
+                delta > 0.5,
+                F.concat(F.lit("WARN ["), key, F.lit("]: Discrepancia menor de "), fixed_even(delta, 2), pair_text, F.lit(".")),
+            ),
         )
         .when(
             ~key.isin(list(DERIVABLE)) & (F.col("origin") == "calculated"),

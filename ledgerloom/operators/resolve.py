@@ -230,9 +230,9 @@ def metric_dim_join(facts: DataFrame) -> DataFrame:
     return facts.join(F.broadcast(dims.dim_metric(facts.sparkSession)), "kpi_key", "left")
 
 
-def bucket_mismatch(rows: DataFrame, bucket: str = "bucket_id") -> DataFrame:
-    """Rows (with metric_bucket) of another sector's metric and a confidence above 0.95."""
-    return rows.filter(
+def wrong_bucket(bucket: str = "bucket_id") -> Column:
+    """Another sector's metric with a confidence above 0.95."""
+    return (
         (F.col("metric_bucket") != "ALL")
         & (F.col(bucket) != "UNKNOWN")
         & (F.col("metric_bucket") != F.col(bucket))
@@ -240,6 +240,11 @@ def bucket_mismatch(rows: DataFrame, bucket: str = "bucket_id") -> DataFrame:
     )
 
 
+def bucket_mismatch(rows: DataFrame, bucket: str = "bucket_id") -> DataFrame:
+    """Rows (with metric_bucket) that break the sector rule."""
+    return rows.filter(wrong_bucket(bucket))
+
+
 def dim_identity_join(submissions: DataFrame, dim: DataFrame, key: str = "company_key") -> DataFrame:
     """Adds in_dim_company, bucket_in_db to submissions that carry a canonical key."""
     lookup = dim.select(F.col("company_key").alias("__key"), F.col("bucket_id").alias("bucket_in_db"))

@@ -197,8 +197,7 @@ class Tables:
     @cached_property
     def docs(self) -> DataFrame:
         """Decoded documents (fences removed); undecodable ones are left out."""
-        decoded = documents.decode_json_doc(self.raw_docs, fenced=True)
-        return decoded.filter(F.col("doc").isNotNull()).drop("raw_json")
+        return documents.decoded_only(self.raw_docs, fenced=True)
 
 
 def _spark_hash(text: str) -> str:

@@ -22,17 +22,19 @@ class Contracts:
 HEADER_INPUT = ["submission_id", "file_hash", "company_id", "founder_email", "original_filename", "submitted_at", "portfolio_id"]
 
 
-def build_contracts(docs: DataFrame, rates: DataFrame | None = None, mode: str = "reference", doc: str = "doc") -> Contracts:
-    """Contracts of all documents (``HEADER_INPUT`` columns and the decoded document).
+def build_contracts(docs: DataFrame, rates: DataFrame | None = None, mode: str = "reference", doc: str = "doc",
+                    raw: str = "raw_json") -> Contracts:
+    """Contracts of all documents (``HEADER_INPUT`` columns, the decoded document and its text).
 
     The year of ``submitted_at`` stands for the current year, so a rerun gives the same result.
     """
     year = F.year("submitted_at")
     described = docs.select(
         *HEADER_INPUT,
-        documents.document_period(F.col(doc), year, mode).alias("period_id"),
+        documents.document_period(F.col(doc), F.col(raw), year, mode).alias("period_id"),
         documents.detect_currency(F.col(doc)).alias("currency"),
         doc,
+        F.col(raw).alias("raw_gemini"),
     ).withColumn("report_year", period_year(F.col("period_id"), year))
     keep = ["submission_id", "period_id", "currency", "report_year"]
     rows = documents.explode_kpis(described.select(*keep, doc), doc, keep, mode)
@@ -40,12 +42,22 @@ def build_contracts(docs: DataFrame, rates: DataFrame | None = None, mode: str =
     derived = contract.derive_margins(rows, "ordinal", mode)
     complete = contract.append_derived(rows, derived)
     rollup = contract.submission_rollup(complete, mode)
-    headers = described.drop("report_year").withColumnRenamed("currency", "detected_currency").join(
+    headers = described.drop("report_year", doc).withColumnRenamed("currency", "detected_currency").join(
         rollup, "submission_id"
     )
     return Contracts(headers, complete, contract.integrity_warnings(rows, rollup))
 
 
+def stage_contracts(contracts: Contracts, path: str) -> Contracts:
+    """Contracts written once and read back: the audit, the duplicate check and the insert all
+    start from the staged tables instead of parsing every document again.
+    """
+    spark = contracts.headers.sparkSession
+    for name in ("rows", "headers", "warnings"):
+        getattr(contracts, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    return Contracts(*[spark.read.parquet(f"{path}/{name}") for name in ("headers", "rows", "warnings")])
+
+
 @dataclass
 class Inserted:
     """What a batch does to the store."""

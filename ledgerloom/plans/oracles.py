@@ -31,7 +31,7 @@ CTES["dim_kpi"] = _values(
      for i, (k, label, path, unit) in enumerate(dims.KPI_REGISTRY, 1)],
     "ordinal, kpi_key, kpi_label, unit_type, unit_expected, metric_bucket, section",
 )
-CTES["dim_fx"] = _values(dims.fx_rows(), "currency, year, rate")
+CTES["dim_fx"] = _values(dims.fx_rows(), "currency, year, rate").replace("SELECT *", "SELECT currency, year, CAST(rate AS DOUBLE) AS rate")
 CTES["req"] = _values(
     [(b, k, i) for b, keys in dims.SECTOR_REQUIREMENTS.items() for i, k in enumerate(keys, 1)],
     "bucket_id, kpi_key, ordinal",
@@ -86,6 +86,12 @@ SELECT d.submission_id, d.seq, d.form, d.currency, d.report_year, d.period_id, d
        coalesce(f.is_scalar, false) AS is_scalar, f.id IS NOT NULL AS has_node
 FROM docset d CROSS JOIN dim_kpi k
 LEFT JOIN first_kpi f ON f.submission_id = d.submission_id AND f.kpi_key = k.kpi_key AND d.form NOT IN ('no_metrics', 'empty')"""
+CTES["docyear"] = r"""
+SELECT submission_id, year FROM (
+  SELECT submission_id, year, row_number() OVER (PARTITION BY submission_id ORDER BY count(*) DESC, min(pos)) AS rn FROM (
+    SELECT submission_id, 0 AS pos, unnest(regexp_extract_all(period_id, '\b(20[0-9][0-9])\b', 1)) AS year FROM docset
+    UNION ALL SELECT submission_id, ordinal, unnest(regexp_extract_all(raw_value, '\b(20[0-9][0-9])\b', 1)) FROM docrows WHERE raw_value IS NOT NULL)
+  GROUP BY submission_id, year) WHERE rn = 1"""
 CTES["present"] = """
 SELECT submission_id, list_sort(list(DISTINCT kpi_key)) AS present_kpis FROM parsed
 WHERE is_valid AND kpi_key IN (SELECT kpi_key FROM dim_kpi) GROUP BY submission_id"""
@@ -95,10 +101,6 @@ SELECT h.submission_id, h.bucket_id, coalesce(p.present_kpis, []) AS present_kpi
        list_filter(r.required, lambda x: NOT list_contains(coalesce(p.present_kpis, []), x)) AS missing
 FROM (SELECT DISTINCT submission_id, bucket_id FROM subs) h LEFT JOIN present p ON h.submission_id = p.submission_id
 JOIN req_list r ON h.bucket_id = r.bucket_id"""
-CTES["stored"] = """
-SELECT submission_id,
-       arg_max(numeric_value, row_seq) FILTER (kpi_key = 'revenue') AS rev_any
-FROM parsed GROUP BY submission_id"""
 CTES["last_any"] = """
 SELECT submission_id, kpi_key, numeric_value FROM (
   SELECT *, row_number() OVER (PARTITION BY submission_id, kpi_key ORDER BY row_seq DESC) AS rn FROM parsed) WHERE rn = 1"""
@@ -182,9 +184,11 @@ def _uses(text: str) -> set[str]:
 def oracle_query(sql: str) -> str:
     """The query with every table expression it needs, in dependency order."""
     ordered: list[str] = []
+    seen: set[str] = set()
 
     def need(name: str) -> None:
-        if name not in ordered:
+        if name not in seen:
+            seen.add(name)
             for inner in sorted(_uses(CTES[name]) - {name}):
                 need(inner)
             ordered.append(name)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom import dims
 from ledgerloom.functions.text import company_from_path
-from ledgerloom.operators.documents import decode, dig
+from ledgerloom.operators.documents import decoded_only, dig
 from ledgerloom.operators.resolve import lookup_portfolio
 
 METADATA = [
@@ -30,9 +30,9 @@ def scan_json_files(spark: SparkSession, root: str, company: str | None = None)
     files = (
         spark.read.option("wholetext", True).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json").text(path)
-        .select(_relative(F.col("_metadata.file_path"), root).alias("gcs_path"), decode(F.col("value")).alias("doc"))
-        .filter(F.col("doc").isNotNull())
+        .select(_relative(F.col("_metadata.file_path"), root).alias("gcs_path"), "value")
     )
+    files = decoded_only(files, "value").drop("value")
     domain = company_from_path(F.col("gcs_path"))
     short = F.replace(F.replace(F.col("gcs_path"), F.lit(".json"), F.lit("")),
                       F.concat(F.lit("vault/"), domain, F.lit("/")), F.lit(""))
@@ -58,7 +58,7 @@ def scan_result_vault(spark: SparkSession, path: str, company: str | None = None
 
 def result_items(stored: DataFrame, names: list[tuple[str, str]] | None = None) -> DataFrame:
     """Result list: malformed documents left out, metadata defaults filled, newest first left to the caller."""
-    decoded = stored.withColumn("doc", decode(F.col("raw_json"))).filter(F.col("doc").isNotNull())
+    decoded = decoded_only(stored)
     unknown = F.lit("unknown")
     fund = F.coalesce(F.when(F.col("portfolio_id") != "", F.col("portfolio_id")), lookup_portfolio(F.col("company_domain"), names))
     return decoded.select(

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.documents import decode, explode_kpis
+from ledgerloom.operators.documents import decoded_only, explode_kpis
 from ledgerloom.operators.store import dedup_by_hash, latest_version
 
 
 def stream_ingest_results(arriving: DataFrame, raw: str = "raw_json", keep: list[str] | None = None) -> DataFrame:
     """Stateless: every arriving document becomes its 16 KPI rows; undecodable ones are left out."""
     keep = keep if keep is not None else [c for c in arriving.columns if c != raw]
-    docs = arriving.withColumn("doc", decode(F.col(raw))).filter(F.col("doc").isNotNull())
-    return explode_kpis(docs, "doc", keep)
+    return explode_kpis(decoded_only(arriving, raw), "doc", keep)
 
 
 def dedup_within_watermark(arriving: DataFrame, delay: str, time: str = "submitted_at") -> DataFrame:
