@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLANKS = " \t\n\r\x0b\x0c"
 
@@ -13,9 +13,8 @@ NO_VALUE_DASHBOARD = ["", "0", "--", "N/A", "null"]
 
 # Fixed value: the number grammar (digit groups may be joined with "_").
 _DIGITS = r"\d+(?:_\d+)*"
-NUMBER_PATTERN = (
-    rf"(?i)^([+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan))$"
-)
+_NUMBER = rf"[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)"
+SCALED_NUMBER = rf"(?i)^\s*({_NUMBER})(?:\s*[bmk]|\s*)$"
 NUMBER_PREFIX = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 SCALES = {"B": 1e9, "M": 1e6, "K": 1e3}
 
@@ -43,24 +42,46 @@ def _multiplier(letter: Column) -> Column:
     return F.try_element_at(table, letter)
 
 
-def parse_numeric(raw: Column, mode: str = "reference") -> Column:
-    """struct(value double, unit string); both null when the text is not a number.
+def _bare(raw: Column) -> Column:
+    """Text without leading signs and without its first-choice symbol (% before $)."""
+    body = F.ltrim(strip(raw), F.lit("+-"))
+    symbol = F.when(raw.contains("%"), "%").otherwise("$")
+    return F.replace(body, symbol, F.lit(""))
+
+
+def numeric_value(raw: Column, mode: str = "reference") -> Column:
+    """Number of a financial text, null when it is none; K, M and B scale it.
 
     Percentages stay in percent points. ``mode="intended"`` also rejects nan and inf. The
     "no value" texts need no test of their own: none of them is a number.
     """
-    text = strip(raw)
-    body = F.ltrim(text, F.lit("+-"))
-    percent = raw.contains("%")
-    bare = F.when(percent, F.replace(body, F.lit("%"), F.lit(""))).otherwise(F.replace(body, F.lit("$"), F.lit("")))
-    letter = _scale_letter(bare)
-    digits = strip(F.replace(F.regexp_replace(bare, "[bBmMkK]$", ""), F.lit(","), F.lit("")))
-    number = F.replace(F.regexp_extract(digits, NUMBER_PATTERN, 1), F.lit("_"), F.lit("")).try_cast("double")
+    bare = _bare(raw)
+    last = F.upper(F.right(bare, F.lit(1)))
+    scale = F.when(last == "K", 1e3).when(last == "M", 1e6).when(last == "B", 1e9).otherwise(1.0)
+    digits = F.regexp_extract(F.replace(bare, F.lit(","), F.lit("")), SCALED_NUMBER, 1)
+    number = F.replace(digits, F.lit("_"), F.lit("")).try_cast("double")
     if mode == "intended":
         number = F.when(F.abs(number) < float("inf"), number)
-    value = number * _multiplier(letter) * F.when(text.startswith("-"), -1.0).otherwise(1.0)
-    unit = F.concat(F.when(percent, "%").when(raw.contains("$"), "$").otherwise(""), letter)
-    return F.struct(value.alias("value"), F.when(value.isNotNull() & (unit != ""), unit).alias("unit"))
+    return number * scale * F.when(strip(raw).startswith("-"), -1.0).otherwise(1.0)
+
+
+def numeric_unit(raw: Column, value: Column) -> Column:
+    """Symbol and scale letter of a text that is a number (``value`` not null), null without any."""
+    symbol = F.when(raw.contains("%"), "%").when(raw.contains("$"), "$").otherwise("")
+    last = F.upper(F.right(_bare(raw), F.lit(1)))
+    unit = F.concat(symbol, F.when(last.isin("K", "M", "B"), last).otherwise(""))
+    return F.when(value.isNotNull(), F.nullif(unit, F.lit("")))
+
+
+def parse_numeric(raw: Column, mode: str = "reference") -> Column:
+    """struct(value double, unit string); both null when the text is not a number."""
+    value = numeric_value(raw, mode)
+    return F.struct(value.alias("value"), numeric_unit(raw, value).alias("unit"))
+
+
+def with_parsed(df: DataFrame, raw: Column, value: str = "numeric_value", unit: str = "unit", mode: str = "reference") -> DataFrame:
+    """Adds number and unit of a text column in two steps, so the number is computed once."""
+    return df.withColumn(value, numeric_value(raw, mode)).withColumn(unit, numeric_unit(raw, F.col(value)))
 
 
 def number_prefix(text: Column) -> Column:

@@ -125,34 +125,34 @@ def explode_kpis(docs: DataFrame, doc: str = "doc", keep: list[str] | None = Non
     )
     node = F.col("node")
     rows = docs.select(*keep, F.inline(entries)).withColumn("is_node", is_object(node))
-    return (
-        rows.withColumns(
-            {
-                "raw_value": F.when(
-                    F.col("is_node"), _scalar_text(F.try_variant_get(node, "$.value", "variant"))
-                ).otherwise(_scalar_text(node)),
-                "source_description": F.when(F.col("is_node"), F.try_variant_get(node, "$.description", "string")),
-                "confidence": F.when(F.col("is_node"), F.try_variant_get(node, "$.confidence", "double")),
-                "node_warning": F.when(
-                    ~F.col("is_node") & (_scalar_text(node).isNotNull()),
-                    F.concat(F.lit("KPI '"), F.col("kpi_key"), F.lit("' node is not a dict: "), _kind_name(node)),
-                ),
-            }
-        )
-        .withColumn("parsed", values.parse_numeric(F.col("raw_value"), mode))
-        .select(
-            *keep,
-            "ordinal",
-            "kpi_key",
-            "kpi_label",
-            "raw_value",
-            F.col("parsed.value").alias("numeric_value"),
-            units.normalize_unit(units.unit_or_default(F.col("parsed.unit"), F.col("unit_type"))).alias("unit"),
-            F.col("parsed.value").isNotNull().alias("is_valid"),
-            "confidence",
-            "source_description",
-            "node_warning",
-        )
+    read = rows.select(
+        *keep,
+        "ordinal",
+        "kpi_key",
+        "kpi_label",
+        "unit_type",
+        F.when(F.col("is_node"), _scalar_text(F.try_variant_get(node, "$.value", "variant")))
+        .otherwise(_scalar_text(node)).alias("raw_value"),
+        F.when(F.col("is_node"), F.try_variant_get(node, "$.description", "string")).alias("source_description"),
+        F.when(F.col("is_node"), F.try_variant_get(node, "$.confidence", "double")).alias("confidence"),
+        F.when(
+            ~F.col("is_node") & (F.schema_of_variant(node) != "VOID"),
+            F.concat(F.lit("KPI '"), F.col("kpi_key"), F.lit("' node is not a dict: "), _kind_name(node)),
+        ).alias("node_warning"),
+    )
+    parsed = values.with_parsed(read, F.col("raw_value"), "numeric_value", "__unit", mode)
+    return parsed.select(
+        *keep,
+        "ordinal",
+        "kpi_key",
+        "kpi_label",
+        "raw_value",
+        "numeric_value",
+        units.normalize_unit(units.unit_or_default(F.col("__unit"), F.col("unit_type"))).alias("unit"),
+        F.col("numeric_value").isNotNull().alias("is_valid"),
+        "confidence",
+        "source_description",
+        "node_warning",
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from ledgerloom.functions.values import parse_numeric, strip
+from ledgerloom.functions.values import with_parsed
 from ledgerloom.operators.resolve import lookup_portfolio
 from ledgerloom.operators.skew import attach_by_key
 
@@ -171,14 +171,13 @@ def apply_kpi_edits(facts: DataFrame, edits: DataFrame) -> DataFrame:
     """
     joined = attach_by_key(facts, last_edits(edits), ["submission_id", "kpi_key"])
     edited = F.col("new_edited_at").isNotNull()
-    parsed = parse_numeric(strip(F.col("new_raw")))
     present = set(facts.columns)
 
     def keep(name: str, kind: str) -> Column:
         return F.col(name) if name in present else F.lit(None).cast(kind)
 
     return (
-        joined.withColumn("__parsed", parsed)
+        with_parsed(joined, F.col("new_raw"), "__value", "__unit")
         .withColumns(
             {
                 "edited_raw_value": F.when(
@@ -187,12 +186,12 @@ def apply_kpi_edits(facts: DataFrame, edits: DataFrame) -> DataFrame:
                 "is_manually_edited": F.when(edited, F.lit(True)).otherwise(keep("is_manually_edited", "boolean")),
                 "edited_at": F.when(edited, F.col("new_edited_at")).otherwise(keep("edited_at", "timestamp_ntz")),
                 "raw_value": F.when(edited, F.col("new_raw")).otherwise(F.col("raw_value")),
-                "numeric_value": F.when(edited, F.col("__parsed.value")).otherwise(F.col("numeric_value")),
-                "unit": F.when(edited, F.col("__parsed.unit")).otherwise(F.col("unit")),
-                "is_valid": F.when(edited, F.col("__parsed.value").isNotNull()).otherwise(F.col("is_valid")),
+                "numeric_value": F.when(edited, F.col("__value")).otherwise(F.col("numeric_value")),
+                "unit": F.when(edited, F.col("__unit")).otherwise(F.col("unit")),
+                "is_valid": F.when(edited, F.col("__value").isNotNull()).otherwise(F.col("is_valid")),
             }
         )
-        .drop("__parsed", "new_raw", "new_edited_at", "edited_before", "before_raw")
+        .drop("__value", "__unit", "new_raw", "new_edited_at", "edited_before", "before_raw")
     )
 
 

@@ -147,16 +147,15 @@ class Tables:
         """KPI rows with number, unit and validity."""
         labels = F.create_map(*[F.lit(x) for r in dims.KPI_REGISTRY for x in (r[0], r[1])])
         pct = F.col("kpi_key").isin([r[0] for r in dims.KPI_REGISTRY if r[3] == "pct"])
-        rows = self.kpi.withColumn("parsed", values.parse_numeric(F.col("raw_value")))
-        unit = units.unit_or_default(F.col("parsed.unit"), F.when(pct, "pct").otherwise("usd"))
+        rows = values.with_parsed(self.kpi, F.col("raw_value"))
+        unit = units.unit_or_default(F.col("unit"), F.when(pct, "%").otherwise("$"))
         return rows.withColumns(
             {
                 "kpi_label": F.try_element_at(labels, F.col("kpi_key")),
-                "numeric_value": F.col("parsed.value"),
                 "unit": units.normalize_unit(unit),
-                "is_valid": F.col("parsed.value").isNotNull(),
+                "is_valid": F.col("numeric_value").isNotNull(),
             }
-        ).drop("parsed")
+        )
 
     @cached_property
     def facts(self) -> DataFrame:

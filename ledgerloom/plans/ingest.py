@@ -23,9 +23,13 @@ HEADER_INPUT = ["submission_id", "file_hash", "company_id", "founder_email", "or
 
 
 def build_contracts(docs: DataFrame, rates: DataFrame | None = None, mode: str = "reference", doc: str = "doc",
-                    raw: str = "raw_json") -> Contracts:
+                    raw: str = "raw_json", path: str | None = None) -> Contracts:
     """Contracts of all documents (``HEADER_INPUT`` columns, the decoded document and its text).
 
+    With a ``path`` the described documents and their extracted rows are written there and read
+    back: audit, duplicate check and insert start from the staged tables instead of parsing
+    every document again, and a lost executor costs no more than its own files.
+
     The year of ``submitted_at`` stands for the current year, so a rerun gives the same result.
     """
     year = F.year("submitted_at")
@@ -38,24 +42,22 @@ def build_contracts(docs: DataFrame, rates: DataFrame | None = None, mode: str =
     ).withColumn("report_year", period_year(F.col("period_id"), year))
     keep = ["submission_id", "period_id", "currency", "report_year"]
     rows = documents.explode_kpis(described.select(*keep, doc), doc, keep, mode)
+    described = described.drop(doc)
+    if path is not None:
+        rows, described = _staged(rows, f"{path}/rows"), _staged(described, f"{path}/documents")
     rows = resolve.fx_normalize(rows, rates, mode=mode).withColumn("original_currency", F.col("currency"))
     derived = contract.derive_margins(rows, "ordinal", mode)
     complete = contract.append_derived(rows, derived)
     rollup = contract.submission_rollup(complete, mode)
-    headers = described.drop("report_year", doc).withColumnRenamed("currency", "detected_currency").join(
+    headers = described.drop("report_year").withColumnRenamed("currency", "detected_currency").join(
         rollup, "submission_id"
     )
     return Contracts(headers, complete, contract.integrity_warnings(rows, rollup))
 
 
-def stage_contracts(contracts: Contracts, path: str) -> Contracts:
-    """Contracts written once and read back: the audit, the duplicate check and the insert all
-    start from the staged tables instead of parsing every document again.
-    """
-    spark = contracts.headers.sparkSession
-    for name in ("rows", "headers", "warnings"):
-        getattr(contracts, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    return Contracts(*[spark.read.parquet(f"{path}/{name}") for name in ("headers", "rows", "warnings")])
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 @dataclass

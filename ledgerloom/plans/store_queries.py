@@ -287,7 +287,7 @@ def _(t: Tables):
 
 def _inserted(t: Tables):
     """The driver's documents inserted into a store that holds every seventh submission."""
-    staged = ingest.stage_contracts(ingest.build_contracts(t.docs), work_path(t.spark, "staged"))
+    staged = ingest.build_contracts(t.docs, path=work_path(t.spark, "staged"))
     stored = store.latest_version(t.subs.filter(C("seq") % 7 == 0))
     return ingest.insert_contracts(staged, stored, NAMES)
 

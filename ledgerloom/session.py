@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(name: str = "ledgerloom", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -20,6 +20,17 @@ def local_session(name: str = "ledgerloom", cpus: int | str = "*", shuffle_parti
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    return tune(spark)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Run-time settings the plans rely on.
+
+    The Java compiler leaves methods above 8000 bytes of bytecode interpreted, so a stage
+    whose generated method is larger is better run operator by operator.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
 
 
 def work_path(spark: SparkSession, name: str) -> str:
