@@ -14,7 +14,7 @@ NO_VALUE_DASHBOARD = ["", "0", "--", "N/A", "null"]
 # Fixed value: the number grammar (digit groups may be joined with "_").
 _DIGITS = r"\d+(?:_\d+)*"
 _NUMBER = rf"[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)"
-SCALED_NUMBER = rf"(?i)^\s*({_NUMBER})(?:\s*[bmk]|\s*)$"
+WHOLE_NUMBER = rf"(?i)^\s*({_NUMBER})\s*$"
 NUMBER_PREFIX = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 SCALES = {"B": 1e9, "M": 1e6, "K": 1e3}
 
@@ -58,7 +58,8 @@ def numeric_value(raw: Column, mode: str = "reference") -> Column:
     bare = _bare(raw)
     last = F.upper(F.right(bare, F.lit(1)))
     scale = F.when(last == "K", 1e3).when(last == "M", 1e6).when(last == "B", 1e9).otherwise(1.0)
-    digits = F.regexp_extract(F.replace(bare, F.lit(","), F.lit("")), SCALED_NUMBER, 1)
+    unscaled = F.when(last.isin("K", "M", "B"), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+    digits = F.regexp_extract(F.replace(unscaled, F.lit(","), F.lit("")), WHOLE_NUMBER, 1)
     number = F.replace(digits, F.lit("_"), F.lit("")).try_cast("double")
     if mode == "intended":
         number = F.when(F.abs(number) < float("inf"), number)

@@ -64,12 +64,9 @@ def in_batch_duplicate(rows: DataFrame, order: str = "row_seq", row_id: str = "i
 
 
 def audit_duplicate(rows: DataFrame, order: str = "row_seq", row_id: str = "id") -> DataFrame:
-    """One finding per 2nd and later row of a (submission, kpi, period): counted, then spread by number."""
-    keys = ["submission_id", "kpi_key", "period_id"]
-    extra = count_by(rows, keys, "n").filter(F.col("n") > 1)
-    spread = extra.select(*keys, F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("n"))).alias("nth"))
+    """One finding per 2nd and later row of a (submission, kpi, period)."""
     return _finding(
-        spread, "error", "duplicate", F.col("kpi_key"),
+        in_batch_duplicate(rows, order, row_id).filter("is_duplicate"), "error", "duplicate", F.col("kpi_key"),
         F.concat(
             F.lit("Duplicate row detected for (kpi_key='"), F.col("kpi_key"), F.lit("', period_id='"),
             F.coalesce("period_id", F.lit("")), F.lit("'). Only one row per metric per period allowed."),
@@ -118,7 +115,7 @@ def audit_unit(rows: DataFrame) -> DataFrame:
 def contract_findings(rows: DataFrame, submissions: DataFrame, mode: str = "reference") -> DataFrame:
     """All pre-load findings, one row each.
 
-    ``rows``: KPI rows with contract_id, company_id, bucket_id, period_id. ``intended`` lets an
+    ``rows``: KPI rows with contract_id, company_id, bucket_id, period_id, row_seq and a unique id. ``intended`` lets an
     unknown metric only be dropped (it becomes a warning).
     """
     joined = metric_dim_join(rows).withColumn("__contract", F.col("contract_id"))

@@ -101,9 +101,11 @@ def dedup_by_hash(submissions: DataFrame, order: list[str] | None = None) -> Dat
 def dedup_against_store(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to insert, duplicate report with the stored id) by content hash."""
     known = stored.groupBy("file_hash").agg(F.min("submission_id").alias("stored_submission_id"))
-    fresh = incoming.join(known.select("file_hash"), "file_hash", "left_anti")
-    report = incoming.select("submission_id", "file_hash").join(known, "file_hash")
-    return fresh, report
+    marked = attach_by_key(incoming, known, ["file_hash"])
+    stored_id = F.col("stored_submission_id")
+    return marked.filter(stored_id.isNull()).drop("stored_submission_id"), marked.filter(stored_id.isNotNull()).select(
+        "submission_id", "file_hash", "stored_submission_id"
+    )
 
 
 def latest_ids(submissions: DataFrame) -> DataFrame:

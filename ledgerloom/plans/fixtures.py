@@ -70,9 +70,10 @@ SELECT 'S' || CAST(o_orderkey AS STRING) AS submission_id, o_orderkey AS seq,
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey
      JOIN {{nation}} ON c_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey""",
     "kpi": f"""
-SELECT 'F' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS id,
+SELECT 'F' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)
+         || '-' || CAST(CAST(l_quantity AS INT) AS STRING) || '-' || CAST(l_extendedprice AS STRING) AS id,
        'S' || CAST(l_orderkey AS STRING) AS submission_id,
-       CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS row_seq,
+       CAST(l_linenumber AS BIGINT) * 100000000000000 + l_partkey * 10000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS row_seq,
        {KPI_KEY} AS kpi_key, {RAW_VALUE} AS raw_value,
        CASE WHEN l_linestatus = 'F' AND l_discount = 0 THEN NULL ELSE round(1.0 - l_tax * 4, 2) END AS confidence,
        CASE WHEN l_suppkey % 7 = 0 THEN 'calculated' WHEN l_suppkey % 11 = 0 THEN NULL ELSE 'page ' || CAST(l_linenumber AS STRING) END AS source_description,

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerloom.dims import KPI_KEYS
 from ledgerloom.functions.periods import period_year
 from ledgerloom.operators import audit, contract, documents, resolve, store
 
@@ -76,13 +77,18 @@ def insert_contracts(contracts: Contracts, stored: DataFrame, names: list[tuple[
     """Audit, drop rejected and duplicate documents, retire older versions, fill in the fund."""
     headers = audit.with_audit_bucket(contracts.headers, names)
     attributes = headers.select("submission_id", F.col("submission_id").alias("contract_id"), "company_id", "bucket_id")
-    rows = contracts.rows.join(attributes, "submission_id")
+    rows = contracts.rows.join(attributes, "submission_id").withColumns(
+        {
+            "row_seq": F.coalesce("ordinal", F.lit(len(KPI_KEYS) + 1)),
+            "id": F.concat_ws("-", "submission_id", "kpi_key", "ordinal"),
+        }
+    )
     verdicts = audit.contract_audit(audit.contract_findings(rows, headers, mode), headers)
     judged = headers.join(verdicts.drop("bucket_id"), "submission_id")
     accepted = judged.filter(F.col("blocking_errors") == 0)
     rejected = judged.filter(F.col("blocking_errors") > 0).select("submission_id", "errors", "warnings", "blocking_errors")
     fresh, duplicates = store.dedup_against_store(accepted, stored)
-    fresh = store.latest_version(store.dedup_by_hash(fresh))
+    fresh = store.latest_version(store.dedup_by_hash(fresh))  # copies within the batch count once
     fresh = store.fill_portfolio(fresh, portfolio).drop("errors", "warnings", "blocking_errors", "passed")
     kept = contracts.rows.join(fresh.select("submission_id"), "submission_id", "left_semi")
     return Inserted(fresh, kept, rejected, duplicates, store.retire_versions(stored, fresh))

@@ -77,8 +77,8 @@ SELECT s.submission_id, s.bucket_id, count(f.level) FILTER (f.level = 'error') =
 FROM subs s LEFT JOIN f ON s.submission_id = f.submission_id GROUP BY 1, 2""")
 def _(t: Tables):
     rows = t.parsed.select(
-        "submission_id", C("submission_id").alias("contract_id"), "company_id", "bucket_id", "kpi_key", "period_id",
-        "confidence", F.expr(UNIT_CHECK).alias("unit"),
+        "id", "row_seq", "submission_id", C("submission_id").alias("contract_id"), "company_id", "bucket_id", "kpi_key",
+        "period_id", "confidence", F.expr(UNIT_CHECK).alias("unit"),
     )
     return audit.contract_audit(audit.contract_findings(rows, t.subs), t.subs)
 
@@ -402,15 +402,13 @@ def _(t: Tables):
 
 
 @query("load_kpi_catalog", """
-SELECT CASE WHEN p_partkey % 20 = 0 THEN 'Standard_KPIs' ELSE p_brand END AS company, CAST(row_number() OVER (PARTITION BY CASE WHEN p_partkey % 20 = 0 THEN 'Standard_KPIs' ELSE p_brand END ORDER BY p_partkey) AS INTEGER) AS position,
-  p_name AS legacy_kpi, p_type AS target_kpi, CAST(p_size AS VARCHAR) AS audit_logic FROM part""")
+SELECT 'Co' || (p_partkey // 40) AS company, CAST(p_partkey % 40 + 1 AS INTEGER) AS position, p_name AS legacy_kpi, p_type AS target_kpi, CAST(p_size AS VARCHAR) AS audit_logic FROM part""")
 def _(t: Tables):
-    """A catalogue file per company written from the parts (a list for the default, arrays for others) and read back."""
-    company = F.when(C("p_partkey") % 20 == 0, catalog.DEFAULT_COMPANY).otherwise(C("p_brand"))
-    rules = t.raw("part").select(company.alias("company"), "p_partkey", F.struct(
+    """Catalogues of 40 rules per company written from the parts, in both shapes, and read back."""
+    group = F.floor(C("p_partkey") / 40)
+    rules = t.raw("part").select(group.alias("g"), "p_partkey", F.struct(
         C("p_name").alias("legacy_kpi"), C("p_type").alias("target_kpi"), C("p_size").cast("string").alias("audit_logic")).alias("rule"))
-    listed = rules.groupBy("company").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "rule"))).alias("l"))
-    rule_list = F.transform("l", lambda r: r["rule"])
+    listed = rules.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "rule"))).alias("l"))
 
     def column(name: str):
         return F.transform("l", lambda r: r["rule"][name])
@@ -418,11 +416,11 @@ def _(t: Tables):
     arrays = F.struct(
         column("legacy_kpi").alias("legacy_kpis"), column("target_kpi").alias("target_kpis"), column("audit_logic").alias("audit_logic")
     )
-    body = F.when(C("company") == catalog.DEFAULT_COMPANY, F.to_json(rule_list)).otherwise(F.to_json(arrays))
+    body = F.when(C("g") % 2 == 0, F.to_json(F.transform("l", lambda r: r["rule"]))).otherwise(F.to_json(arrays))
+    company = documents.json_string(F.concat(F.lit("Co"), C("g").cast("string")))
     path = work_path(t.spark, "catalog")
-    listed.select(F.concat(F.lit("{"), documents.json_string(C("company")), F.lit(":"), body, F.lit("}")).alias("value")).repartition(
-        "value").write.option("maxRecordsPerFile", 1).text(path)
-    return catalog.catalog_from_json(t.spark, path)
+    listed.select(F.concat(F.lit("{"), company, F.lit(":"), body, F.lit("}")).alias("value")).write.text(path)
+    return catalog.catalog_from_json(t.spark, path, whole_file=False)
 
 
 # ---- streaming ------------------------------------------------------------------------------

@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 DEFAULT_COMPANY = "Standard_KPIs"
 
 
-def catalog_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """company, position, legacy_kpi, target_kpi, audit_logic from a JSON catalogue file.
+def catalog_from_json(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """company, position, legacy_kpi, target_kpi, audit_logic from JSON catalogue files.
+
+    ``whole_file``: one (multi-line) object per file; otherwise one object per line.
 
     A company holds either a list of objects or three parallel arrays; both become rows.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.option("wholetext", whole_file).text(path)
     entries = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("company", "rules"))
     as_list = F.from_json("rules", "array<struct<legacy_kpi:string,target_kpi:string,audit_logic:string>>")
     wide = F.from_json("rules", "struct<legacy_kpis:array<string>,target_kpis:array<string>,audit_logic:array<string>>")

@@ -8,6 +8,7 @@ from ledgerloom import dims
 from ledgerloom.functions.text import company_from_path
 from ledgerloom.operators.documents import decoded_only, dig
 from ledgerloom.operators.resolve import lookup_portfolio
+from ledgerloom.operators.skew import attach_by_key
 
 METADATA = [
     "file_hash", "original_filename", "founder_email", "portfolio_id", "processed_at", "copied_from_general",
@@ -84,11 +85,12 @@ def copy_to_vault(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     ``incoming``: company_domain, file_hash, founder_email. Nothing is copied that the company has.
     """
     own = stored.select("company_domain", "file_hash")
-    missing = incoming.dropDuplicates(["company_domain", "file_hash"]).join(own, ["company_domain", "file_hash"], "left_anti")
+    wanted = incoming.groupBy("company_domain", "file_hash").agg(F.min("founder_email").alias("founder_email"))
+    missing = wanted.join(own, ["company_domain", "file_hash"], "left_anti")
     source = stored.groupBy("file_hash").agg(
         F.min_by(F.struct("raw_json", "original_filename"), F.col("company_domain")).alias("src")
     )
-    return missing.join(source, "file_hash").select(
+    return attach_by_key(missing, source, ["file_hash"], how="inner").select(
         "file_hash", "company_domain", "founder_email",
         F.coalesce("src.original_filename", F.lit("unknown")).alias("original_filename"),
         F.col("src.raw_json").alias("raw_json"),
