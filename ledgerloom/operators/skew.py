@@ -28,14 +28,17 @@ def _prefixed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({k: "__" + k for k in keys})
 
 
+def _splits(rows: Column, hot_rows: int) -> Column:
+    return F.least(F.ceil(rows / hot_rows), F.lit(MAX_SPLITS)).cast("int")
+
+
 def hot_keys(per_key: DataFrame, keys: list[str], weight: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """At most MAX_HOT keys with more than ``hot_rows`` rows, with their number of splits."""
-    splits = F.least(F.ceil(F.col(weight) / hot_rows), F.lit(MAX_SPLITS)).cast("int")
     return (
         per_key.filter(F.col(weight) > hot_rows)
         .orderBy(F.col(weight).desc())
         .limit(MAX_HOT)
-        .select(*keys, splits.alias("__splits"))
+        .select(*keys, _splits(F.col(weight), hot_rows).alias("__splits"))
     )
 
 
@@ -65,7 +68,13 @@ def attach_by_key(
     left = left.withColumn(
         "__salt", F.coalesce(F.pmod(F.spark_partition_id(), F.col("__splits")), F.lit(0))
     ).drop("__splits")
-    right = per_key.join(hot, _same_keys(per_key, hot, keys), "left").drop(*hot_names)
+    if weight:
+        # a key beyond the list gets spare copies here; its rows all carry salt 0 and meet one of them
+        right = per_key.withColumn(
+            "__splits", F.when(F.col(weight) > hot_rows, _splits(F.col(weight), hot_rows))
+        )
+    else:
+        right = per_key.join(hot, _same_keys(per_key, hot, keys), "left").drop(*hot_names)
     right = right.withColumn(
         "__salt2", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__splits"), F.lit(1)) - 1))
     ).drop("__splits")
