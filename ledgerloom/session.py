@@ -36,8 +36,10 @@ def tune(spark: SparkSession) -> SparkSession:
 def work_path(spark: SparkSession, name: str) -> str:
     """A new directory for written tables below the folder the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a local temporary folder is used.
+    Only on a local master, as in tests, a temporary folder stands in for an absent setting; elsewhere it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = shared or os.path.join(tempfile.gettempdir(), "ledgerloom-work")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
