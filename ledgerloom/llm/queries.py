@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import content_sort, covering_simhash
+from ledgerloom.llm import content_sort, covering_simhash, nbsvm, spaced_seeds, variable_bins
 from ledgerloom.llm.common import table
 
 
@@ -14,11 +14,26 @@ def op2_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering_simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_variable_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variable_bins.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.groups_of_equals(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_covering_simhash, op4_content_sort)}
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.score(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_covering_simhash, op3_variable_bins, op4_content_sort, op7_spaced_seeds, op8_nbsvm)
+}
 
 ORACLES: dict[str, str] = {
     "op4_content_sort": """
