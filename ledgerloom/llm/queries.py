@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import content_sort, covering_simhash, nbsvm, spaced_seeds, variable_bins
+from ledgerloom.llm import content_sort, covering_simhash, nbsvm, prefix_trees, spaced_seeds, variable_bins
 from ledgerloom.llm.common import table
 
 
@@ -31,8 +32,13 @@ def op8_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(docs, nbsvm.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_trees.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_covering_simhash, op3_variable_bins, op4_content_sort, op7_spaced_seeds, op8_nbsvm)
+    f.__name__: f for f in (op2_covering_simhash, op3_variable_bins, op4_content_sort, op7_spaced_seeds, op8_nbsvm, op9_prefix_trees)
 }
 
 ORACLES: dict[str, str] = {
