@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import content_sort, covering_simhash, nbsvm, prefix_trees, spaced_seeds, variable_bins
+from ledgerloom.llm import content_sort, covering_simhash, nbsvm, prefix_trees, spaced_seeds, token_index, variable_bins
 from ledgerloom.llm.common import table
 
 
@@ -23,6 +24,10 @@ def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.groups_of_equals(table(spark, sf_dir, "documents"))
 
 
+def op6_token_index(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return token_index.encoded_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +43,7 @@ def op9_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_covering_simhash, op3_variable_bins, op4_content_sort, op7_spaced_seeds, op8_nbsvm, op9_prefix_trees)
+    f.__name__: f for f in (op2_covering_simhash, op3_variable_bins, op4_content_sort, op6_token_index, op7_spaced_seeds, op8_nbsvm, op9_prefix_trees)
 }
 
 ORACLES: dict[str, str] = {
