@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import content_sort, covering_simhash, nbsvm, prefix_trees, spaced_seeds, token_index, variable_bins
+from ledgerloom.llm import content_sort, covering_simhash, nbsvm, patience_lines, prefix_trees, spaced_seeds, token_index, toxic_lexicon, variable_bins
 from ledgerloom.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.groups_of_equals(table(spark, sf_dir, "documents"))
 
 
+def op5_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic_lexicon.score(docs, toxic_lexicon.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_index(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return token_index.encoded_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,8 +47,12 @@ def op9_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patience_lines.delete_shared_blocks(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_covering_simhash, op3_variable_bins, op4_content_sort, op6_token_index, op7_spaced_seeds, op8_nbsvm, op9_prefix_trees)
+    f.__name__: f for f in (op2_covering_simhash, op3_variable_bins, op4_content_sort, op5_toxic_lexicon, op6_token_index, op7_spaced_seeds, op8_nbsvm, op9_prefix_trees, op10_patience_lines)
 }
 
 ORACLES: dict[str, str] = {
