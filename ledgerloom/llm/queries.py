@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import content_sort, covering_simhash, nbsvm, patience_lines, prefix_trees, spaced_seeds, token_index, toxic_lexicon, variable_bins
+from ledgerloom.llm import content_sort, covering_simhash, nbsvm, patience_lines, prefix_trees, spaced_seeds, surrogates, token_index, toxic_lexicon, variable_bins
 from ledgerloom.llm.common import table
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
 def op2_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering_simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,19 @@ def op10_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_covering_simhash, op3_variable_bins, op4_content_sort, op5_toxic_lexicon, op6_token_index, op7_spaced_seeds, op8_nbsvm, op9_prefix_trees, op10_patience_lines)
+    f.__name__: f
+    for f in (
+        op1_surrogates,
+        op2_covering_simhash,
+        op3_variable_bins,
+        op4_content_sort,
+        op5_toxic_lexicon,
+        op6_token_index,
+        op7_spaced_seeds,
+        op8_nbsvm,
+        op9_prefix_trees,
+        op10_patience_lines,
+    )
 }
 
 ORACLES: dict[str, str] = {
