@@ -39,6 +39,7 @@ PREFIX = 16
 HEAVY = 100_000
 #: Bits of the map of anchors that occur twice, dealt into slices; a fuller map prunes less and loses nothing.
 MAP_BITS, HEAVY_BITS, MAP_PARTS = 28, 24, 256
+SLICE_BYTES = 8 << 20
 PART_SUFFIXES = 4_000_000
 LEAST_PARTS = 64
 
@@ -85,7 +86,7 @@ def _dealt(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _anchor_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, SLICE_BYTES):
         found = Suffixes(batch.column("text"))
         anchors, counts = np.unique(found.anchors, return_counts=True)
         rows = [(k, anchors[i].tobytes(), counts[i].astype(np.uint32).tobytes()) for k, i in _dealt((anchors >> np.uint64(56)).astype(np.int64), MAP_PARTS)]
@@ -94,25 +95,29 @@ def _anchor_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))] + [pa.array(windows, pa.int64())], names=["part", "anchors", "counts", "windows"])
 
 
-def _anchor_maps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_maps(heavy_count: int):
     """Per part of the anchors' hashes: its piece of the map, the heavy ones, and the windows counted on the way."""
-    held: dict[int, list] = {}
-    windows = 0
-    for batch in batches:
-        for part, anchors, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "anchors", "counts")), strict=True):
-            held.setdefault(part, []).append((np.frombuffer(anchors, np.uint64), np.frombuffer(counts, np.uint32)))
-        windows += sum(batch.column("windows").to_pylist())
-    for part, blocks in held.items():
-        anchors, counts = (np.concatenate(x) for x in zip(*blocks, strict=True))
-        own, at = np.unique(anchors, return_inverse=True)
-        total = np.bincount(at, counts)
-        piece = np.zeros((1 << MAP_BITS) // MAP_PARTS, bool)
-        piece[(own[total > 1] >> np.uint64(64 - MAP_BITS)) & np.uint64(len(piece) - 1)] = True
-        heavy = np.zeros((1 << HEAVY_BITS) // MAP_PARTS, bool)
-        heavy[(own[total > HEAVY] >> np.uint64(64 - HEAVY_BITS)) & np.uint64(len(heavy) - 1)] = True
-        packed = [zlib.compress(np.packbits(x).tobytes(), 1) for x in (piece, heavy)]
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in packed), pa.array([windows])], names=["part", "twice", "heavy", "windows"])
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
         windows = 0
+        for batch in batches:
+            for part, anchors, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "anchors", "counts")), strict=True):
+                held.setdefault(part, []).append((np.frombuffer(anchors, np.uint64), np.frombuffer(counts, np.uint32)))
+            windows += sum(batch.column("windows").to_pylist())
+        for part, blocks in held.items():
+            anchors, counts = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            own, at = np.unique(anchors, return_inverse=True)
+            total = np.bincount(at, counts)
+            piece = np.zeros((1 << MAP_BITS) // MAP_PARTS, bool)
+            piece[(own[total > 1] >> np.uint64(64 - MAP_BITS)) & np.uint64(len(piece) - 1)] = True
+            heavy = np.zeros((1 << HEAVY_BITS) // MAP_PARTS, bool)
+            heavy[(own[total > heavy_count] >> np.uint64(64 - HEAVY_BITS)) & np.uint64(len(heavy) - 1)] = True
+            packed = [zlib.compress(np.packbits(x).tobytes(), 1) for x in (piece, heavy)]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in packed), pa.array([windows])], names=["part", "twice", "heavy", "windows"])
+            windows = 0
+
+    return scan
 
 
 class AnchorMap:
@@ -150,7 +155,7 @@ def _suffix_blocks(shared, parts: int):
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: AnchorMap = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             found = Suffixes(batch.column("text"))
             alive = known.occurs_twice(found.anchor)
             at, anchor = found.at[alive], found.anchor[alive]
@@ -222,12 +227,12 @@ def _subtree_repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield from close(held)
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """id (NULL_ID for null), digest and places (lists of packed uint32): starts of windows that also start earlier."""
     spark = docs.sparkSession
     texts = id_and_text(docs, digest().alias("digest")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "digest", "text")
     anchors = texts.select("text").mapInArrow(_anchor_blocks, "part int, anchors binary, counts binary, windows long").repartition("part")
-    maps = AnchorMap(anchors.mapInArrow(_anchor_maps, "part int, twice binary, heavy binary, windows long").collect())
+    maps = AnchorMap(anchors.mapInArrow(_anchor_maps(heavy), "part int, twice binary, heavy binary, windows long").collect())
     shared = spark.sparkContext.broadcast(maps)  # two bitmaps of fixed size
     parts = max(LEAST_PARTS, -(-maps.windows // PART_SUFFIXES))
     suffixes = texts.mapInArrow(_suffix_blocks(shared, parts), f"part int, {', '.join(f'{c} binary' for c in _BLOCK)}")
@@ -260,8 +265,8 @@ def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_words, n_removed, spans (maximal runs of removed words) and kept (the other words) of every row."""
     texts = id_and_text(docs, digest().alias("digest")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "doc_id", "digest", "text")
-    joined = texts.join(repeated_windows(docs), ["id", "digest"], "left").select("doc_id", "text", "places")
+    joined = texts.join(repeated_windows(docs, heavy), ["id", "digest"], "left").select("doc_id", "text", "places")
     return joined.mapInArrow(_without, "doc_id long, n_words long, n_removed long, spans array<struct<start int, end int>>, kept string")
