@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerloom.session import work_path
 
 #: Bytes of text that one step inside a task holds at once; a single longer document is held whole.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -42,11 +42,11 @@ def digest(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about BATCH_BYTES of text."""
+def slices(batches: Iterable[pa.RecordBatch], size: int = BATCH_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about ``size`` bytes of text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        step = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
+        step = np.cumsum(sizes, dtype=np.int64) // size
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts, cuts[1:], strict=False):
             if high > low:

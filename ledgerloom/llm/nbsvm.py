@@ -38,6 +38,8 @@ _PARTS = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
 
 def letters_and_shape(word: str) -> tuple[str, str]:
+    if word.isalpha():
+        return word.lower(), "l" if word.islower() else "T" if word[1:].islower() or len(word) == 1 else "U" if word.isupper() else "m"
     before, core, after = _PARTS.match(word).groups()
     case = "d" if core.isdigit() else "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "m" if core != core.lower() else "l"
     return core.lower(), f"{before[:3]}{case if core else ''}{after[:3]}"
@@ -54,7 +56,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(own) > 1:
             inside = doc[1:] == doc[:-1]
             found.append((doc[1:][inside], mixed(own[:-1] * np.uint64(3) + own[1:] + np.uint64(2 * k + 1))[inside]))
-    keys = np.unique(np.concatenate([(d << BITS) | (h >> np.uint64(64 - BITS)).astype(np.int64) for d, h in found]))
+    keys = np.sort(np.concatenate([(d << BITS) | (h >> np.uint64(64 - BITS)).astype(np.int64) for d, h in found]))
+    keys = keys[np.concatenate([keys[:1] >= 0, keys[1:] != keys[:-1]])]
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
