@@ -14,7 +14,7 @@ same document. Windows are judged on the input. The work is on suffixes, each st
    words or more are the leaves below the deep internal nodes. All but the earliest leaf are repeats; windows that
    follow one another make maximal spans.
 
-Fingerprints have 64 bits. Parts number so that each holds about PART_SUFFIXES suffixes at most.
+Fingerprints have 64 bits. The number of parts follows the bytes of text, so a part fits a task's memory at any size.
 
 Defined cases: null and empty texts have no words; null doc_ids come before all others; rows that share a doc_id are one
 document, in which windows that start at the same place are the same occurrence; an empty table gives no rows; other
@@ -37,11 +37,11 @@ WINDOW = 20
 GRAM = 8
 PREFIX = 16
 HEAVY = 100_000
-#: Bits of the map of anchors that occur twice, dealt into slices; a fuller map prunes less and loses nothing.
-MAP_BITS, HEAVY_BITS, MAP_PARTS = 28, 24, 256
+#: Bits of the map of anchors that occur twice; a fuller map prunes less and loses nothing.
+MAP_BITS, HEAVY_BITS = 28, 24
 SLICE_BYTES = 8 << 20
-PART_SUFFIXES = 4_000_000
-LEAST_PARTS = 64
+#: Bytes of text for each part of the anchors (256 to 65,536 of them) and of the suffixes (64 or more).
+PART_BYTES = 16 << 20
 
 NULL_ID = -(1 << 63)
 
@@ -85,46 +85,53 @@ def _dealt(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield k, order[ends[k] : ends[k + 1]]
 
 
-def _anchor_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, SLICE_BYTES):
-        found = Suffixes(batch.column("text"))
-        anchors, counts = np.unique(found.anchors, return_counts=True)
-        rows = [(k, anchors[i].tobytes(), counts[i].astype(np.uint32).tobytes()) for k, i in _dealt((anchors >> np.uint64(56)).astype(np.int64), MAP_PARTS)]
-        windows = [len(found.at)] + [0] * (len(rows) - 1)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))] + [pa.array(windows, pa.int64())], names=["part", "anchors", "counts", "windows"])
+def _anchor_blocks(parts: int):
+    """Anchors of a slice and how often each occurs, dealt by their leading bits; ``parts`` is a power of two."""
 
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, SLICE_BYTES):
+            anchors, counts = np.unique(Suffixes(batch.column("text")).anchors, return_counts=True)
+            part = (anchors >> np.uint64(65 - parts.bit_length())).astype(np.int64)
+            rows = [(k, anchors[i].tobytes(), counts[i].astype(np.uint32).tobytes()) for k, i in _dealt(part, parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "anchors", "counts"])
+
+    return scan
+
+
+def _anchor_maps(parts: int, heavy_count: int):
+    """Per part of the anchors: its piece of the map, and of the map of the heavy ones."""
+
+    def piece(anchors: np.ndarray, bits: int) -> bytes:
+        marks = np.zeros((1 << bits) // parts, bool)
+        marks[(anchors >> np.uint64(64 - bits)) & np.uint64(len(marks) - 1)] = True
+        return zlib.compress(np.packbits(marks).tobytes(), 1)
 
-def _anchor_maps(heavy_count: int):
-    """Per part of the anchors' hashes: its piece of the map, the heavy ones, and the windows counted on the way."""
+    def close(part: int, blocks: list) -> pa.RecordBatch:
+        anchors, counts = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        own, at = np.unique(anchors, return_inverse=True)
+        total = np.bincount(at, counts)
+        maps = piece(own[total > 1], MAP_BITS), piece(own[total > heavy_count], HEAVY_BITS)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in maps)], names=["part", "twice", "heavy"])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        windows = 0
+        last, held = -1, []
         for batch in batches:
             for part, anchors, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "anchors", "counts")), strict=True):
-                held.setdefault(part, []).append((np.frombuffer(anchors, np.uint64), np.frombuffer(counts, np.uint32)))
-            windows += sum(batch.column("windows").to_pylist())
-        for part, blocks in held.items():
-            anchors, counts = (np.concatenate(x) for x in zip(*blocks, strict=True))
-            own, at = np.unique(anchors, return_inverse=True)
-            total = np.bincount(at, counts)
-            piece = np.zeros((1 << MAP_BITS) // MAP_PARTS, bool)
-            piece[(own[total > 1] >> np.uint64(64 - MAP_BITS)) & np.uint64(len(piece) - 1)] = True
-            heavy = np.zeros((1 << HEAVY_BITS) // MAP_PARTS, bool)
-            heavy[(own[total > heavy_count] >> np.uint64(64 - HEAVY_BITS)) & np.uint64(len(heavy) - 1)] = True
-            packed = [zlib.compress(np.packbits(x).tobytes(), 1) for x in (piece, heavy)]
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in packed), pa.array([windows])], names=["part", "twice", "heavy", "windows"])
-            windows = 0
+                if held and part != last:
+                    yield close(last, held)
+                    held = []
+                last = part
+                held.append((np.frombuffer(anchors, np.uint64), np.frombuffer(counts, np.uint32)))
+        if held:
+            yield close(last, held)
 
     return scan
 
 
 class AnchorMap:
-    def __init__(self, rows: list):
-        self.windows = sum(r["windows"] for r in rows)
-        self.twice = np.zeros((1 << MAP_BITS) // 8, np.uint8).reshape(MAP_PARTS, -1)
-        self.heavy = np.zeros((1 << HEAVY_BITS) // 8, np.uint8).reshape(MAP_PARTS, -1)
+    def __init__(self, rows: list, parts: int):
+        self.twice = np.zeros((1 << MAP_BITS) // 8, np.uint8).reshape(parts, -1)
+        self.heavy = np.zeros((1 << HEAVY_BITS) // 8, np.uint8).reshape(parts, -1)
         for r in rows:
             self.twice[r["part"]] = np.frombuffer(zlib.decompress(r["twice"]), np.uint8)
             self.heavy[r["part"]] = np.frombuffer(zlib.decompress(r["heavy"]), np.uint8)
@@ -231,10 +238,12 @@ def repeated_windows(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """id (NULL_ID for null), digest and places (lists of packed uint32): starts of windows that also start earlier."""
     spark = docs.sparkSession
     texts = id_and_text(docs, digest().alias("digest")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "digest", "text")
-    anchors = texts.select("text").mapInArrow(_anchor_blocks, "part int, anchors binary, counts binary, windows long").repartition("part")
-    maps = AnchorMap(anchors.mapInArrow(_anchor_maps(heavy), "part int, twice binary, heavy binary, windows long").collect())
-    shared = spark.sparkContext.broadcast(maps)  # two bitmaps of fixed size
-    parts = max(LEAST_PARTS, -(-maps.windows // PART_SUFFIXES))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    map_parts = 1 << min(16, max(8, (size // PART_BYTES).bit_length()))
+    anchors = texts.select("text").mapInArrow(_anchor_blocks(map_parts), "part int, anchors binary, counts binary")
+    maps = anchors.repartition("part").sortWithinPartitions("part").mapInArrow(_anchor_maps(map_parts, heavy), "part int, twice binary, heavy binary")
+    shared = spark.sparkContext.broadcast(AnchorMap(maps.collect(), map_parts))  # two bitmaps of fixed size
+    parts = max(64, size // PART_BYTES)
     suffixes = texts.mapInArrow(_suffix_blocks(shared, parts), f"part int, {', '.join(f'{c} binary' for c in _BLOCK)}")
     repeats = suffixes.repartition("part").sortWithinPartitions("part").mapInArrow(_subtree_repeats, "id long, digest long, places binary")
     return staged(repeats.groupBy("id", "digest").agg(F.collect_list("places").alias("places")), "repeats")
