@@ -19,6 +19,7 @@ labels; rows without doc_id are scored, not learned from; repeated rows are scor
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -52,7 +53,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 
 _DROPPED = [*range(0x0300, 0x0370), 0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]
 _TABLE = {ord(k): v for k, v in LOOK_ALIKES.items()} | dict.fromkeys(_DROPPED)
-_DISGUISED = re.compile(r"(?<=[^\W\d_])[0134578@$!|€9]+(?=[^\W\d_])|(?<![^\W_])[0134578@$€9]+(?=[^\W\d_]{2})")
+_DISGUISED = re.compile(r"(?<=[^\W\d_])[0134578@$!|€9]+(?=[^\W\d_])|(?<![^\W_])[0134578@$€9]+(?=[^\W\d_])")
 _SUBSTITUTES = str.maketrans(SUBSTITUTES)
 
 
@@ -127,8 +128,8 @@ def _stems(words: Iterable[str]) -> set[str]:
 
 
 def _signature(words: set[str]) -> int:
-    """The smallest hash of a text's words: near copies mostly have the same."""
-    return min((xxhash.xxh64_intdigest(w) for w in words), default=0) >> 1
+    """Of the three smallest hashes of a text's words: near copies mostly have the same."""
+    return hash(tuple(heapq.nsmallest(3, (xxhash.xxh64_intdigest(w) for w in words)))) >> 1
 
 
 def _entries_of(wanted=None):
@@ -143,6 +144,7 @@ def _entries_of(wanted=None):
                 signature = _signature(words)
                 stems = _stems(words)
                 rows.update((s, label, signature) for s in (stems if wanted is None else stems & wanted.value))
+                rows.add(("", label, signature))  # all documents
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=names)
 
     return scan
@@ -204,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     toxic = _counted(rows.where("label = 1").mapInArrow(_entries_of(), "entry string, label int, signature long")).where("toxic >= 3")
     wanted = spark.sparkContext.broadcast({r["entry"] for r in toxic.collect()})  # bounded by the sample's toxic documents
     counted = _counted(rows.mapInArrow(_entries_of(wanted), "entry string, label int, signature long"))
-    lexicon = Lexicon(choose({r["entry"]: (r["toxic"], r["clean"]) for r in counted.where("toxic >= 3").collect()}, n1, n0))
+    counts = {r["entry"]: (r["toxic"], r["clean"]) for r in counted.where("toxic >= 3 OR entry = ''").collect()}
+    lexicon = Lexicon(choose(counts, *counts.pop("")))
     phrases = _counted(rows.mapInArrow(_phrases(spark.sparkContext.broadcast(lexicon)), "entry string, label int, signature long"))
     innocent = phrases.where("clean >= 3 AND clean > 3 * toxic").orderBy(F.desc("clean"), "entry").limit(LEXICON)
     lexicon.exceptions = [r["entry"] for r in innocent.collect()]
