@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom import dims
 from ledgerloom.functions import text, values
 from ledgerloom.functions.periods import month_key
-from ledgerloom.operators.contract import EXACT, exact_avg
+from ledgerloom.operators.contract import exact_avg, exact_parts, exact_total
 from ledgerloom.operators.skew import attach_by_key, count_by
 
 
@@ -27,14 +27,14 @@ def portfolio_analytics(facts: DataFrame, submissions: DataFrame, portfolio_id:
         heads = heads.filter(F.col("is_latest_version"))
     sums: list[Column] = []
     for m in metrics:
-        value = F.when(F.col("kpi_key") == m, F.col("numeric_value")).try_cast(EXACT)
-        sums += [F.sum(value).alias("s_" + m), F.count(value).alias("n_" + m)]
+        exact, rest = exact_parts(F.when(F.col("kpi_key") == m, F.col("numeric_value")))
+        sums += [F.sum(exact).alias("s_" + m), F.sum(rest).alias("r_" + m), F.count(rest).alias("n_" + m)]
     per_submission = facts.filter("is_valid").groupBy("submission_id").agg(*sums)
     joined = per_submission.join(heads.select("submission_id", "submitted_at", "company_id", "portfolio_id"), "submission_id")
     series = joined.groupBy(month_key(F.col("submitted_at")).alias("month"), "company_id", "portfolio_id").agg(
         F.count(F.lit(1)).alias("submission_count"),
         *[
-            F.try_divide(F.sum("s_" + m).cast("double"), F.sum("n_" + m).cast("double")).alias(m)
+            F.try_divide(exact_total(F.col("s_" + m), F.col("r_" + m)), F.sum("n_" + m).cast("double")).alias(m)
             for m in metrics
         ],
     )
@@ -293,10 +293,11 @@ def net_dollar_retention(revenue: DataFrame, period: str = "period_index", custo
 
     Revenue is summed per customer and period, shifted by one period and joined by equality.
     """
-    per_customer = revenue.groupBy(customer, period).agg(F.sum(F.col(value).try_cast(EXACT)).alias("v"))
-    before = per_customer.select(customer, (F.col(period) + 1).alias(period), F.col("v").alias("v_before"))
+    exact, rest = exact_parts(F.col(value).cast("double"))
+    per_customer = revenue.groupBy(customer, period).agg(F.sum(exact).alias("v"), F.sum(rest).alias("r"))
+    before = per_customer.select(customer, (F.col(period) + 1).alias(period), F.col("v").alias("v_before"), F.col("r").alias("r_before"))
     joined = before.join(per_customer, [customer, period], "left")
     return joined.groupBy(period).agg(
-        F.sum("v_before").cast("double").alias("base_revenue"),
-        F.coalesce(F.sum("v"), F.lit(0)).cast("double").alias("retained_revenue"),
+        exact_total(F.col("v_before"), F.col("r_before")).alias("base_revenue"),
+        F.coalesce(exact_total(F.col("v"), F.col("r")), F.lit(0.0)).alias("retained_revenue"),
     ).withColumn("ndr", F.try_divide(F.col("retained_revenue"), F.col("base_revenue")))

@@ -11,14 +11,32 @@ from ledgerloom.functions.formats import fixed_even
 EXACT = "decimal(38,6)"
 
 
-def exact_avg(value: Column) -> Column:
-    """Average through decimals: the same result whatever the order of the rows.
+def exact_parts(value: Column) -> tuple[Column, Column]:
+    """A double as the decimal of its first six places and the rest; the two sum up to it.
 
-    Values a decimal cannot hold (nan, inf, beyond 1e31) make the average double arithmetic.
+    Decimals add up alike in any order, and the rest is below their last place for all values that
+    they can hold. Others (nan, inf, beyond 1e20) are all rest, so no value is left out.
     """
-    exact = value.try_cast(EXACT)
-    fits = F.count_if(value.isNotNull() & exact.isNull()) == 0
-    return F.when(fits, F.try_divide(F.sum(exact).cast("double"), F.count(exact).cast("double"))).otherwise(F.avg(value))
+    exact = F.when(F.abs(value) < 1e20, value.try_cast(EXACT))
+    return exact, value - F.coalesce(exact.cast("double"), F.when(value.isNotNull(), F.lit(0.0)))
+
+
+def exact_total(exact: Column, rest: Column) -> Column:
+    """Sum of values given in parts (columns to be summed up); null when there is none."""
+    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.sum(rest)
+
+
+def exact_avg(value: Column) -> Column:
+    """Average of every value by one rule: the sum of its parts over its count."""
+    return F.try_divide(exact_total(*exact_parts(value)), F.count(value).cast("double"))
+
+
+def rounded_avg(value: Column, digits: int) -> Column:
+    """Average rounded half up on its decimal form; of values no decimal can hold, as a double."""
+    exact, rest = exact_parts(value)
+    whole = F.coalesce(F.sum(exact), F.lit(0).cast(EXACT)) + F.coalesce(F.sum(rest).try_cast(EXACT), F.lit(0).cast(EXACT))
+    as_decimal = _ratio(whole, F.count(value), digits)
+    return F.when(F.abs(F.sum(rest)) < 1e20, as_decimal).otherwise(F.round(exact_avg(value), digits))
 
 
 def _ratio(total: Column, count: Column, digits: int) -> Column:
@@ -31,7 +49,7 @@ def submission_rollup(rows: DataFrame, mode: str = "reference") -> DataFrame:
     ``intended`` averages the confidence of valid rows only.
     """
     valid = F.coalesce(F.col("is_valid"), F.lit(False))
-    conf = F.col("confidence").try_cast("decimal(18,6)")
+    conf = F.col("confidence")
     if mode == "intended":
         conf = F.when(valid, conf)
     # distinct periods are told apart by min and max, which needs no second shuffle
@@ -39,7 +57,7 @@ def submission_rollup(rows: DataFrame, mode: str = "reference") -> DataFrame:
     agg = rows.groupBy("submission_id").agg(
         F.count(F.lit(1)).alias("kpi_count_total"),
         F.count_if(valid).alias("kpi_count_valid"),
-        _ratio(F.sum(conf), F.count(conf), 3).alias("avg_confidence"),
+        rounded_avg(conf, 3).alias("avg_confidence"),
         F.coalesce(periods, F.count("period_id") == 0).alias("period_consistent"),
     )
     return agg.select(
@@ -206,13 +224,10 @@ def sector_label(bucket: Column) -> Column:
 
 
 def present_kpis(rows: DataFrame) -> DataFrame:
-    """Per submission the sorted valid registry KPIs: one flag per KPI, so the state stays fixed in size."""
+    """Per submission the sorted valid KPIs, of the registry or not; a document names a bounded number of them."""
     present = is_present(F.col("is_valid"), F.col("numeric_value"))
-    flags = rows.groupBy("submission_id").agg(
-        *[F.bool_or((F.col("kpi_key") == k) & present).alias("f_" + k) for k in dims.KPI_KEYS]
-    )
-    keys = F.array_compact(F.array(*[F.when(F.col("f_" + k), F.lit(k)) for k in sorted(dims.KPI_KEYS)]))
-    return flags.select("submission_id", keys.alias("present_kpis"))
+    named = F.array_sort(F.collect_set(F.when(present, F.col("kpi_key"))))
+    return rows.groupBy("submission_id").agg(named.alias("present_kpis"))
 
 
 def key_difference(required: Column, present: Column) -> Column:

@@ -105,12 +105,12 @@ def normalize_company(rows: DataFrame, dim: DataFrame, company: str = "company_i
         lambda i: F.substring(base, i, F.lit(1)).isin("-", "_"),
     )
     prefixes = F.transform(
-        cuts, lambda i: F.struct((F.lit(1000) - i).alias("rank"), F.substring(base, F.lit(1), i - 1).alias("k"))
+        cuts, lambda i: F.struct(F.struct(F.lit(2).alias("tier"), (-i).alias("longest")).alias("rank"), F.substring(base, F.lit(1), i - 1).alias("k"))
     )
     candidates = F.concat(
         F.array(
-            F.struct(F.lit(-2).alias("rank"), base.alias("k")),
-            F.struct(F.lit(-1).alias("rank"), squeezed.alias("k")),
+            F.struct(F.struct(F.lit(0).alias("tier"), F.lit(0).alias("longest")).alias("rank"), base.alias("k")),
+            F.struct(F.struct(F.lit(1).alias("tier"), F.lit(0).alias("longest")).alias("rank"), squeezed.alias("k")),
         ),
         prefixes,
     )
@@ -255,14 +255,17 @@ def dim_identity_join(submissions: DataFrame, dim: DataFrame, key: str = "compan
 def catalog_with_default(companies: DataFrame, catalog: DataFrame, default: str = "Standard_KPIs") -> DataFrame:
     """Catalogue rules of each company, or the default set when it has none.
 
-    The default company name stands in for companies without rules, so it is one equi join.
+    The default set is one company's rules, a short list: it is one value that companies without
+    rules unfold in place, and their rows never meet under one key.
     """
-    known = catalog.filter(F.col("company") != default).select(F.col("company").alias("__c")).distinct()
-    tagged = companies.join(known, companies["company"] == known["__c"], "left").withColumn(
-        "rule_set", F.coalesce("__c", F.lit(default))
-    ).drop("__c")
-    rules = catalog.withColumnRenamed("company", "rule_set")
-    return tagged.join(rules, "rule_set")
+    columns = [c for c in catalog.columns if c != "company"]
+    own = catalog.filter(F.col("company") != default)
+    rules = catalog.filter(F.col("company") == default).agg(F.array_sort(F.collect_list(F.struct(*columns)))).scalar()
+    known = own.select("company").distinct()
+    named = companies.join(own, "company").withColumn("rule_set", F.col("company"))
+    others = companies.join(known, "company", "left_anti").withColumn("__rules", rules)
+    unfolded = others.select(*companies.columns, F.lit(default).alias("rule_set"), F.inline("__rules"))
+    return named.select(unfolded.columns).union(unfolded)
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

@@ -1,10 +1,10 @@
 """Per-key values attached to rows without sending a hot key to one task.
 
 A window over a key, or a plain join with a per-key aggregate, puts every row of the
-key into one task (adaptive skew join does not help: the aggregate sits between the
-join and its shuffle). Here the per-key table is aggregated first (map-side combine),
-the few keys that hold very many rows are found from its counts, and only those are
-spread over several tasks.
+key into one task. Here the per-key table is aggregated first (map-side combine) and
+written to shared storage, so that the rows are planned once for it; keys that hold very
+many rows, however many such keys there are, are found from its counts, and their rows
+are dealt out by a hash of the row.
 """
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key with more rows than this is split; the list of such keys never exceeds MAX_HOT.
-# Any key beyond the list holds less than 1/MAX_HOT of the rows, so it is not hot.
-HOT_ROWS = 2_000_000
-MAX_HOT = 1_000
-MAX_SPLITS = 10_000
+from ledgerloom.session import work_path
+
+HOT_ROWS = 2_000_000  # a key with more rows than this is split
 
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -28,24 +26,21 @@ def _prefixed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({k: "__" + k for k in keys})
 
 
-def _splits(rows: Column, hot_rows: int) -> Column:
-    return F.least(F.ceil(rows / hot_rows), F.lit(MAX_SPLITS)).cast("int")
-
-
-def hot_keys(per_key: DataFrame, keys: list[str], weight: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """At most MAX_HOT keys with more than ``hot_rows`` rows, with their number of splits."""
-    return (
-        per_key.filter(F.col(weight) > hot_rows)
-        .orderBy(F.col(weight).desc())
-        .limit(MAX_HOT)
-        .select(*keys, _splits(F.col(weight), hot_rows).alias("__splits"))
-    )
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def count_by(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def row_hash(rows: DataFrame) -> Column:
+    """Hash of a row: the same in every run, and spread within a key wherever the row lies."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def attach_by_key(
     rows: DataFrame,
     per_key: DataFrame,
@@ -53,31 +48,31 @@ def attach_by_key(
     weight: str | None = None,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    small_keys: bool = False,
 ) -> DataFrame:
     """Join ``per_key`` (one row per key; nulls are equal) to ``rows``, splitting hot keys.
 
-    ``weight`` names the column of ``per_key`` that counts the key's rows in ``rows``;
-    without it the counts are taken here. The salt is the number of the task that reads
-    the row, so a repeated task gives the same salt.
+    ``weight`` names the column of ``per_key`` that counts the key's rows in ``rows``; without
+    it the counts are taken here, unless ``small_keys`` says that no key can hold many rows.
     """
-    counts = per_key if weight else count_by(rows, keys, "__n")
-    hot = F.broadcast(_prefixed(hot_keys(counts, keys, weight or "__n", hot_rows), keys))
-    hot_names = ["__" + k for k in keys]
-
-    left = rows.join(hot, _same_keys(rows, hot, keys), "left").drop(*hot_names)
-    left = left.withColumn(
-        "__salt", F.coalesce(F.pmod(F.spark_partition_id(), F.col("__splits")), F.lit(0))
-    ).drop("__splits")
-    if weight:
-        # a key beyond the list gets spare copies here; its rows all carry salt 0 and meet one of them
-        right = per_key.withColumn(
-            "__splits", F.when(F.col(weight) > hot_rows, _splits(F.col(weight), hot_rows))
-        )
-    else:
-        right = per_key.join(hot, _same_keys(per_key, hot, keys), "left").drop(*hot_names)
+    per_key = _written(per_key, "per-key")
+    names = ["__" + k for k in keys]
+    hot = None
+    if not small_keys:
+        counts = per_key if weight else count_by(rows, keys, "__n")
+        over = counts.filter(F.col(weight or "__n") > hot_rows)
+        hot = _written(over.select(*keys, F.ceil(F.col(weight or "__n") / hot_rows).cast("int").alias("__splits")), "hot-keys")
+    if hot is None or hot.isEmpty():
+        right = _prefixed(per_key, keys)
+        return rows.join(right, _same_keys(rows, right, keys), how).drop(*names)
+    # written tables: Spark broadcasts the list if its size allows, and else can split the shuffle
+    hot = _prefixed(hot, keys)
+    left = rows.join(hot, _same_keys(rows, hot, keys), "left").drop(*names)
+    left = left.withColumn("__salt", F.coalesce(F.pmod(row_hash(rows), F.col("__splits")), F.lit(0))).drop("__splits")
+    right = per_key.join(hot, _same_keys(per_key, hot, keys), "left").drop(*names)
     right = right.withColumn(
         "__salt2", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__splits"), F.lit(1)) - 1))
     ).drop("__splits")
     right = _prefixed(right, keys)
     joined = left.join(right, _same_keys(left, right, keys) & (left["__salt"] == right["__salt2"]), how)
-    return joined.drop("__salt", "__salt2", *hot_names)
+    return joined.drop("__salt", "__salt2", *names)

@@ -82,7 +82,7 @@ def read_or_empty(spark: SparkSession, path: str, layout: list[tuple[str, str, b
     exists = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
     if not exists:
         return spark.createDataFrame([], layout_schema(layout))
-    return evolve_schema(spark.read.option("mergeSchema", "true").parquet(path), layout)
+    return spark.read.schema(layout_schema(layout)).parquet(path)
 
 
 def replace_dim(dim: DataFrame, path: str) -> None:
@@ -171,7 +171,8 @@ def apply_kpi_edits(facts: DataFrame, edits: DataFrame) -> DataFrame:
     Every row of an edited (submission, kpi) changes; of several edits the last one counts and
     the text before it is kept.
     """
-    joined = attach_by_key(facts, last_edits(edits), ["submission_id", "kpi_key"])
+    # a (submission, kpi) holds a handful of rows
+    joined = attach_by_key(facts, last_edits(edits), ["submission_id", "kpi_key"], small_keys=True)
     edited = F.col("new_edited_at").isNotNull()
     present = set(facts.columns)
 

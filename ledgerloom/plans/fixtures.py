@@ -87,10 +87,10 @@ SELECT user_id AS doc_id, event_id % 4 AS chunk_id, event_type AS kpi_key, event
        CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(value AS STRING) END AS raw_value, props
 FROM {events}""",
     "edits": """
-SELECT 'S' || CAST(event_id % 4999 AS STRING) AS submission_id,
+SELECT 'S' || CAST(event_id - event_id % 2 AS STRING) AS submission_id,
        CASE event_id % 3 WHEN 0 THEN 'revenue' WHEN 1 THEN 'cogs' ELSE 'ebitda' END AS kpi_key,
        CASE WHEN event_id % 17 = 0 THEN 'pending' ELSE ' $' || CAST(value AS STRING) || 'K' END AS value, ts AS edited_at
-FROM {events} WHERE event_type = 'purchase'""",
+FROM {events}""",
 }
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"]

@@ -94,7 +94,7 @@ SELECT submission_id, year FROM (
   GROUP BY submission_id, year) WHERE rn = 1"""
 CTES["present"] = """
 SELECT submission_id, list_sort(list(DISTINCT kpi_key)) AS present_kpis FROM parsed
-WHERE is_valid AND kpi_key IN (SELECT kpi_key FROM dim_kpi) GROUP BY submission_id"""
+WHERE is_valid GROUP BY submission_id"""
 CTES["req_list"] = "SELECT bucket_id, list(kpi_key ORDER BY ordinal) AS required FROM req GROUP BY bucket_id"
 CTES["checklist"] = """
 SELECT h.submission_id, h.bucket_id, coalesce(p.present_kpis, []) AS present_kpis, r.required,
@@ -160,19 +160,21 @@ SELECT p.id, p.submission_id, p.kpi_key, l.company_id, l.portfolio_id, p.confide
             ELSE 'PASS' END AS audit_status
 FROM parsed p JOIN latest l ON p.submission_id = l.submission_id AND l.is_latest_version
 JOIN dups d ON d.submission_id = p.submission_id AND d.kpi_key = p.kpi_key AND d.period_id = p.period_id) WHERE audit_status <> 'PASS'"""
-CTES["series"] = """
+
+
+def exact_avg(value: str) -> str:
+    """Average of doubles whose first six places are added up as decimals, the rest as doubles."""
+    exact = f"CAST({value} AS DECIMAL(38,6))"
+    return f"(CAST(sum({exact}) AS DOUBLE) + sum({value} - CAST({exact} AS DOUBLE))) / nullif(count({value}), 0)"
+
+
+_SERIES = ["revenue_growth", "gross_profit_margin", "ebitda_margin", "cash_in_bank_end_of_year", "annual_cash_flow", "working_capital_debt"]
+CTES["series"] = f"""
 SELECT strftime(s.submitted_at, '%Y-%m') AS month, s.company_id, s.portfolio_id, count(DISTINCT s.submission_id) AS submission_count,
-       CAST(sum(CASE WHEN kpi_key = 'revenue_growth' THEN CAST(numeric_value AS DECIMAL(38,6)) END) AS DOUBLE) / nullif(count(*) FILTER (kpi_key = 'revenue_growth'), 0) AS revenue_growth,
-       CAST(sum(CASE WHEN kpi_key = 'gross_profit_margin' THEN CAST(numeric_value AS DECIMAL(38,6)) END) AS DOUBLE) / nullif(count(*) FILTER (kpi_key = 'gross_profit_margin'), 0) AS gross_profit_margin,
-       CAST(sum(CASE WHEN kpi_key = 'ebitda_margin' THEN CAST(numeric_value AS DECIMAL(38,6)) END) AS DOUBLE) / nullif(count(*) FILTER (kpi_key = 'ebitda_margin'), 0) AS ebitda_margin,
-       CAST(sum(CASE WHEN kpi_key = 'cash_in_bank_end_of_year' THEN CAST(numeric_value AS DECIMAL(38,6)) END) AS DOUBLE) / nullif(count(*) FILTER (kpi_key = 'cash_in_bank_end_of_year'), 0) AS cash_in_bank_end_of_year,
-       CAST(sum(CASE WHEN kpi_key = 'annual_cash_flow' THEN CAST(numeric_value AS DECIMAL(38,6)) END) AS DOUBLE) / nullif(count(*) FILTER (kpi_key = 'annual_cash_flow'), 0) AS annual_cash_flow,
-       CAST(sum(CASE WHEN kpi_key = 'working_capital_debt' THEN CAST(numeric_value AS DECIMAL(38,6)) END) AS DOUBLE) / nullif(count(*) FILTER (kpi_key = 'working_capital_debt'), 0) AS working_capital_debt
+       {", ".join(f"{exact_avg(f"(CASE WHEN kpi_key = '{k}' THEN numeric_value END)")} AS {k}" for k in _SERIES)}
 FROM subs s JOIN parsed k ON s.submission_id = k.submission_id WHERE k.is_valid GROUP BY 1, 2, 3"""
-CTES["cavg"] = """
-SELECT company_id, CAST(sum(CAST(revenue_growth AS DECIMAL(38,6))) AS DOUBLE) / nullif(count(revenue_growth), 0) AS revenue_growth,
-       CAST(sum(CAST(gross_profit_margin AS DECIMAL(38,6))) AS DOUBLE) / nullif(count(gross_profit_margin), 0) AS gross_profit_margin,
-       CAST(sum(CAST(ebitda_margin AS DECIMAL(38,6))) AS DOUBLE) / nullif(count(ebitda_margin), 0) AS ebitda_margin
+CTES["cavg"] = f"""
+SELECT company_id, {", ".join(f"{exact_avg(k)} AS {k}" for k in _SERIES[:3])}
 FROM series GROUP BY company_id"""
 
 

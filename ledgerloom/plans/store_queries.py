@@ -309,11 +309,11 @@ def _(t: Tables):
 # ---- sources and sinks ----------------------------------------------------------------------
 
 @query("scan_csv", """
-SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_partkey < 500""")
+SELECT p_partkey, p_name, p_size, p_retailprice FROM part""")
 def _(t: Tables):
     path = work_path(t.spark, "csv")
-    parts = t.raw("part").select("p_partkey", "p_name", "p_size", "p_retailprice").orderBy("p_partkey").coalesce(1)
-    parts.write.option("header", True).csv(path)
+    parts = t.raw("part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    parts.repartition(8, "p_partkey").write.option("header", True).csv(path)
     rows = files.scan_csv(t.spark, path, "p_partkey bigint, p_name string, p_size int, p_retailprice double")
     return rows.select("p_partkey", "p_name", "p_size", "p_retailprice")
 
@@ -325,17 +325,13 @@ def _(t: Tables):
     return files.scan_csv(t.spark, path, "p_partkey bigint, p_name string", limit=None).select("p_partkey", "p_name")
 
 
-@query("scan_parquet", """
-SELECT c_custkey AS key, 'customer' AS src FROM (SELECT c_custkey, row_number() OVER (ORDER BY file_row_number) AS rn FROM read_parquet_customer) WHERE rn <= 500
-UNION ALL SELECT s_suppkey, 'supplier' FROM (SELECT s_suppkey, row_number() OVER (ORDER BY file_row_number) AS rn FROM read_parquet_supplier) WHERE rn <= 500""".replace(
-    "read_parquet_customer", "(SELECT c_custkey, c_custkey AS file_row_number FROM customer)").replace(
-    "read_parquet_supplier", "(SELECT s_suppkey, s_suppkey AS file_row_number FROM supplier)"))
+@query("scan_parquet", "SELECT c_custkey AS key, 'customer' AS src FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier")
 def _(t: Tables):
-    def first_rows(name: str, key: str):
+    def rows_of(name: str, key: str):
         rows = files.scan_parquet(t.spark, f"{t.sf_dir}/{name}.parquet")
         return rows.select(C(key).alias("key"), F.lit(name).alias("src"))
 
-    return first_rows("customer", "c_custkey").unionByName(first_rows("supplier", "s_suppkey"))
+    return rows_of("customer", "c_custkey").unionByName(rows_of("supplier", "s_suppkey"))
 
 
 def _vault(t: Tables) -> str:
@@ -440,11 +436,11 @@ ARRIVING = "submission_id string, file_hash string, company_id string, period_id
 
 
 def _arriving(t: Tables):
-    """Submissions as files in four waves, read as a stream of one file per trigger."""
+    """Submissions as files in four waves, read as a stream of eight files per trigger."""
     source = work_path(t.spark, "arriving")
     waves = t.subs.select("submission_id", "file_hash", "company_id", "period_id", "submitted_at", (C("seq") % 4).alias("wave"))
-    waves.repartition(4, "wave").write.parquet(source)
-    return t.spark.readStream.schema(ARRIVING).option("maxFilesPerTrigger", 1).parquet(source)
+    waves.repartition("wave", "submission_id").write.partitionBy("wave").parquet(source)
+    return t.spark.readStream.schema(ARRIVING).option("maxFilesPerTrigger", 8).parquet(source)
 
 
 @query("stream_dedup_hash", "SELECT DISTINCT file_hash FROM subs")

@@ -8,6 +8,7 @@ from ledgerloom import dims
 from ledgerloom.functions import text, values
 from ledgerloom.operators import analytics, audit, contract, documents, fidelity, resolve, store
 from ledgerloom.plans.fixtures import FX_BUCKETS, FX_COMPANIES, FX_NAMES, Tables
+from ledgerloom.plans.oracles import exact_avg
 from ledgerloom.plans.registry import query
 from ledgerloom.sources import files
 
@@ -208,8 +209,9 @@ def _(t: Tables):
 
 
 CATALOG = """
-SELECT CASE WHEN p_size % 10 = 0 THEN 'Standard_KPIs' ELSE 'cust' || CAST(p_partkey AS STRING) END AS company, p_name AS legacy_kpi, p_type AS target_kpi, p_brand AS audit_logic
-FROM {part} WHERE p_partkey < 500 OR p_size = 50"""
+SELECT 'cust' || CAST(p_partkey AS STRING) AS company, p_name AS legacy_kpi, p_type AS target_kpi, p_brand AS audit_logic
+FROM {part} WHERE p_size % 10 <> 0
+UNION ALL SELECT 'Standard_KPIs', max(p_name), min(p_type), CAST(p_size AS STRING) FROM {part} GROUP BY p_size"""
 
 
 @query("catalog_with_default", f"""
@@ -485,8 +487,8 @@ def _(t: Tables):
     return t.latest.select("submission_id", "company_id", "period_id", "is_latest_version")
 
 
-HISTORY = """SELECT company_id, kpi_key, strftime(l_shipdate, '%Y-%m') AS period,
-  CAST(sum(CAST(numeric_value AS DECIMAL(38,6))) AS DOUBLE) / count(*) AS value FROM parsed WHERE is_valid GROUP BY 1, 2, 3"""
+HISTORY = f"""SELECT company_id, kpi_key, strftime(l_shipdate, '%Y-%m') AS period,
+  {exact_avg("numeric_value")} AS value FROM parsed WHERE is_valid GROUP BY 1, 2, 3"""
 
 
 def _history(t: Tables):
@@ -561,12 +563,12 @@ def _(t: Tables):
 
 
 @query("ordered_findings", """
-SELECT submission_id, string_agg(kpi_key || '=' || n, ';' ORDER BY kpi_key) AS findings FROM (SELECT submission_id, kpi_key, count(*) AS n FROM flagged WHERE kpi_key <> 'unregistered_kpi' GROUP BY ALL) GROUP BY submission_id""")
+SELECT submission_id, string_agg(kpi_key || '=' || n, ';' ORDER BY kpi_key) AS findings FROM (SELECT submission_id, kpi_key, count(*) AS n FROM flagged GROUP BY ALL) GROUP BY submission_id""")
 def _(t: Tables):
-    facts = t.parsed.filter(C("kpi_key").isin(dims.KPI_KEYS)).select("id", "submission_id", "kpi_key", "period_id", "confidence", "is_valid")
+    facts = t.parsed.select("id", "submission_id", "kpi_key", "period_id", "confidence", "is_valid")
     flagged = audit.post_load_audit(facts, t.latest, ordered=False)
     per_kpi = flagged.groupBy("submission_id", "kpi_key").agg(F.count(F.lit(1)).alias("n"))
-    # one entry per registry KPI at most
+    # one entry per KPI that the document names
     listed = F.sort_array(F.collect_list(F.struct("kpi_key", "n")))
     line = F.transform(listed, lambda r: F.concat(r["kpi_key"], F.lit("="), r["n"].cast("string")))
     return per_kpi.groupBy("submission_id").agg(F.array_join(line, ";").alias("findings"))

@@ -43,11 +43,10 @@ def forward_fill(rows: DataFrame, column: str, order: str, sheet: list[str]) ->
 def catalog_from_csv(spark: SparkSession, path: str) -> DataFrame:
     """The same table from a CSV whose first column is filled only on the first row of a company."""
     raw = (
-        spark.read.option("header", False).option("multiLine", True).option("escape", '"')
+        spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"')
         .schema("company string, legacy_kpi string, target_kpi string, audit_logic string, note string").csv(path)
         .select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__pos"))
     )
-    body = raw.filter(F.col("__pos") > 0).drop("note")
-    filled = forward_fill(body, "company", "__pos", ["__file"])
+    filled = forward_fill(raw.drop("note"), "company", "__pos", ["__file"])
     position = F.row_number().over(Window.partitionBy("__file", "company").orderBy("__pos"))
     return filled.select("company", position.alias("position"), "legacy_kpi", "target_kpi", "audit_logic")

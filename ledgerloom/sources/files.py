@@ -1,4 +1,4 @@
-"""Tabular uploads: CSV and Parquet scans with a per-file row cap, and Markdown rendering."""
+"""Tabular uploads: CSV and Parquet scans, the row cap of a sheet, and Markdown rendering."""
 
 from __future__ import annotations
 
@@ -35,14 +35,15 @@ def _capped(df: DataFrame, limit: int | None) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
-             limit: int | None = ROWS_PER_SHEET, multi_line: bool = False) -> DataFrame:
-    """CSV with a header, at most ``limit`` rows per file (null: all); give a schema to avoid the inference pass."""
+             limit: int | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, every row (``limit``: the first ones of each file); a schema saves the inference pass."""
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return _capped(reader.csv(path), limit)
 
 
-def scan_parquet(spark: SparkSession, path: str | list[str], limit: int | None = ROWS_PER_SHEET) -> DataFrame:
+def scan_parquet(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
+    """Parquet files, every row; with ``limit`` the first rows of each file, numbered."""
     return _capped(spark.read.parquet(*([path] if isinstance(path, str) else path)), limit)
 
 
@@ -70,11 +71,11 @@ def markdown_lines(rows: DataFrame, sheet: list[str], columns: list[str], row_no
     return rows.select(*sheet, row_no, line.alias("line"))
 
 
-def render_markdown(rows: DataFrame, sheet: list[str], columns: list[str], row_no: str = "row_no",
-                    limit: int = ROWS_PER_SHEET) -> DataFrame:
-    """One Markdown table per sheet. Input must be capped and numbered (row_no <= limit), so a list is bounded."""
-    capped = rows.filter(F.col(row_no) <= limit)
-    lines = markdown_lines(capped, sheet, columns, row_no)
+def render_markdown(rows: DataFrame, sheet: list[str], columns: list[str], row_no: str = "row_no") -> DataFrame:
+    """One Markdown table per sheet, of all rows given. A table is one text: cap the sheets first
+    (``rows_per_sheet_cap``), or take ``markdown_lines``, which has a row per line and no such bound.
+    """
+    lines = markdown_lines(rows, sheet, columns, row_no)
     header = "| " + " | ".join(c.strip() for c in columns) + " |"
     rule = "| " + " | ".join(["---"] * len(columns)) + " |"
     body = F.array_join(

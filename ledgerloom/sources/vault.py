@@ -75,8 +75,8 @@ def result_items(stored: DataFrame, names: list[tuple[str, str]] | None = None)
 
 
 def result_by_hash(stored: DataFrame, file_hash: str) -> DataFrame:
-    """One stored result of a content hash; the filter reaches the file scan."""
-    return stored.filter(F.col("file_hash") == file_hash).limit(1)
+    """One stored result of a content hash, that of the first company; the filter reaches the file scan."""
+    return stored.filter(F.col("file_hash") == file_hash).orderBy("company_domain", "original_filename", "raw_json").limit(1)
 
 
 def copy_to_vault(incoming: DataFrame, stored: DataFrame) -> DataFrame:
