@@ -44,6 +44,15 @@ def decoded_only(df: DataFrame, text_col: str = "raw_json", out: str = "doc", fe
     return df.select("*", F.explode(found).alias(out))
 
 
+def quarantine(df: DataFrame, text_col: str = "raw_json", fenced: bool = False) -> DataFrame:
+    """The rows that ``decoded_only`` leaves out, with the reason: json_error or not_object."""
+    text = F.col(text_col)
+    plain = strip_code_fence(text) if fenced else text
+    return df.filter(decode(plain).isNull()).withColumn(
+        "reason", F.when(F.try_parse_json(plain).isNull(), "json_error").otherwise("not_object")
+    )
+
+
 def dig(doc: Column, keys: list[str], kind: str = "variant") -> Column:
     """Value at a path; null as soon as something on the way is not an object."""
     return F.try_variant_get(doc, json_path(keys), kind)
@@ -245,47 +254,63 @@ def metrics_json(nodes: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *top), F.lit("}"))
 
 
+def _object_with(node: Column, replaced: dict[str, Column]) -> Column:
+    """JSON text of an object with every member it has; those named in ``replaced`` come from there (null: absent)."""
+    own = F.map_filter(F.try_variant_get(node, "$", "map<string,variant>"), lambda name, _: ~name.isin(*replaced))
+    kept = F.transform(F.map_entries(own), lambda e: F.concat(json_string(e["key"]), F.lit(":"), F.to_json(e["value"])))
+    added = F.array_compact(F.array(*[F.concat(F.lit(f'"{name}":'), text) for name, text in replaced.items()]))
+    members = F.concat(F.coalesce(kept, F.array().cast("array<string>")), added)
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
+def document_with(doc: Column, nodes: dict[str, Column], context: Column | None = None, sections: bool = False) -> Column:
+    """JSON text of a document whose registry KPIs are the given JSON texts (null: absent); all else is kept.
+
+    A section that is no object is replaced only where a KPI goes into it. ``sections`` adds the required ones, empty.
+    """
+    top: dict[str, Column] = {}
+    inside: dict[str, dict[str, Column]] = {name: {} for name in dims.REQUIRED_SECTIONS if sections}
+    for key, _, path, _ in dims.KPI_REGISTRY:
+        if len(path) == 1:
+            empty = F.lit("{}") if sections and path[0] in dims.REQUIRED_SECTIONS else F.lit(None).cast("string")
+            top[path[0]] = F.coalesce(nodes[key], empty)
+        else:
+            inside.setdefault(path[0], {})[path[-1]] = nodes[key]
+    for section, members in inside.items():
+        if section in top:
+            continue
+        node = dig(doc, [dims.ROOT, section])
+        filled = F.lit(False)
+        for text in members.values():
+            filled = filled | text.isNotNull()
+        whole = is_object(node) | filled | (F.lit(sections and section in dims.REQUIRED_SECTIONS) & node.isNull())
+        top[section] = F.when(whole, _object_with(node, members or {"": F.lit(None).cast("string")})).otherwise(F.to_json(node))
+    root = dig(doc, [dims.ROOT])
+    text = _object_with(root, top)
+    metrics = F.when(is_object(root) | (text != "{}"), text).otherwise(F.to_json(root))
+    replaced = {dims.ROOT: metrics} | ({} if context is None else {dims.CONTEXT: context})
+    return F.when(doc.isNotNull(), _object_with(doc, replaced))
+
+
 def patch_document(docs: DataFrame, patches: DataFrame, doc_id: str, doc: str = "doc") -> DataFrame:
     """Replace single metric values, leaving every sibling as it is.
 
     ``patches``: doc_id, kpi_key, value -- one row per metric. The patches of a document
-    are turned into at most 16 columns and joined once; each registry node is rebuilt in place.
+    are turned into at most 16 columns and joined once; each document is rebuilt with all its
+    members. A rebuilt text that is not JSON stops the query.
     """
     wide = patches.groupBy(doc_id).agg(
         *[F.max(F.when(F.col("kpi_key") == k, F.col("value"))).alias("p_" + k) for k in dims.KPI_KEYS]
     )
     joined = docs.join(wide, doc_id, "left")
-    nodes = {}
+    nodes, patched = {}, F.lit(False)
     for k in dims.KPI_KEYS:
         old = dig(F.col(doc), dims.KPI_PATHS[k])
         new = F.col("p_" + k)
-        rest = F.map_filter(
-            F.try_variant_get(old, "$", "map<string,variant>"), lambda name, _: name != "value"
-        )
-        members = F.concat_ws(
-            ",",
-            F.concat(F.lit('"value":'), json_string(new)),
-            F.array_join(
-                F.transform(
-                    F.map_entries(rest),
-                    lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.to_json(e["value"])),
-                ),
-                ",",
-            ),
-        )
-        rebuilt = F.concat(F.lit("{"), F.regexp_replace(members, ",$", ""), F.lit("}"))
-        nodes[k] = F.when(new.isNotNull(), rebuilt).otherwise(F.to_json(old))
-    context = F.to_json(dig(F.col(doc), [dims.CONTEXT]))
-    text = F.concat(
-        F.lit("{"),
-        F.concat_ws(
-            ",",
-            F.concat(F.lit(f'"{dims.CONTEXT}":'), context),
-            F.concat(F.lit(f'"{dims.ROOT}":'), metrics_json(nodes)),
-        ),
-        F.lit("}"),
-    )
-    return joined.withColumn(doc, F.try_parse_json(text)).select(*docs.columns)
+        nodes[k] = F.when(new.isNotNull(), _object_with(old, {"value": json_string(new)})).otherwise(F.to_json(old))
+        patched = patched | new.isNotNull()
+    text = document_with(F.col(doc), nodes)
+    return joined.withColumn(doc, F.when(patched, F.parse_json(text)).otherwise(F.col(doc))).select(*docs.columns)
 
 
 def manual_entry(wide: DataFrame, ids: list[str]) -> DataFrame:
@@ -320,10 +345,11 @@ def merge_chunks(rows: DataFrame, doc_id: str = "doc_id", chunk: str = "chunk_id
 
 def merge_chunk_documents(chunks: DataFrame, doc_id: str = "doc_id", chunk: str = "chunk_id", doc: str = "doc",
                           mode: str = "reference") -> DataFrame:
-    """Chunk documents to merged documents: doc_id, context_json, and the 16 KPI rows.
+    """Chunk documents to merged documents: doc_id and raw_json.
 
-    A scalar of the first chunk survives only when no chunk has an object with a value. The
-    context comes from the first chunk (``intended``: from the first chunk that has one).
+    The first chunk's document with all its members, the best node of each KPI, and the required
+    sections. A scalar of the first chunk survives only when no chunk has an object with a value.
+    The context comes from the first chunk (``intended``: from the first chunk that has one).
     """
     numbered = chunks.select(doc_id, chunk, doc)
     entries = F.array(
@@ -344,30 +370,21 @@ def merge_chunk_documents(chunks: DataFrame, doc_id: str = "doc_id", chunk: str
         .filter(F.col("__rank") == 1)
         .select(doc_id, "ordinal", "kpi_key", "node_json")
     )
-    context = F.to_json(dig(F.col(doc), [dims.CONTEXT]))
-    ranked = numbered.select(doc_id, chunk, context.alias("context_json"))
-    if mode == "intended":
-        ranked = ranked.withColumn("__has", F.col("context_json").isNull().cast("int"))
-    else:
-        ranked = ranked.withColumn("__has", F.lit(0))
-    chosen = (
-        ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(doc_id).orderBy("__has", chunk)))
-        .filter(F.col("__rank") == 1)
-        .select(doc_id, "context_json")
-    )
     per_doc = merged.groupBy(doc_id).agg(
         *[F.max(F.when(F.col("kpi_key") == k, F.col("node_json"))).alias("n_" + k) for k in dims.KPI_KEYS]
     )
-    joined = per_doc.join(chosen, doc_id, "left")
-    text = F.concat(
-        F.lit("{"),
-        F.concat_ws(
-            ",",
-            F.concat(F.lit(f'"{dims.CONTEXT}":'), F.col("context_json")),
-            F.concat(F.lit(f'"{dims.ROOT}":'), metrics_json({k: F.col("n_" + k) for k in dims.KPI_KEYS})),
-        ),
-        F.lit("}"),
-    )
+
+    def first_of(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(chunk))
+        return rows.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank", chunk)
+
+    joined = first_of(numbered).join(per_doc, doc_id)
+    context = None
+    if mode == "intended":
+        own = F.to_json(dig(F.col(doc), [dims.CONTEXT]))
+        with_context = first_of(numbered.select(doc_id, chunk, own.alias("context_json")).filter("context_json IS NOT NULL"))
+        joined, context = joined.join(with_context, doc_id, "left"), F.col("context_json")
+    text = document_with(F.col(doc), {k: F.col("n_" + k) for k in dims.KPI_KEYS}, context, sections=True)
     return joined.select(doc_id, text.alias("raw_json"))
 
 

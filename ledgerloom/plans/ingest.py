@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.dims import KPI_KEYS
 from ledgerloom.functions.periods import period_year
@@ -66,12 +66,17 @@ class Inserted:
     """What a batch does to the store."""
 
     headers: DataFrame      # new submissions, latest flag set within the batch
-    rows: DataFrame         # their KPI rows
+    rows: DataFrame         # their KPI rows, with id and created_at
     rejected: DataFrame     # submissions with blocking errors (quarantine)
     duplicates: DataFrame   # submissions whose hash is already stored
     retired: DataFrame      # stored submissions with updated latest flags
 
 
+def row_id() -> Column:
+    """Id of a KPI row: a document has one row per KPI, and at most one derived row besides."""
+    return F.concat_ws("-", "submission_id", "kpi_key", F.coalesce(F.col("ordinal").cast("string"), F.lit("derived")))
+
+
 def insert_contracts(contracts: Contracts, stored: DataFrame, names: list[tuple[str, str]] | None = None,
                      portfolio: list[tuple[str, str]] | None = None, mode: str = "reference") -> Inserted:
     """Audit, drop rejected and duplicate documents, retire older versions, fill in the fund."""
@@ -80,7 +85,7 @@ def insert_contracts(contracts: Contracts, stored: DataFrame, names: list[tuple[
     rows = contracts.rows.join(attributes, "submission_id").withColumns(
         {
             "row_seq": F.coalesce("ordinal", F.lit(len(KPI_KEYS) + 1)),
-            "id": F.concat_ws("-", "submission_id", "kpi_key", "ordinal"),
+            "id": row_id(),
         }
     )
     verdicts = audit.contract_audit(audit.contract_findings(rows, headers, mode), headers)
@@ -90,5 +95,7 @@ def insert_contracts(contracts: Contracts, stored: DataFrame, names: list[tuple[
     fresh, duplicates = store.dedup_against_store(accepted, stored)
     fresh = store.latest_version(store.dedup_by_hash(fresh))  # copies within the batch count once
     fresh = store.fill_portfolio(fresh, portfolio).drop("errors", "warnings", "blocking_errors", "passed")
-    kept = contracts.rows.join(fresh.select("submission_id"), "submission_id", "left_semi")
+    # submitted_at stands for the current time, so a repeated batch gives equal rows
+    placed = fresh.select("submission_id", F.col("submitted_at").cast("timestamp").alias("created_at"))
+    kept = contracts.rows.join(placed, "submission_id").withColumn("id", row_id())
     return Inserted(fresh, kept, rejected, duplicates, store.retire_versions(stored, fresh))

@@ -199,7 +199,9 @@ def oracle_query(sql: str) -> str:
         need(name)
     if not ordered:
         return sql
-    head = ", ".join(f"{name} AS ({CTES[name]})" for name in ordered)
+    # the dear ones are computed once, however often they are used
+    once = {"parsed", "first_kpi", "docrows", "docyear"}
+    head = ", ".join(f"{name} AS {'MATERIALIZED ' * (name in once)}({CTES[name]})" for name in ordered)
     stripped = sql.strip()
     if stripped[:5].upper() == "WITH ":
         return f"WITH {head}, {stripped[5:]}"

@@ -293,11 +293,17 @@ def _inserted(t: Tables):
 
 
 @query("insert_contract_rows", """
-SELECT r.submission_id, r.kpi_key, r.numeric_value, CASE WHEN r.numeric_value IS NULL THEN NULL WHEN r.currency = 'USD' THEN 1.0 ELSE x.rate END AS fx_rate
-FROM docrows r LEFT JOIN docyear y ON r.submission_id = y.submission_id
+WITH ok AS (SELECT * FROM docset WHERE file_hash NOT IN (SELECT file_hash FROM subs WHERE seq % 7 = 0)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY submitted_at, submission_id) AS rn FROM ok) WHERE rn = 1)
+SELECT r.submission_id || '-' || r.kpi_key || '-' || r.ordinal AS id, r.submission_id, r.kpi_key, r.numeric_value, CASE WHEN r.numeric_value IS NULL THEN NULL WHEN r.currency = 'USD' THEN 1.0 ELSE x.rate END AS fx_rate
+FROM docrows r JOIN one o ON o.submission_id = r.submission_id LEFT JOIN docyear y ON r.submission_id = y.submission_id
 LEFT JOIN dim_fx x ON x.currency = r.currency AND x.year = least(greatest(coalesce(CAST(y.year AS INTEGER), CAST(year(r.submitted_at) AS INTEGER)), 2019), 2025)""")
 def _(t: Tables):
-    return ingest.build_contracts(t.docs).rows.select("submission_id", "kpi_key", "numeric_value", "fx_rate")
+    """Documents to stored facts: the inserted rows appended to a fact table and read back."""
+    path = work_path(t.spark, "facts")
+    store.append_rows(_inserted(t).rows, path, store.FACT_LAYOUT)
+    stored = store.read_or_empty(t.spark, path, store.FACT_LAYOUT).filter("created_at IS NOT NULL")
+    return stored.select("id", "submission_id", "kpi_key", "numeric_value", "fx_rate")
 
 
 @query("insert_contract_duplicates", """
@@ -306,6 +312,13 @@ def _(t: Tables):
     return _inserted(t).duplicates.select("submission_id", "stored_submission_id")
 
 
+@query("quarantine_documents", """
+SELECT submission_id, CASE WHEN form = 'broken' THEN 'json_error' ELSE 'not_object' END AS reason FROM subs
+WHERE form IN ('broken', 'array') AND submission_id IN (SELECT submission_id FROM kpi)""")
+def _(t: Tables):
+    return documents.quarantine(t.raw_docs, fenced=True).select("submission_id", "reason")
+
+
 # ---- sources and sinks ----------------------------------------------------------------------
 
 @query("scan_csv", """

@@ -71,6 +71,35 @@ def test_patch_keeps_siblings(spark):
     assert out["_document_context"] == GOLDEN["_document_context"]
 
 
+ODD_DOC = {
+    "financial_metrics_2025": {
+        "base_metrics": {"revenue": node("1"), 'own "kpi"': {"value": 5}, "note": None},
+        "extra_section": {"x": [1, 2]}, "profit_margins": "n/a"},
+    'root "key"': {"a": 1}, "other": True}
+
+
+def test_patch_keeps_what_the_registry_does_not_name(spark):
+    docs = documents.decoded_only(docs_of(spark, ODD_DOC, ODD_DOC)).select("submission_id", "doc")
+    patches = spark.createDataFrame([("S0", "revenue", "2"), ("S0", "ebitda", "3")], "submission_id string, kpi_key string, value string")
+    out = {r[0]: json.loads(r[1]) for r in documents.patch_document(docs, patches, "submission_id").select("submission_id", F.to_json("doc")).collect()}
+    expected = json.loads(json.dumps(ODD_DOC))
+    expected["financial_metrics_2025"]["base_metrics"] |= {"revenue": node("2"), "ebitda": {"value": "3"}}
+    assert out == {"S0": expected, "S1": ODD_DOC}
+
+
+def test_merge_keeps_the_first_document_and_adds_sections(spark):
+    rows = [("d", 0, json.dumps(ODD_DOC)), ("d", 1, json.dumps(chunk(node("9", 1.0)))), ("e", 0, json.dumps({"only": 1}))]
+    chunks = documents.decode_json_doc(spark.createDataFrame(rows, "doc_id string, chunk_id int, raw_json string"))
+    out = {r["doc_id"]: json.loads(r["raw_json"]) for r in documents.merge_chunk_documents(chunks).collect()}
+    expected = json.loads(json.dumps(ODD_DOC))
+    if (node("1")["confidence"] or 0) < 1.0:
+        expected["financial_metrics_2025"]["base_metrics"]["revenue"] = node("9", 1.0)
+    for section in ("revenue_growth", "profit_margins", "cash_flow_indicators", "debt_ratios", "base_metrics", "sector_metrics"):
+        expected["financial_metrics_2025"].setdefault(section, {})
+    assert out["d"] == expected
+    assert out["e"] == {"only": 1, "financial_metrics_2025": {k: {} for k in ("revenue_growth", "profit_margins", "cash_flow_indicators", "debt_ratios", "base_metrics", "sector_metrics")}}
+
+
 def chunk(revenue, context=None):
     doc = {"financial_metrics_2025": {"base_metrics": {"revenue": revenue}}}
     return doc | ({"_document_context": context} if context else {})
