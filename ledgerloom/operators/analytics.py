@@ -12,7 +12,7 @@ from ledgerloom.operators.skew import attach_by_key, count_by
 
 
 def portfolio_analytics(facts: DataFrame, submissions: DataFrame, portfolio_id: str | None = None,
-                        metrics: list[str] | None = None, mode: str = "reference", ordered: bool = True) -> DataFrame:
+                        metrics: list[str] | None = None, mode: str = "reference", ordered: bool = False) -> DataFrame:
     """Per (month, company, fund): number of submissions and the average of each metric over valid rows.
 
     The facts are summed per submission before the join, so what meets the submissions is one

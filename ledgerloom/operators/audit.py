@@ -159,6 +159,45 @@ def contract_audit(findings: DataFrame, submissions: DataFrame) -> DataFrame:
     )
 
 
+def contract_verdicts(rows: DataFrame, submissions: DataFrame, mode: str = "reference") -> DataFrame:
+    """``contract_audit`` of ``contract_findings`` from one pass over the rows: findings are counted, not listed.
+
+    Rows are counted per (submission, kpi, period) first, so a repeated KPI is one row from there on, and its
+    duplicates are its count less one.
+    """
+    joined = metric_dim_join(rows)
+    orphan = ~F.col("submission_id").eqNullSafe(F.col("contract_id"))
+    unknown, wrong = F.col("unit_expected").isNull(), wrong_bucket("bucket_id")
+    blocking = orphan.cast("long") + (F.lit(0) if mode == "intended" else unknown.cast("long"))
+    warning = F.coalesce(unit_mismatch(F.col("unit"), F.col("unit_expected")), F.lit(False)).cast("long")
+    warning = warning + (unknown.cast("long") if mode == "intended" else F.lit(0))
+    key = ["kpi_key", "period_id"]
+    grouped = joined.groupBy("contract_id", "submission_id", *key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(blocking).alias("blocking"),
+        F.count_if(F.coalesce(wrong, F.lit(False))).alias("wrong"), F.sum(warning).alias("warnings"),
+    )
+    zero = F.lit(0).cast("bigint")
+    # what a row itself shows belongs to its contract, a repeated key to its submission
+    owners = F.array(
+        F.struct(F.col("contract_id").alias("owner"), zero.alias("n"), "blocking", "wrong", "warnings"),
+        F.struct(F.col("submission_id").alias("owner"), F.col("n"), zero.alias("blocking"), zero.alias("wrong"), zero.alias("warnings")),
+    )
+    per_key = grouped.select(*key, F.inline(owners)).groupBy("owner", *key).agg(
+        F.greatest(F.sum("n") - 1, zero).alias("repeated"), *[F.sum(c).alias(c) for c in ("blocking", "wrong", "warnings")]
+    )
+    counts = per_key.groupBy(F.col("owner").alias("submission_id")).agg(
+        F.sum(F.col("repeated") + F.col("blocking")).alias("blocking_errors"), F.sum("wrong").alias("wrong"), F.sum("warnings").alias("warnings")
+    )
+    bad_period = (~valid_period(F.coalesce("period_id", F.lit("")))).cast("long")
+    blocking_errors = F.coalesce("blocking_errors", zero) + F.col("bad_period")
+    errors = blocking_errors + F.coalesce("wrong", zero)
+    heads = submissions.select("submission_id", "bucket_id", bad_period.alias("bad_period"))
+    return heads.join(counts, "submission_id", "left").select(
+        "submission_id", "bucket_id", (errors == 0).alias("passed"), errors.alias("errors"),
+        F.coalesce("warnings", zero).alias("warnings"), blocking_errors.alias("blocking_errors"),
+    )
+
+
 def with_audit_bucket(submissions: DataFrame, names: list[tuple[str, str]] | None = None) -> DataFrame:
     return submissions.withColumn("bucket_id", company_bucket_substr(F.col("company_id"), names))
 
@@ -179,7 +218,7 @@ AUDIT_LOW = "ADVERTENCIA: Confianza baja (<0.85)"
 
 
 def post_load_audit(facts: DataFrame, submissions: DataFrame, portfolio_id: str | None = None,
-                    ordered: bool = True) -> DataFrame:
+                    ordered: bool = False) -> DataFrame:
     """Flagged rows of the latest submissions; a row gets the first status that applies.
 
     A null is_valid is neither valid nor invalid (three-valued logic).

@@ -62,9 +62,9 @@ def is_object(node: Column) -> Column:
     return F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
 
 
-def _scalar_text(node: Column) -> Column:
+def _scalar_text(node: Column, kind: Column | None = None) -> Column:
     """Text of a JSON scalar as the extraction code prints it (strings bare, True/False/None words)."""
-    kind = F.schema_of_variant(node)
+    kind = F.schema_of_variant(node) if kind is None else kind
     return (
         F.when(kind == "STRING", F.try_variant_get(node, "$", "string"))
         .when(kind == "VOID", F.lit(None).cast("string"))
@@ -74,8 +74,7 @@ def _scalar_text(node: Column) -> Column:
     )
 
 
-def _kind_name(node: Column) -> Column:
-    kind = F.schema_of_variant(node)
+def _kind_name(kind: Column) -> Column:
     return (
         F.when(kind == "STRING", "str")
         .when(kind == "BOOLEAN", "bool")
@@ -133,20 +132,23 @@ def explode_kpis(docs: DataFrame, doc: str = "doc", keep: list[str] | None = Non
         ]
     )
     node = F.col("node")
-    rows = docs.select(*keep, F.inline(entries)).withColumn("is_node", is_object(node))
+    # each in a projection of its own, so that no path or type is looked at twice
+    rows = docs.select(*keep, F.inline(entries)).withColumn("node_kind", F.schema_of_variant(node))
+    rows = rows.withColumn("is_node", F.coalesce(F.col("node_kind").startswith("OBJECT"), F.lit(False)))
+    rows = rows.withColumn("scalar", F.when(F.col("is_node"), F.try_variant_get(node, "$.value", "variant")).otherwise(node))
+    rows = rows.withColumn("kind", F.when(F.col("is_node"), F.schema_of_variant("scalar")).otherwise(F.col("node_kind")))
     read = rows.select(
         *keep,
         "ordinal",
         "kpi_key",
         "kpi_label",
         "unit_type",
-        F.when(F.col("is_node"), _scalar_text(F.try_variant_get(node, "$.value", "variant")))
-        .otherwise(_scalar_text(node)).alias("raw_value"),
+        _scalar_text(F.col("scalar"), F.col("kind")).alias("raw_value"),
         F.when(F.col("is_node"), F.try_variant_get(node, "$.description", "string")).alias("source_description"),
         F.when(F.col("is_node"), F.try_variant_get(node, "$.confidence", "double")).alias("confidence"),
         F.when(
-            ~F.col("is_node") & (F.schema_of_variant(node) != "VOID"),
-            F.concat(F.lit("KPI '"), F.col("kpi_key"), F.lit("' node is not a dict: "), _kind_name(node)),
+            ~F.col("is_node") & (F.col("node_kind") != "VOID"),
+            F.concat(F.lit("KPI '"), F.col("kpi_key"), F.lit("' node is not a dict: "), _kind_name(F.col("node_kind"))),
         ).alias("node_warning"),
     )
     parsed = values.with_parsed(read, F.col("raw_value"), "numeric_value", "__unit", mode)

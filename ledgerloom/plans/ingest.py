@@ -88,7 +88,7 @@ def insert_contracts(contracts: Contracts, stored: DataFrame, names: list[tuple[
             "id": row_id(),
         }
     )
-    verdicts = audit.contract_audit(audit.contract_findings(rows, headers, mode), headers)
+    verdicts = audit.contract_verdicts(rows, headers, mode)
     judged = headers.join(verdicts.drop("bucket_id"), "submission_id")
     accepted = judged.filter(F.col("blocking_errors") == 0)
     rejected = judged.filter(F.col("blocking_errors") > 0).select("submission_id", "errors", "warnings", "blocking_errors")

@@ -80,7 +80,7 @@ def _(t: Tables):
         "id", "row_seq", "submission_id", C("submission_id").alias("contract_id"), "company_id", "bucket_id", "kpi_key",
         "period_id", "confidence", F.expr(UNIT_CHECK).alias("unit"),
     )
-    return audit.contract_audit(audit.contract_findings(rows, t.subs), t.subs)
+    return audit.contract_verdicts(rows, t.subs)
 
 
 # ---- fidelity -------------------------------------------------------------------------------

@@ -207,6 +207,19 @@ def test_hot_keys_are_split_without_changing_results(spark):
     assert split.select("id", "n").exceptAll(skew.attach_by_key(rows, counts, ["key"], hot_rows=10**6).select("id", "n")).count() == 0
 
 
+def test_contract_verdicts_count_what_the_findings_list(spark):
+    rows = spark.createDataFrame(
+        [("1", 1, "A", "A", "c", "SAAS", "revenue", "FY2024", 1.0, "$"), ("2", 2, "A", "A", "c", "SAAS", "revenue", "FY2024", 1.0, "%"),
+         ("3", 3, "A", "B", "c", "SAAS", "revenue", "FY2024", 1.0, "$"), ("4", 4, "B", "B", "c", "LEND", "mrr", "FY2024", 0.99, "$"),
+         ("5", 5, "B", "B", "c", "LEND", "own", None, 0.5, "x"), ("6", 6, "B", "B", "c", "LEND", "own", None, None, None), ("7", 7, "Z", "A", "c", "SAAS", "cogs", "FY2024", None, "%")],
+        "id string, row_seq int, submission_id string, contract_id string, company_id string, bucket_id string, kpi_key string, period_id string, confidence double, unit string")
+    subs = spark.createDataFrame([("A", "SAAS", "FY2024"), ("B", "LEND", "soon"), ("C", "OTH", None)], "submission_id string, bucket_id string, period_id string")
+    for mode in ("reference", "intended"):
+        listed = audit.contract_audit(audit.contract_findings(rows, subs, mode), subs)
+        counted = audit.contract_verdicts(rows, subs, mode).select(*listed.columns)
+        assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, listed.collect()))
+
+
 def test_latest_version_one_per_key(spark):
     subs = spark.createDataFrame([("1", "c", "P", 1), ("2", "c", "P", 2), ("3", "c", "P", 2), ("4", "c", "", 1), ("5", "", "P", 1), ("6", "d", "P", 9)],
                                  "submission_id string, company_id string, period_id string, submitted_at int")
