@@ -463,6 +463,16 @@ def _(t: Tables):
     return t.spark.read.parquet(path).select("file_hash")
 
 
+@query("stream_dedup_watermark", "SELECT DISTINCT file_hash FROM subs")
+def _(t: Tables):
+    """Duplicates dropped by the state of the stream alone; the delay spans the data, so no hash is forgotten."""
+    path, checkpoint = work_path(t.spark, "hashes"), work_path(t.spark, "checkpoint")
+    arriving = _arriving(t).select("file_hash", C("submitted_at").cast("timestamp").alias("submitted_at"))
+    unique = streams.dedup_within_watermark(arriving, "36500 days")
+    unique.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(path).select("file_hash")
+
+
 @query("stream_upsert_latest", "SELECT submission_id, company_id, period_id, is_latest_version FROM latest")
 def _(t: Tables):
     path, checkpoint = work_path(t.spark, "submissions"), work_path(t.spark, "checkpoint")
