@@ -16,7 +16,6 @@ Defined cases: a null text is empty and has the end id only; rows that share a d
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -33,18 +32,20 @@ from ledgerloom.session import work_path
 END_ID = 0
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 50_000
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 400_000
 MAGIC = 0x0058444E49444954
 NULL_ID = -(1 << 63)
 
-_UNEVEN = re.compile(r"\s\s|^\s|\s$")
+_MARKS = ".,;:!?#$%&*"
 
 
 class Encoder:
     """A tokenizer of the tokenizers library that remembers words.
 
     With a byte-level pre-tokenizer a lone space between other characters always begins a new pre-token, so the ids of a
-    text are those of its space-separated words, each with the space before it. Texts with other spacing are encoded whole.
+    text are those of its space-separated words, each with the space before it; likewise marks after a letter begin a new
+    pre-token, so words that differ in the marks behind them are encoded once. Texts in which a space has white space or
+    nothing beside it are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -56,31 +57,57 @@ class Encoder:
         self.by_word = self.library.normalizer is None and str(self.library.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
         self.opens[[i for token, i in self.library.get_vocab().items() if token.startswith("Ġ")]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, bytes | None] = {"": None}  # None: the text is to be encoded whole
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
+    def spaced(self, words: list[str]) -> None:
+        """Learn words that neither begin nor end with white space."""
         for low in range(0, len(words), 1000):
             some = words[low : low + 1000]
-            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, self.dtype)
-            starts = np.flatnonzero(self.opens[ids]).tolist()
+            found = self.whole([" " + " ".join(some)])[0]
+            width = self.dtype.itemsize
+            starts = (width * np.flatnonzero(self.opens[np.frombuffer(found, self.dtype)])).tolist()
             if len(starts) == len(some):
-                self.known.update(zip(some, (ids[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(ids)], strict=True)), strict=True))
+                self.known.update(zip(some, [found[a:b] for a, b in zip(starts, [*starts[1:], len(found)], strict=True)], strict=True))
             else:
                 self.known.update(zip(some, self.whole([f" {w}" for w in some]), strict=True))
 
+    def learn(self, words: Iterable[str]) -> None:
+        plain, marked = [], []
+        for word in words:
+            if word[0].isspace() or word[-1].isspace():
+                self.known[word] = None
+            elif (stem := word.rstrip(_MARKS)) != word and stem[-1:].isalpha():
+                marked.append((word, stem))
+            else:
+                plain.append(word)
+        stems = {stem for _, stem in marked if stem not in self.known}
+        self.spaced([*plain, *(stems - set(plain))])
+        for word, stem in marked:
+            marks = word[len(stem) :]
+            if marks not in self.marks:
+                self.marks[marks] = self.whole([marks])[0]
+            self.known[word] = self.known[stem] + self.marks[marks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, without the end id."""
         if len(self.known) > KNOWN_WORDS:
-            self.known = {"": b""}
-        split = [None if not self.by_word or _UNEVEN.search(x) else x.split(" ") for x in texts]
-        new = {word for words in split if words for word in words[1:]}
-        self.learn([w for w in new if w not in self.known])
-        heads = iter(self.whole([x if words is None else words[0] for x, words in zip(texts, split, strict=True)]))
-        known = self.known
-        return [next(heads) if words is None else next(heads) + b"".join([known[w] for w in words[1:]]) for words in split]
+            self.forget()
+        known, split = self.known, [x.split(" ") for x in texts]
+        if self.by_word:
+            self.learn(set().union(*(words[1:] for words in split)) - known.keys())
+        out: list[bytes | None] = []
+        for words in split:
+            parts = [known[w] for w in words[1:]] if self.by_word and words[0] and not words[0][-1].isspace() else [None]
+            out.append(None if None in parts else b"".join(parts))
+        first = iter(self.whole([x if rest is None else words[0] for x, words, rest in zip(texts, split, out, strict=True)]))
+        return [next(first) if rest is None else next(first) + rest for rest in out]
 
 
 @lru_cache(maxsize=1)
