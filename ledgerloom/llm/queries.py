@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +33,11 @@ def op5_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_index(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return token_index.encoded_documents(table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    if tokenizer is None:
+        from public_tokenizers import path
+
+        tokenizer = path("byte_bpe_50k.json")
+    return token_index.encoded_documents(table(spark, sf_dir, "documents"), tokenizer)
 
 
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
