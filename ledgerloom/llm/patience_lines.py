@@ -141,6 +141,7 @@ def delete_shared_blocks(docs: DataFrame) -> DataFrame:
     # A document has at most one partner per line of its own.
     found = blocks.groupBy("id", "digest").agg(F.collect_list("blocks").alias("found"), F.array_sort(F.collect_set("partner")).alias("partners"))
     texts = id_and_text(docs, digest().alias("digest")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "doc_id", "digest", "text")
-    joined = texts.join(staged(found, "blocks"), ["id", "digest"], "left")
+    # A sort-merge join at any size: a small list would be broadcast, a large one not, and plan and disk would jump.
+    joined = texts.join(staged(found, "blocks").hint("merge"), ["id", "digest"], "left")
     kept = joined.select("doc_id", "text", "found", F.coalesce("partners", F.array().cast("array<long>")).alias("partners"))
     return kept.mapInArrow(_without, "doc_id long, n_lines long, n_deleted long, deleted array<int>, partners array<long>, text string")
