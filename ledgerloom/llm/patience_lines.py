@@ -1,11 +1,20 @@
 """Line deduplication by pairwise alignment.
 
-Lines are compared without white space at their ends. A line that is not repeated inside its document and has at least
-RARE_WORDS words can link documents: each document is paired with the earliest document (smallest doc_id) that has the
-line. A line shared by any number of documents so gives each later one a single partner, and no pairs among them; no line
-or partner is left out for being frequent. Each pair is aligned by patience diff (lines that occur once in both, longest
-rising chain, then the same again between and around the chain's lines), and aligned blocks of at least BLOCK_WORDS words
-are deleted from the later document. Every deleted line is still in an earlier document.
+Lines are compared without white space at their ends. A line of a document is deleted if it lies in a run of consecutive
+lines, of RUN_WORDS words or more together, that an earlier document (smaller doc_id) has as well: any line of that many
+words, and any block of shorter lines. This holds against all earlier documents, wherever the run stands in them and
+however often it occurs in either.
+
+Documents are linked by the shortest runs that reach RUN_WORDS words: of each line, the one that begins with it and the
+one that ends with it. Every line of a longer common run lies in such a run inside it, so these links are enough. Each
+run links its documents to its earliest holder alone: a run shared by any number of documents gives each later one a
+single partner, and no pairs among them; no run or partner is left out for being frequent. Each pair is aligned by
+patience diff (lines that occur once in both, longest rising chain, then the same again between and around the chain's
+lines). Aligned blocks of RUN_WORDS words or more are deleted from the later document, and so are the linking runs that
+stand in another order, or more often, and cannot be aligned. Every deleted line is still in an earlier document.
+
+``delete_shared_blocks`` is the narrower first form: single lines link, to their first holder, and only aligned blocks of
+BLOCK_WORDS words are deleted. No query uses it.
 
 Defined cases: null and empty texts have no lines; null doc_ids come before all others; rows that share a doc_id are
 never partners of each other; repeated rows get the same result each; an empty table gives no rows; other columns are
@@ -18,13 +27,15 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import digest, id_and_text, slices, staged
+from ledgerloom.llm.common import Rolling, digest, id_and_text, mixed, slices, staged
 
+RUN_WORDS = 5
 RARE_WORDS = 5
 BLOCK_WORDS = 10
 NULL_ID = -(1 << 63)
@@ -46,6 +57,34 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "lines", "words", "rare"])
 
 
+def runs(own: Sequence[int], count: Sequence[int], least: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and fingerprint of the shortest runs of ``least`` words that begin or end with each line."""
+    before = np.concatenate([[0], np.cumsum(np.asarray(count, np.int64))]).astype(np.int64)
+    place = np.arange(len(before))
+    end = np.searchsorted(before, before + least)
+    start = np.searchsorted(before, before - least, side="right") - 1
+    ahead, behind = end < len(before), start >= 0
+    both = np.stack([np.concatenate([place[ahead], start[behind]]), np.concatenate([end[ahead], place[behind]])])
+    low, high = np.unique(both, axis=1) if both.shape[1] else both
+    rolling = Rolling(np.asarray(own, np.int64).view(np.uint64))
+    return low, high, mixed((rolling.sums[high] - rolling.sums[low]) * rolling.back[low] + (high - low).astype(np.uint64)).view(np.int64)
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes and word counts of each document's lines, and its runs with their places (start and end in one long)."""
+    for batch in slices(batches):
+        hashes, words, linking, places = [], [], [], []
+        for text in batch.column("text").to_pylist():
+            lines = [x.strip() for x in text.split("\n")] if text else []
+            hashes.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines])
+            words.append([len(x.split()) for x in lines])
+            low, high, found = runs(hashes[-1], words[-1])
+            linking.append(found)
+            places.append(low << 32 | high)
+        lists = [pa.array(x, pa.list_(t)) for x, t in ((hashes, pa.int64()), (words, pa.int32()), (linking, pa.int64()), (places, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *lists], names=["id", "digest", "lines", "words", "runs", "places"])
+
+
 def align(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Aligned places (i, j) of two sequences, rising in both, by patience diff."""
     out, open_ = [], [(0, len(a), 0, len(b))]
@@ -105,6 +144,41 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["id", "digest", "partner", "blocks"])
 
 
+def _run_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Aligned blocks of each pair, and the linking runs outside of them."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            found = common_blocks(r["lines"], r["words"], r["other_lines"], RUN_WORDS)
+            inside = {k for a, b in found for k in range(a, b)}
+            for place in sorted(r["places"]):
+                a, b = place >> 32, place & 0xFFFFFFFF
+                if a not in inside or b - 1 not in inside or any(k not in inside for k in range(a, b)):
+                    found.append((a, b))
+                    inside.update(range(a, b))
+            rows.append((r["id"], r["digest"], r["partner"], [x for block in found for x in block]))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["id", "digest", "partner", "blocks"])
+
+
+def shared_runs(docs: DataFrame) -> DataFrame:
+    """id (NULL_ID for null), digest, partner and blocks (starts and ends of lines, in turn) of each linked pair."""
+    texts = id_and_text(docs, digest().alias("digest")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "digest", "text")
+    lines = staged(texts.mapInArrow(_runs, "id long, digest long, lines array<long>, words array<int>, runs array<long>, places array<long>"), "lines")
+    lines = lines.dropDuplicates(["id", "digest"])
+    links = lines.select("id", "digest", F.explode(F.arrays_zip("runs", "places")).alias("k")).select("id", "digest", F.col("k.runs").alias("run"), F.col("k.places").alias("place"))
+    # The earliest holder of each run: partial minima before the shuffle. Runs of one document only link nothing.
+    first = links.groupBy("run").agg(F.min(F.struct("id", "digest")).alias("first"), F.max("id").alias("last"))
+    first = staged(first.where(F.col("first.id") < F.col("last")).select("run", F.col("first.id").alias("partner"), F.col("first.digest").alias("partner_digest")), "first-holders")
+    held = links.join(first, "run").where("id > partner")
+    # A document has at most two runs per line of its own.
+    pairs = staged(held.groupBy("id", "digest", "partner", "partner_digest").agg(F.collect_list("place").alias("places")), "pairs")
+    later = lines.select("id", "digest", "lines", "words")
+    other = lines.select(F.col("id").alias("partner"), F.col("digest").alias("partner_digest"), F.col("lines").alias("other_lines"))
+    both = pairs.join(other, ["partner", "partner_digest"]).join(later, ["id", "digest"])
+    return both.select("id", "digest", "partner", "places", "lines", "words", "other_lines").mapInArrow(_run_blocks, "id long, digest long, partner long, blocks array<int>")
+
+
 def shared_blocks(docs: DataFrame) -> DataFrame:
     """id (NULL_ID for null), digest, partner and blocks (starts and ends of lines, in turn) of each pair with any."""
     texts = id_and_text(docs, digest().alias("digest")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "digest", "text")
@@ -135,13 +209,22 @@ def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "n_deleted", "deleted", "partners", "text"])
 
 
-def delete_shared_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_deleted, deleted (line numbers), partners (earlier documents) and the text left of every row."""
-    blocks = shared_blocks(docs)
-    # A document has at most one partner per line of its own.
+def _left(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_deleted, deleted, partners and text of every row, without the lines of its blocks."""
+    # A document has no more partners than links of its own.
     found = blocks.groupBy("id", "digest").agg(F.collect_list("blocks").alias("found"), F.array_sort(F.collect_set("partner")).alias("partners"))
     texts = id_and_text(docs, digest().alias("digest")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "doc_id", "digest", "text")
     # A sort-merge join at any size: a small list would be broadcast, a large one not, and plan and disk would jump.
     joined = texts.join(staged(found, "blocks").hint("merge"), ["id", "digest"], "left")
     kept = joined.select("doc_id", "text", "found", F.coalesce("partners", F.array().cast("array<long>")).alias("partners"))
     return kept.mapInArrow(_without, "doc_id long, n_lines long, n_deleted long, deleted array<int>, partners array<long>, text string")
+
+
+def delete_shared_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_deleted, deleted (line numbers), partners (earlier documents) and the text left of every row."""
+    return _left(docs, shared_runs(docs))
+
+
+def delete_shared_blocks(docs: DataFrame) -> DataFrame:
+    """The same columns by the narrower first form."""
+    return _left(docs, shared_blocks(docs))

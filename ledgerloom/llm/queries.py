@@ -55,7 +55,7 @@ def op9_prefix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patience_lines.delete_shared_blocks(table(spark, sf_dir, "documents"))
+    return patience_lines.delete_shared_lines(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -241,3 +241,57 @@ def test_patience_lines_odd_rows(odd_docs, no_docs):
     assert len(found) == len(ODD)
     assert {(r["doc_id"], r["n_deleted"]) for r in found if r["n_lines"] and r["n_deleted"]} == {(9, 1)}
     assert patience_lines.delete_shared_blocks(no_docs).count() == 0
+
+
+def brute_runs(rows):
+    """Lines in any run of consecutive lines, 5 words or more, that any earlier document has too: all pairs, all places."""
+    lines = {k: [x.strip() for x in t.split("\n")] if t else [] for k, t in rows}
+    out = {k: set() for k in lines}
+    for k, own in lines.items():
+        for other in (lines[j] for j in lines if j < k):
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in own[i : i + n]) >= 5:
+                        out[k].update(range(i, i + n))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_shared_lines_equal_brute_force(make_docs):
+    rng = random.Random(16)
+    pool = ["", *(" ".join(rng.choices("abcdefghijkl", k=rng.randint(1, 7))) for _ in range(50))]
+    rows = []
+    for k in range(90):
+        parts = [pool[at : at + rng.randint(0, 6)] for at in rng.choices(range(45), k=rng.randint(0, 3))]
+        rows.append((k, "\n".join([*(x for part in parts for x in part), f"own {k}", *rng.choices(pool, k=2)])))
+    docs = make_docs(rows)
+    found = {r["doc_id"]: r["deleted"] for r in patience_lines.delete_shared_lines(docs).collect()}
+    assert found == brute_runs(rows) != brute_lines(rows)
+
+
+def test_shared_lines_that_the_cut_offs_left(make_docs):
+    """One 8-word line between own lines; a block whose lines have other first holders; short lines; repeats; other order."""
+    line, other = "all rights of this text are reserved here", "written by nobody at any time"
+    rows = [
+        (1, f"first text\n{line}\nits end"),
+        (2, f"second text\n{line}\nnot its end"),
+        (3, f"{other}\nown three\n{line}"),
+        (4, f"own four\n{line}\n{other}\nyes"),
+        (5, "one two\nthree\nfour five\nown words of five"),
+        (6, "own six\none two\nthree\nfour five"),
+        (7, f"{line}\nown seven\n{line}"),
+        (8, "a b c\nd e\nown eight\nd e\na b c"),
+        (9, "own nine\na b c\nd e"),
+        (10, "a b c\nown ten\nd e"),
+    ]
+    found = {r["doc_id"]: r["deleted"] for r in patience_lines.delete_shared_lines(make_docs(rows)).collect()}
+    assert found == {1: [], 2: [1], 3: [2], 4: [1, 2], 5: [], 6: [1, 2, 3], 7: [0, 2], 8: [], 9: [1, 2], 10: []}
+
+
+def test_shared_lines_odd_rows(odd_docs, no_docs):
+    found = patience_lines.delete_shared_lines(odd_docs).collect()
+    assert len(found) == len(ODD)
+    assert {(r["doc_id"], r["n_deleted"]) for r in found if r["n_lines"] and r["n_deleted"]} == {(9, 1)}
+    assert patience_lines.delete_shared_lines(no_docs).count() == 0
