@@ -295,3 +295,12 @@ def test_shared_lines_odd_rows(odd_docs, no_docs):
     assert len(found) == len(ODD)
     assert {(r["doc_id"], r["n_deleted"]) for r in found if r["n_lines"] and r["n_deleted"]} == {(9, 1)}
     assert patience_lines.delete_shared_lines(no_docs).count() == 0
+
+
+def test_a_block_meets_its_own_earliest_holder(make_docs):
+    """The block of 3 and 9 in document 3 was first held by 2; its lines were first held, singly, by 1 and 0."""
+    head, body = "these three words", "a line of nine words in all of it"
+    rows = [(0, f"zero\n{body}\nmore of zero"), (1, f"one\n{head}\nmore of one"), (2, f"two\n{head}\n{body}\nmore of two"), (3, f"three\n{head}\n{body}\nend"), (4, "a b c d\ne f g\nh"), (5, "five\ne f g\nh\nv"), (6, "six\na b c d\ne f g\nh")]
+    found = {r["doc_id"]: (r["deleted"], r["partners"]) for r in patience_lines.delete_shared_lines(make_docs(rows)).collect()}
+    assert {k: v[0] for k, v in found.items()} == brute_runs(rows)
+    assert found[3] == ([1, 2], [0, 2]) and found[6] == ([1, 2, 3], [4])
