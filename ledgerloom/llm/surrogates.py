@@ -54,9 +54,11 @@ ENDINGS = {
 
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+(?:[-'’][^\W\d_]+)?"
 _TITLE = "|".join(re.escape(t) for group in TITLES.values() for t in sorted(group, key=len, reverse=True))
+#: Names of secrets in any case, behind any prefix; "pass" alone begins a word or a part of a name (not "compass").
+_SECRET = r"(?:(?i:password|passwd|passphrase|pwd|secret|token|(?:api|access|private)[_-]?key)|(?<![^\W_])(?i:pass)|(?<=[a-z0-9])Pass)(?i:[_-]?(?:access[_-]?)?key)?"
 ENTITY = re.compile(
     r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?<![\w-])(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[^\s\"'<>]{6,})"
+    rf"|{_SECRET}[\"']?\s*[=:]{{1,2}}>?\s*[\"']?(?P<secret>[^\s\"'<>]{{6,}})"
     r"|(?<![\w.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\w]|\.\d)"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?<!\w)(?P<key>(?:(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,}|(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,64}))(?!\w)"

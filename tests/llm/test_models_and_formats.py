@@ -87,6 +87,18 @@ def test_surrogates_of_another_attempt_reach_their_documents(make_docs, monkeypa
     assert texts[2] == "9.9.9.9 only" and texts[1].startswith("from 9.9.9.9 and ") and "5.6.7.8" not in texts[1] and texts[3] == ""
 
 
+@pytest.mark.parametrize(
+    "name", ["Password: ", "PASSWORD=", "API_KEY=", "Api-Key: ", "db_password=", "DB_PASS=", "dbPass=", "access_token: ", "my-secret = ", '"password": "', "AWS_SECRET_ACCESS_KEY=", "x-api-key: ", "PRIVATE_KEY: ", "token := ", "'pwd' => '"]
+)
+def test_secrets_by_names_in_any_spelling(name):
+    assert [(kind, value) for _, _, kind, value in surrogates.entities(f"see {name}hunter22! there")] == [("secret", "hunter22!")]
+    assert re.search(surrogates.HINT, name)
+
+
+def test_words_that_only_end_like_a_secret():
+    assert not surrogates.entities("The compass: northwest. Kompass: nordwest. Tokens: many different ones.")
+
+
 def test_surrogates_odd_rows(odd_docs, no_docs):
     found = surrogates.replace_entities(odd_docs).collect()
     assert sorted((r["text"] for r in found)) == sorted(t or "" for _, t in ODD)
