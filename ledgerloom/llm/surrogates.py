@@ -5,13 +5,18 @@ tokens after their names, long hexadecimal keys, and persons after a title. An e
 phone or card, lower case of an address or name), so that one entity written in several ways is one entity. A surrogate
 is drawn by HMAC-SHA-256 of key, type, normal form and attempt, with the shape of the original: separators and case,
 letters for letters and digits for digits, a valid check number where the original has one, and for persons a name in the
-script and of the gender of the title.
+script and of the gender of the titles. A person is the name in its script: one that is met as Dr and as Frau is one, of
+the gender of its gendered titles (of none if they differ).
 
 Collisions: the distinct entities of the corpus are one table. A surrogate that is also an entity of the corpus, or that
 another entity drew before, is drawn again with the next attempt until none is left, so distinct entities stay distinct
-and no real one is produced. As an entity always has the same surrogate, coreference is kept across all documents.
+and no real one is produced. From the third attempt on surrogates grow, by a syllable, letter or digit every second one,
+so names, addresses, phones, secrets and keys never run out. The other types have a fixed length and as many surrogates
+as their format has values (10**8 and more): there the redraws end while less than half of these are in the corpus.
+As an entity always has the same surrogate, coreference is kept across all documents.
 
-Only entities that needed another attempt are joined to documents; the first attempt is computed where the text is.
+Only entities that needed another attempt, and persons of a title that does not tell their gender, are joined to
+documents; the first attempt is computed where the text is.
 
 Defined cases: null and empty texts have no entity (a null text comes back empty); repeated rows get equal results; an
 empty table gives no rows; null doc_ids are kept; other columns are ignored.
@@ -40,6 +45,9 @@ TITLES = {
     "n": ["Dr", "Prof"],
 }
 
+#: Attempts after which a surrogate is one syllable, letter or digit longer.
+GROWS = 2
+
 #: Syllables of names by script, and endings of first names by gender.
 SYLLABLES = {
     "latin": ["ba", "ce", "da", "fe", "ga", "jo", "ka", "le", "mi", "na", "pe", "ra", "so", "ta", "vi", "wa"],
@@ -132,24 +140,24 @@ def _shaped(text: str, draw: Draw, letters: str = "abcdefghijklmnopqrstuvwxyz")
     return "".join(out)
 
 
-def _name(gender: str, script: str, first: bool, draw: Draw) -> str:
+def _name(gender: str, script: str, first: bool, draw: Draw, more: int = 0) -> str:
     syllables = SYLLABLES[script]
-    stem = "".join(syllables[draw.below(len(syllables))] for _ in range(2 if first else 3))
+    stem = "".join(syllables[draw.below(len(syllables))] for _ in range((2 if first else 3) + more))
     ends = ENDINGS[script][gender if first else "n"]
     return stem + ends[draw.below(len(ends))]
 
 
 def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
-    """Normal form of the surrogate."""
-    draw = Draw(key, kind, normal, attempt)
+    """Normal form of the surrogate; every GROWS attempts it is one syllable, letter or digit longer."""
+    draw, more = Draw(key, kind, normal, attempt), attempt // GROWS
     if kind.startswith("person"):
         _, gender, script = kind.split(":")
         words = normal.split(" ")
-        return " ".join(_name(gender, script, len(words) > 1 and k == 0, draw) for k in range(len(words)))
+        return " ".join(_name(gender, script, len(words) > 1 and k == 0, draw, more if k == len(words) - 1 else 0) for k in range(len(words)))
     if kind == "email":
         local, _, domain = normal.partition("@")
         labels = domain.split(".")
-        return f"{_shaped(local, draw)}@{'.'.join([*(_shaped(x, draw) for x in labels[:-2] or labels[:-1]), 'example', 'org'])}"
+        return f"{_shaped(local + 'x' * more, draw)}@{'.'.join([*(_shaped(x, draw) for x in labels[:-2] or labels[:-1]), 'example', 'org'])}"
     if kind == "ip":
         return ".".join(str(draw.below(254) + 1) for _ in range(4))
     if kind == "card":
@@ -159,20 +167,23 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
         body = _shaped(normal[4:], draw)
         number = int("".join(str(int(c, 36)) for c in f"{body}{normal[:2]}00"))
         return f"{normal[:2]}{98 - number % 97:02d}{body}"
+    if kind in ("phone", "ssn"):
+        return _shaped(normal + "1" * (more if kind == "phone" else 0), draw)
     hexadecimal = re.fullmatch(r"[0-9a-fA-F]+", normal) and kind in ("key", "secret")
     prefix = (m[0] if (m := re.match(r"AKIA|ghp_|sk-", normal)) else "") if kind == "key" else ""
-    return prefix + _shaped(normal[len(prefix) :], draw, "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz")
+    return prefix + _shaped(normal[len(prefix) :] + "a" * more, draw, "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz")
 
 
 def written(kind: str, original: str, normal: str) -> str:
     """The surrogate's normal form in the format of the original."""
     if kind == "phone":
         digits = sum(c.isdigit() for c in original)
+        size = min(digits, 10)  # of the original's normal form; a grown surrogate has more
         rest, seen, out = iter(normal), 0, []
         for c in original:
             seen += c.isdigit()
-            out.append(next(rest) if c.isdigit() and seen > digits - len(normal) else c)
-        return "".join(out)
+            out.append(next(rest) if c.isdigit() and seen > digits - size else c)
+        return "".join([*out, *rest])
     if kind in ("card", "iban", "ssn"):
         rest = iter(normal.replace("-", ""))
         return "".join(next(rest) if c.isalnum() else c for c in original)
@@ -203,6 +214,17 @@ def _drawn(key: bytes):
     return scan
 
 
+def persons(found: DataFrame) -> DataFrame:
+    """The entities (kind, normal) of ``found`` with ``entity``, their type with the gender all mentions of a person tell."""
+    mentions = found.select("kind", "normal").distinct()
+    part = F.split("kind", ":")
+    named = mentions.select("kind", "normal", part[0].alias("family"), F.get(part, F.lit(1)).alias("gender"), F.get(part, F.lit(2)).alias("script"))
+    told = F.collect_set(F.when(F.col("gender") != "n", F.col("gender")))  # two values at most
+    one = named.where("family = 'person'").groupBy("script", "normal").agg(told.alias("told"))
+    one = one.select("script", "normal", F.concat(F.lit("person:"), F.when(F.size("told") == 1, F.col("told")[0]).otherwise("n"), F.lit(":"), F.col("script")).alias("entity"))
+    return named.join(one, ["script", "normal"], "left").select("kind", "normal", F.coalesce("entity", "kind").alias("entity"))
+
+
 DRAWN = "kind string, normal string, attempt int, drawn string"
 
 
@@ -253,7 +275,11 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, text with surrogates, n_entities and entities (kind, place in the new text) of every row."""
     texts = id_and_text(docs, digest().alias("digest"))
     found = staged(texts.select("digest", "text").mapInArrow(_found, "digest long, kind string, normal string"), "found")
-    moved = assign(found, key).where("attempt > 0").select("kind", "normal", "drawn")
+    named = staged(persons(found), "persons")
+    state = assign(named.select(F.col("entity").alias("kind"), "normal"), key).select(F.col("kind").alias("entity"), "normal", "attempt", "drawn")
+    moved = named.join(state.where("attempt > 0"), ["entity", "normal"]).select("kind", "normal", "drawn")
+    moved = moved.union(named.where("kind <> entity").join(state.where("attempt = 0"), ["entity", "normal"]).select("kind", "normal", "drawn"))
+    moved = staged(moved, "moved")
     if moved.isEmpty():
         joined = texts.withColumn("moved", F.lit(None).cast("array<struct<kind:string,normal:string,drawn:string>>"))
     else:

@@ -99,6 +99,27 @@ def test_words_that_only_end_like_a_secret():
     assert not surrogates.entities("The compass: northwest. Kompass: nordwest. Tokens: many different ones.")
 
 
+def test_surrogates_never_run_out(spark):
+    """More surnames than three syllables give (12,288), one-letter addresses, short phones, secrets without letters."""
+    known = [("person:n:latin", f"name{k}") for k in range(13_000)]
+    known += [("email", f"{c}@{d}.com") for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"]
+    known += [("secret", "*" * 8), ("secret", "-" * 6)]
+    rows = surrogates.assign(spark.createDataFrame(known, "kind string, normal string")).collect()
+    drawn = {(r["kind"].split(":")[0], r["drawn"]) for r in rows}
+    assert len(rows) == len(known) == len(drawn) and max(r["attempt"] for r in rows) < 30
+    assert not drawn & {(kind.split(":")[0], normal) for kind, normal in known}
+    grown = surrogates.surrogate(b"key", "phone", "1234567", 4)
+    assert len(grown) == 9 and re.sub(r"\D", "", surrogates.written("phone", "+1 23 45 67", grown)) == grown
+
+
+def test_surrogates_of_a_person_by_any_title(make_docs):
+    docs = make_docs([(1, "Dr Anna Weber"), (2, "Frau Anna Weber and Prof. ANNA WEBER"), (3, "Herr Kim Lee, Frau Kim Lee, Dr Kim Lee"), (4, "Dr Otto Braun")])
+    found = {r["doc_id"]: [r["text"][e["start"] : e["end"]].lower() for e in r["entities"]] for r in surrogates.replace_entities(docs).collect()}
+    assert len({*found[1], *found[2]}) == 1 and len(found[2]) == 2 and found[1][0].split()[0].endswith(tuple(surrogates.ENDINGS["latin"]["f"]))
+    assert len(found[3]) == 3 and len(set(found[3])) == 1
+    assert len({found[1][0], found[3][0], found[4][0]}) == 3
+
+
 def test_surrogates_odd_rows(odd_docs, no_docs):
     found = surrogates.replace_entities(odd_docs).collect()
     assert sorted((r["text"] for r in found)) == sorted(t or "" for _, t in ODD)
