@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import dims
 from ledgerloom.functions import formats, values
-from ledgerloom.operators.skew import attach_by_key
+from ledgerloom.operators.skew import attach_by_key, row_hash
 
 
 def _first_match(names: list[tuple[str, str]], test, result) -> Column:
@@ -252,19 +252,24 @@ def dim_identity_join(submissions: DataFrame, dim: DataFrame, key: str = "compan
     return joined.withColumn("in_dim_company", F.col("__key").isNotNull()).drop("__key")
 
 
+DEFAULT_PARTS = 16
+
+
 def catalog_with_default(companies: DataFrame, catalog: DataFrame, default: str = "Standard_KPIs") -> DataFrame:
     """Catalogue rules of each company, or the default set when it has none.
 
-    The default set is one company's rules, a short list: it is one value that companies without
-    rules unfold in place, and their rows never meet under one key.
+    Companies without rules and the default set, both of any size, are dealt into DEFAULT_PARTS parts each by a hash of
+    the row and meet in the cells of that grid: neither passes through one task, one value or the driver.
     """
     columns = [c for c in catalog.columns if c != "company"]
     own = catalog.filter(F.col("company") != default)
-    rules = catalog.filter(F.col("company") == default).agg(F.array_sort(F.collect_list(F.struct(*columns)))).scalar()
     known = own.select("company").distinct()
     named = companies.join(own, "company").withColumn("rule_set", F.col("company"))
-    others = companies.join(known, "company", "left_anti").withColumn("__rules", rules)
-    unfolded = others.select(*companies.columns, F.lit(default).alias("rule_set"), F.inline("__rules"))
+    others, rules = companies.join(known, "company", "left_anti"), catalog.filter(F.col("company") == default).select(*columns)
+    every = F.explode(F.array(*[F.lit(k) for k in range(DEFAULT_PARTS)]))
+    others = others.withColumn("__of", F.pmod(row_hash(others), F.lit(DEFAULT_PARTS)).cast("int")).withColumn("__to", every)
+    rules = rules.withColumn("__to", F.pmod(row_hash(rules), F.lit(DEFAULT_PARTS)).cast("int")).withColumn("__of", every)
+    unfolded = others.join(rules, ["__of", "__to"]).select(*companies.columns, F.lit(default).alias("rule_set"), *columns)
     return named.select(unfolded.columns).union(unfolded)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import dims
-from ledgerloom.operators import analytics, audit, contract, documents, fidelity, skew, store
+from ledgerloom.operators import analytics, audit, contract, documents, fidelity, resolve, skew, store
 from ledgerloom.plans import ingest
 from ledgerloom.sources import catalog, files, vault
 from ledgerloom.streaming import ingest as streams
@@ -321,3 +321,16 @@ def test_stream_dedup_over_batches_and_repeat(spark, tmp_path):
         streams.stream_dedup_hash(arriving, path, str(tmp_path / "cp")).awaitTermination()
     got = sorted((r["file_hash"], r["submission_id"]) for r in spark.read.parquet(path).collect())
     assert got == [("a", "1"), ("b", "4")]
+
+
+def test_default_rules_of_any_size_are_dealt_out(spark):
+    """3,000 default rules for companies without rules (a repeated and a null one among them), never one list."""
+    default = [("Standard_KPIs", f"rule {k % 2_999}", k) for k in range(3_000)]
+    catalog = spark.createDataFrame([("a", "own", 1), ("a", "own", 1), ("b", None, 2), (None, "nobody's", 3), *default], "company string, rule string, n int")
+    companies = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("c", 3), (None, 4), ("d", 5)], "company string, id int")
+    found = resolve.catalog_with_default(companies, catalog)
+    assert found.columns == ["company", "id", "rule_set", "rule", "n"]
+    expected = [("a", 1, "a", "own", 1)] * 2 + [("b", 2, "b", None, 2)] + [(c, i, *r) for c, i in [("c", 3), ("c", 3), (None, 4), ("d", 5)] for r in default]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    assert resolve.catalog_with_default(companies, catalog.where("company <> 'Standard_KPIs'")).count() == 3
