@@ -14,6 +14,11 @@ same document. Windows are judged on the input. The work is on suffixes, each st
    words or more are the leaves below the deep internal nodes. All but the earliest leaf are repeats; windows that
    follow one another make maximal spans.
 
+This is thinner than a suffix tree. A suffix ends after WINDOW words, known by fingerprints alone, so neighbours share 0,
+16, 18 or 20 words, there are no deeper nodes and maximal spans come from merging windows, not from subtrees. Prefixes
+have two lengths, chosen by HEAVY; they are not lengthened until a group fits memory. Removal depends on windows of
+WINDOW words only, so deeper nodes would change no result.
+
 Fingerprints have 64 bits. The number of parts follows the bytes of text, so a part fits a task's memory at any size.
 
 Defined cases: null and empty texts have no words; null doc_ids come before all others; rows that share a doc_id are one
