@@ -164,8 +164,9 @@ def _run_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_runs(docs: DataFrame) -> DataFrame:
     """id (NULL_ID for null), digest, partner and blocks (starts and ends of lines, in turn) of each linked pair."""
     texts = id_and_text(docs, digest().alias("digest")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "digest", "text")
-    lines = staged(texts.mapInArrow(_runs, "id long, digest long, lines array<long>, words array<int>, runs array<long>, places array<long>"), "lines")
-    lines = lines.dropDuplicates(["id", "digest"])
+    # Written without repeated rows: a join right behind the aggregate could not split a partner of very many documents.
+    lines = texts.mapInArrow(_runs, "id long, digest long, lines array<long>, words array<int>, runs array<long>, places array<long>")
+    lines = staged(lines.dropDuplicates(["id", "digest"]), "lines")
     links = lines.select("id", "digest", F.explode(F.arrays_zip("runs", "places")).alias("k")).select("id", "digest", F.col("k.runs").alias("run"), F.col("k.places").alias("place"))
     # The earliest holder of each run: partial minima before the shuffle. Runs of one document only link nothing.
     first = links.groupBy("run").agg(F.min(F.struct("id", "digest")).alias("first"), F.max("id").alias("last"))
