@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import content_sort, covering_simhash, nbsvm, patience_lines, prefix_trees, spaced_seeds, surrogates, token_index, toxic_lexicon, variable_bins
+from ledgerloom.llm import content_sort, covering_simhash, nbsvm, patience_lines, prefix_tokens, prefix_trees, spaced_seeds, surrogates, token_index, toxic_lexicon, variable_bins
 from ledgerloom.llm.common import table
 
 
@@ -58,6 +58,14 @@ def op10_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patience_lines.delete_shared_lines(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        from public_tokenizers import path
+
+        tokenizer = path("word_bpe_49k.json")
+    return prefix_tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nbsvm,
         op9_prefix_trees,
         op10_patience_lines,
+        op13_prefix_tokens,
     )
 }
 
