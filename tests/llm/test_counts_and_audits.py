@@ -1,11 +1,16 @@
 """Spelling variants, filter audit and prefix token counts, each against brute force."""
 
+import itertools
 import random
+import re
+from collections import Counter
 
+import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import prefix_tokens, queries
+from ledgerloom.llm import filter_diagrams, prefix_tokens, queries
 
 from .conftest import ODD
 
@@ -77,3 +82,93 @@ def test_token_counts_odd_rows(odd_docs, no_docs, vocabulary):
     found = sorted((tuple(r) for r in prefix_tokens.token_counts(odd_docs, path).collect()), key=repr)
     assert found == sorted([(k, len((t or "").encode()), library(t or ""), library(t or "") > 2048) for k, t in ODD], key=repr)
     assert prefix_tokens.token_counts(no_docs, path).count() == 0
+
+
+# --- filter interaction audit
+
+
+def brute_masks(rows, labels):
+    """(part, set of failed filters, good, toxic) of each (doc_id, text, source)."""
+    out = []
+    for doc, text, source in rows:
+        text = text or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        fails = {
+            "A": len(words) < 50,
+            "B": 100 * len(set(words)) < 65 * len(words),
+            "C": 100 * len(re.findall("[A-Z]", text)) > 5 * len(text),
+            "D": re.search(r"[#$%&*|]", text) is not None,
+            "E": any(other is not None and doc is not None and other < doc and (t or "") == text for other, t, _ in rows),
+        }
+        out.append((source or "", {k for k, v in fails.items() if v}, labels.get(doc, (0, 0))))
+    return out
+
+
+def brute_audit(rows, labels):
+    masks = brute_masks(rows, labels)
+    out = {}
+    for part in {m[0] for m in masks}:
+        own = [m for m in masks if m[0] == part]
+        shapley = Counter()
+        for order in map("".join, itertools.permutations("ABCDE")):
+            left = own
+            for k, letter in enumerate(order):
+                gone = [m for m in left if letter in m[1]]
+                left = [m for m in left if letter not in m[1]]
+                shapley[letter] += len(gone)
+                failing = sum(letter in m[1] for m in own)
+                alone = sum(m[1] == {letter} for m in own)
+                out[part, order, k + 1] = (len(left), len(gone), failing - len(gone), alone, sum(m[2][0] for m in gone), sum(m[2][1] for m in gone), letter)
+        for key in [key for key in out if key[0] == part]:
+            out[key] = (*out[key][:6], shapley[out[key][6]])
+    return out
+
+
+def audited(docs, labels):
+    found = filter_diagrams.interaction_audit(docs, labels).collect()
+    return {(r["part"], r["filter_order"], r["step"]): tuple(r[c] for c in filter_diagrams.COUNTS) for r in found}, len(found)
+
+
+def test_audit_equals_brute_force(spark):
+    rng = random.Random(12)
+    words = ["one", "Two", "THREE", "four", "five", "$", "x|y", "größe", "\x0b", "seven"]
+    texts = [" ".join(rng.choice(words[: rng.randint(2, 10)] + [str(rng.random()) for _ in range(30)]) for _ in range(rng.choice([3, 49, 50, 51, 120]))) for _ in range(60)]
+    rows = [(k, rng.choice(texts), rng.choice(["s", "t", None, ""])) for k in range(250)]
+    rows += [(k, t, "u") for k, t in ODD] + [(300, None, "u"), (300, None, "u"), (301, "", "v")]
+    labels = {k: (rng.randint(0, 1), rng.randint(0, 1)) for k in range(0, 250, 3)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"mask": F.lit("m"), "first": F.lit(1), "n": F.lit(2), "part": F.lit("p"), "digest": F.lit(0)})
+    marks = spark.createDataFrame([(k, q, t) for k, (q, t) in labels.items()] * 2 + [(None, 1, 1), (1, None, None)], "doc_id long, quality long, toxic long")
+    expected = brute_audit(rows, labels)
+    found, size = audited(docs, marks)
+    assert found == expected and size == len(expected) == 600 * len({r[2] or "" for r in rows})
+
+
+def test_swaps_keep_the_diagram_small_and_right():
+    weights = {m: (m % 3, m % 2, 1) for m in range(32) if m % 5}
+    diagram = filter_diagrams.Diagram(weights, "ABCDE", (0, 0, 0))
+    seen = {"ABCDE"}
+    for level in filter_diagrams.plain_changes(5):
+        diagram.swap(level)
+        seen.add("".join(diagram.order))
+        fresh = filter_diagrams.Diagram({sum(1 << diagram.order.index(c) for k, c in enumerate("ABCDE") if m >> k & 1): w for m, w in weights.items()}, "".join(diagram.order), (0, 0, 0))
+        assert diagram.steps() == fresh.steps() and [len(c) for c in diagram.children] == [len(c) for c in fresh.children]
+    assert len(seen) == 120
+
+
+def test_audit_of_empty_tables(spark, no_docs):
+    labels = spark.createDataFrame([], "doc_id long, quality long, toxic long")
+    assert audited(no_docs, labels) == ({}, 0)
+    docs = spark.createDataFrame([(1, "word " * 60, "s")], "doc_id long, text string, source string")
+    assert audited(docs, labels)[0]["s", "BACDE", 1] == (0, 1, 0, 1, 0, 0, 120)
+
+
+def test_audit_equals_sql(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    for name in ("documents", "labels"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    result = connection.execute(queries.ORACLES["op12_filter_diagrams"])
+    names = [d[0] for d in result.description]
+    found = queries.op12_filter_diagrams(spark, sf_dir)
+    assert sorted(found.columns) == sorted(names)
+    assert {tuple(r) for r in found.select(*names).collect()} == set(result.fetchall())
