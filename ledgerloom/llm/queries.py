@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import content_sort, covering_simhash, filter_diagrams, nbsvm, patience_lines, prefix_tokens, prefix_trees, spaced_seeds, surrogates, token_index, toxic_lexicon, variable_bins
+from ledgerloom.llm import content_sort, covering_simhash, filter_diagrams, nbsvm, patience_lines, prefix_tokens, prefix_trees, spaced_seeds, spelling_forms, surrogates, token_index, toxic_lexicon, variable_bins
 from ledgerloom.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patience_lines.delete_shared_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_diagrams.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nbsvm,
         op9_prefix_trees,
         op10_patience_lines,
+        op11_spelling_forms,
         op12_filter_diagrams,
         op13_prefix_tokens,
     )

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import filter_diagrams, prefix_tokens, queries
+from ledgerloom.llm import filter_diagrams, prefix_tokens, queries, spelling_forms
 
 from .conftest import ODD
 
@@ -172,3 +173,87 @@ def test_audit_equals_sql(spark):
     found = queries.op12_filter_diagrams(spark, sf_dir)
     assert sorted(found.columns) == sorted(names)
     assert {tuple(r) for r in found.select(*names).collect()} == set(result.fetchall())
+
+
+# --- spelling variants
+
+LOWER = str.maketrans(spelling_forms.UPPER, spelling_forms.LOWER)
+
+
+def brute_words(rows):
+    counts = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= 6:
+                counts[run] += 1
+    return {w: n for w, n in counts.items() if n >= 5}
+
+
+def brute_forms(counts):
+    """Near words through all strings that come from a word by one deletion, or by one replaced place."""
+    near = {w: set() for w in counts}
+    holes, shorter = {}, {}
+    for w in counts:
+        for k in range(len(w)):
+            holes.setdefault((w[:k], w[k + 1 :]), set()).add(w)
+            shorter.setdefault(w[:k] + w[k + 1 :], set()).add(w)
+    for group in holes.values():
+        for w in group:
+            near[w] |= group - {w}
+    for w in counts:
+        for longer in shorter.get(w, ()):
+            near[w].add(longer)
+            near[longer].add(w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-counts[o], o), default=None)
+        form[w] = best if best is not None and counts[best] >= 5 * counts[w] else None
+    out = set()
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.add((w, n, len(near[w]), form[w], None if form[w] is None else counts[form[w]], root))
+    return out
+
+
+def forms_of(docs):
+    found = spelling_forms.spelling_forms(docs).select("word", "n", "n_near", "form", "form_n", "root").collect()
+    assert len(found) == len({r["word"] for r in found})
+    return {tuple(r) for r in found}
+
+
+def test_spelling_forms_of_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = brute_forms(brute_words([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]))
+    assert forms_of(docs) == expected and len(expected) > 1000
+    assert any(form is not None and form != root for _, _, _, form, _, root in expected) or any(r[3] for r in expected)
+
+
+def test_spelling_forms_of_edits_and_chains(make_docs):
+    rng = random.Random(11)
+    rows = []
+    # a chain: each form at least five times as frequent as the one before it
+    for word, n in (("abcdefgh", 700), ("abcdefgx", 130), ("abcdeygx", 25), ("abcdeygxz", 5), ("abcdefghi", 5)):
+        rows += [(rng.randint(0, 10**9), word.title() if rng.random() < 0.5 else word) for _ in range(n)]
+    # anagrams, doubled letters, accents, both ends, equal frequencies
+    words = ["listen", "silent", "enlist", "listenn", "llisten", "listens", "tinsel", "résumé", "resumé", "resume", "xésumé", "ÀÉÎÕÜß", "àÉÎÕÜß", "÷×÷×÷×", "aaaaaa", "aaaaaaa", "aaaaaab", "baaaaaa"]
+    for word in words:
+        rows += [(rng.randint(0, 10**9), f"1{word}2") for _ in range(rng.choice([5, 6, 30, 200]))]
+    for _ in range(300):
+        word = "".join(rng.choice("abé") for _ in range(rng.randint(6, 8)))
+        rows += [(rng.randint(0, 10**9), word) for _ in range(rng.choice([4, 5, 40]))]
+    expected = brute_forms(brute_words(rows))
+    assert forms_of(make_docs(rows, clashing=True)) == expected
+    assert ("abcdeygxz", "abcdefgh") in {(r[0], r[5]) for r in expected}
+
+
+def test_spelling_forms_odd_rows(odd_docs, no_docs, make_docs):
+    assert forms_of(odd_docs) == brute_forms(brute_words(ODD))
+    assert forms_of(no_docs) == set()
+    rows = [(None, "letters " * 50), (3, "x" * 100_000), (3, None)] * 3
+    assert forms_of(make_docs(rows)) == brute_forms(brute_words(rows))
