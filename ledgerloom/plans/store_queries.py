@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom import dims
-from ledgerloom.operators import audit, documents, fidelity, resolve, store
+from ledgerloom.operators import audit, documents, fidelity, resolve, store, touched
 from ledgerloom.plans import ingest
 from ledgerloom.plans.fixtures import Tables
 from ledgerloom.plans.registry import query
@@ -187,11 +187,14 @@ def _(t: Tables):
     return store.apply_kpi_edits(facts, t.edits).drop("edited_at", "submission_id")
 
 
-@query("update_kpi_value", f"SELECT kpi_key, is_manually_edited, is_valid, count(*) AS n FROM ({EDITED}) GROUP BY ALL")
+@query("update_kpi_value", EDITED)
 def _(t: Tables):
-    facts = t.parsed.select("id", "submission_id", "kpi_key", "raw_value", "numeric_value", "unit", "is_valid")
-    edited = store.apply_kpi_edits(facts, t.edits)
-    return edited.groupBy("kpi_key", "is_manually_edited", "is_valid").agg(F.count(F.lit(1)).alias("n"))
+    """Facts stored in slots of the submission; the edits rewrite the slots they touch, and the table is read back."""
+    path = work_path(t.spark, "facts")
+    facts = store.conform(t.parsed, store.FACT_LAYOUT)
+    touched.write_slots(facts, path, ["submission_id"], 1)
+    touched.edit_facts(path, t.edits, "edits", facts.schema, 1)
+    return t.spark.read.parquet(path).select("id", "kpi_key", "raw_value", "numeric_value", "unit", "is_valid", "is_manually_edited", "edited_raw_value")
 
 
 @query("edits_not_found", """
@@ -445,36 +448,86 @@ def _(t: Tables):
     return t.spark.read.parquet(sink).select("submission_id", "kpi_key", "raw_value", "numeric_value", "is_valid")
 
 
-ARRIVING = "submission_id string, file_hash string, company_id string, period_id string, submitted_at timestamp_ntz, wave bigint"
+ARRIVING = "submission_id string, file_hash string, company_id string, period_id string, submitted_at timestamp_ntz"
+
+
+def _wave(t: Tables):
+    """Submissions with the wave they arrive in."""
+    return t.subs.select("submission_id", "seq", "file_hash", "company_id", "period_id", "submitted_at", (C("seq") % 4).alias("wave"))
 
 
-def _arriving(t: Tables):
-    """Submissions as files in four waves, read as a stream of eight files per trigger."""
+def _in_waves(t: Tables, arriving, start) -> None:
+    """Each wave's files put into the source folder, then ``start(stream)`` run until they are read: a micro-batch a wave."""
     source = work_path(t.spark, "arriving")
-    waves = t.subs.select("submission_id", "file_hash", "company_id", "period_id", "submitted_at", (C("seq") % 4).alias("wave"))
-    waves.repartition("wave", "submission_id").write.partitionBy("wave").parquet(source)
-    return t.spark.readStream.schema(ARRIVING).option("maxFilesPerTrigger", 8).parquet(source)
+    names = [part.split(" ")[0] for part in ARRIVING.split(", ")]
+    for wave in range(4):
+        arriving.filter(C("wave") == wave).select(*names).write.mode("append").parquet(source)
+        start(t.spark.readStream.schema(ARRIVING).parquet(source)).awaitTermination()
 
 
-@query("stream_dedup_hash", "SELECT DISTINCT file_hash FROM subs")
+@query("stream_dedup_hash", """
+SELECT submission_id, file_hash FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY seq % 4, submitted_at, submission_id) AS rn FROM subs) WHERE rn = 1""")
 def _(t: Tables):
+    """Four waves; every fifth submission is delivered again in the next wave, and copies come as late as they like."""
     path, checkpoint = work_path(t.spark, "hashes"), work_path(t.spark, "checkpoint")
-    streams.stream_dedup_hash(_arriving(t), path, checkpoint).awaitTermination()
-    return t.spark.read.parquet(path).select("file_hash")
+    waves = _wave(t)
+    again = waves.filter((C("seq") % 5 == 0) & (C("wave") < 3)).withColumn("wave", C("wave") + 1)
+    _in_waves(t, waves.union(again), lambda stream: streams.stream_dedup_hash(stream, path, checkpoint, digits=1))
+    return t.spark.read.parquet(path).select("submission_id", "file_hash")
 
 
-@query("stream_dedup_watermark", "SELECT DISTINCT file_hash FROM subs")
+@query("stream_dedup_watermark", """
+WITH w AS (SELECT *, CASE WHEN seq % 10 = 3 THEN 3 ELSE (year(submitted_at) - 1995) // 2 END AS wave FROM subs),
+m AS (SELECT wave, max(submitted_at) AS top FROM w GROUP BY 1),
+marks AS (SELECT a.wave, max(b.top) - INTERVAL 400 DAY AS mark FROM m a LEFT JOIN m b ON b.wave < a.wave GROUP BY 1)
+SELECT DISTINCT file_hash FROM w JOIN marks USING (wave) WHERE mark IS NULL OR submitted_at > mark""")
 def _(t: Tables):
-    """Duplicates dropped by the state of the stream alone; the delay spans the data, so no hash is forgotten."""
+    """Duplicates dropped by the state of the stream alone, two years a wave; a tenth of the rows comes in the last one, most of them too late."""
     path, checkpoint = work_path(t.spark, "hashes"), work_path(t.spark, "checkpoint")
-    arriving = _arriving(t).select("file_hash", C("submitted_at").cast("timestamp").alias("submitted_at"))
-    unique = streams.dedup_within_watermark(arriving, "36500 days")
-    unique.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    waves = _wave(t).withColumn("wave", F.when(C("seq") % 10 == 3, 3).otherwise(F.floor((F.year("submitted_at") - 1995) / 2)))
+
+    def start(stream):
+        arriving = stream.select("file_hash", C("submitted_at").cast("timestamp").alias("submitted_at"))
+        unique = streams.dedup_within_watermark(arriving, "400 days")
+        return unique.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    _in_waves(t, waves, start)
     return t.spark.read.parquet(path).select("file_hash")
 
 
 @query("stream_upsert_latest", "SELECT submission_id, company_id, period_id, is_latest_version FROM latest")
 def _(t: Tables):
     path, checkpoint = work_path(t.spark, "submissions"), work_path(t.spark, "checkpoint")
-    streams.stream_upsert_latest(_arriving(t), path, checkpoint).awaitTermination()
-    return streams.read_latest(t.spark, path).select("submission_id", "company_id", "period_id", "is_latest_version")
+    _in_waves(t, _wave(t), lambda stream: streams.stream_upsert_latest(stream, path, checkpoint, 1))
+    return touched.read_latest(t.spark, path).select("submission_id", "company_id", "period_id", "is_latest_version")
+
+
+@query("upsert_latest_waves", """
+SELECT w.wave, s.submission_id, row_number() OVER (PARTITION BY w.wave, s.company_id, s.period_id ORDER BY s.submitted_at DESC, s.submission_id DESC) = 1 AS is_latest_version
+FROM (SELECT DISTINCT seq % 4 AS wave FROM subs) w JOIN subs s ON s.seq % 4 <= w.wave""")
+def _(t: Tables):
+    """The stored flags after each wave; the second wave is repeated, as after a failure."""
+    path, after = work_path(t.spark, "submissions"), work_path(t.spark, "after")
+    for wave in (0, 1, 1, 2, 3):
+        touched.upsert_latest(path, _wave(t).filter(C("wave") == wave).drop("wave", "seq"), wave, 1)
+        touched.read_latest(t.spark, path).write.mode("overwrite").parquet(f"{after}/wave={wave}")
+    return t.spark.read.parquet(after).select(C("wave").cast("bigint").alias("wave"), "submission_id", "is_latest_version")
+
+
+LAST_DAY = "submitted_at = (SELECT max(submitted_at) FROM subs)"
+
+
+@query("upsert_touched_slots", f"""
+WITH s AS (SELECT *, left(md5(company_id || '|' || period_id), 2) AS slot, {LAST_DAY} AS late FROM subs)
+SELECT slot, count(*) AS rows, bool_or(late) AS rewritten FROM s GROUP BY 1""")
+def _(t: Tables):
+    """All submissions but those of the last day are stored, then the last day arrives: which slots have other files than before."""
+    path, listed = work_path(t.spark, "submissions"), work_path(t.spark, "files")
+    subs = t.subs.select("submission_id", "company_id", "period_id", "submitted_at")
+    late = subs.agg(F.max("submitted_at").alias("day"))
+    touched.upsert_latest(path, subs.join(late, C("submitted_at") < C("day"), "left_semi"), "first")
+    touched.slot_files(t.spark, path).write.parquet(listed)
+    touched.upsert_latest(path, subs.join(late, C("submitted_at") == C("day"), "left_semi"), "last")
+    before = t.spark.read.schema("slot string, file string").parquet(listed).withColumn("known", F.lit(True))
+    now = touched.slot_files(t.spark, path).join(before, ["slot", "file"], "left")
+    return now.groupBy("slot").agg(F.sum("rows").alias("rows"), F.bool_or(C("known").isNull()).alias("rewritten"))
