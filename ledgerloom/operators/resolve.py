@@ -140,9 +140,7 @@ def fx_rate_join(rows: DataFrame, rates: DataFrame | None = None, currency: str
     """Rate of (currency, year), else of the nearest year (the earlier one on a tie); unknown currency: null.
 
     The built-in rates have no gaps, so clamping the year to the currency's range turns the
-    nearest-year rule into a plain equi join. A table passed in may have gaps: it becomes one
-    row per currency with its years in order, so each row still meets at most one, and it is
-    left to Spark's own size check for broadcasting.
+    nearest-year rule into a plain equi join. For a table passed in see ``table_rate_join``.
     """
     code = F.upper(values.strip(F.col(currency)))
     if rates is None:
@@ -154,17 +152,46 @@ def fx_rate_join(rows: DataFrame, rates: DataFrame | None = None, currency: str
         )
         clamped = F.greatest(F.lit(dims.FX_FIRST_YEAR), F.least(last, F.col(year)))
         return rows.join(table, (code == F.col("__cur")) & (clamped == F.col("__year")), "left").drop("__cur", "__year")
-    series = rates.groupBy(F.upper(values.strip(F.col("currency"))).alias("__cur")).agg(
-        F.array_sort(F.collect_set(F.struct(F.col("year").alias("year"), F.col("rate").alias("rate")))).alias("__series")
-    )
-    joined = rows.join(series, code == F.col("__cur"), "left")
-    nearest = F.array_min(
-        F.transform(
-            "__series",
-            lambda r: F.struct(F.abs(r["year"] - F.col(year)).alias("gap"), r["year"].alias("y"), r["rate"].alias("rate")),
-        )
-    )
-    return joined.withColumn(out, nearest["rate"]).drop("__cur", "__series")
+    return table_rate_join(rows, rates, code, F.col(year), out)
+
+
+def nearest_years(rates: DataFrame) -> DataFrame:
+    """(code, asked, rate): the rate of every year between the table's first and last, from the nearest year that has one.
+
+    Each rate stands for the years nearer to its own than to its neighbours' (the earlier one on a tie), the first and
+    the last of a currency also for all years beyond: one range for each rate, unfolded into its years.
+    """
+    own = rates.groupBy(F.upper(values.strip(F.col("currency"))).alias("code"), F.col("year").cast("int").alias("year")).agg(F.min("rate").alias("rate"))
+    own = own.filter("code IS NOT NULL AND year IS NOT NULL AND rate IS NOT NULL")
+    series = Window.partitionBy("code").orderBy("year")
+    lowest, highest = _year_limits(rates)
+    ranged = own.withColumns({"before": F.lag("year").over(series), "after": F.lead("year").over(series)})
+    first = F.coalesce(F.floor((F.col("before") + F.col("year")) / 2).cast("int") + 1, lowest)
+    last = F.coalesce(F.floor((F.col("year") + F.col("after")) / 2).cast("int"), highest)
+    return ranged.select("code", F.explode(F.sequence(first, last)).alias("asked"), "rate")
+
+
+def _year_limits(rates: DataFrame) -> tuple[Column, Column]:
+    """First and last year of a rates table, as scalar subqueries."""
+    year = F.col("year").cast("int")
+    return rates.select(F.min(year)).scalar(), rates.select(F.max(year)).scalar()
+
+
+def table_rate_join(rows: DataFrame, rates: DataFrame, code: Column, year: Column, out: str) -> DataFrame:
+    """As-of join: every row with the rate of its currency in the year nearest to its own (null: unknown currency or no year).
+
+    Rates are unfolded to one row a year, so rows meet them by equality. A currency may hold most of the rows: rates
+    are repeated for as many salts as there are shuffle partitions, and rows are dealt over them by a hash of the row. Nothing is
+    broadcast by hint.
+    """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt")
+    table = nearest_years(rates).select(F.col("code").alias("__code"), F.col("asked").alias("__asked"), F.col("rate").alias(out), salted)
+    lowest, highest = _year_limits(rates)
+    asked = F.when(year.isNotNull(), F.greatest(lowest, F.least(highest, year)))
+    left = rows.withColumns({"__of": code, "__ask": asked, "__part": F.pmod(row_hash(rows), F.lit(salts)).cast("int")})
+    joined = left.join(table, (F.col("__of") == F.col("__code")) & (F.col("__ask") == F.col("__asked")) & (F.col("__part") == F.col("__salt")), "left")
+    return joined.drop("__of", "__ask", "__part", "__code", "__asked", "__salt")
 
 
 def fx_normalize(rows: DataFrame, rates: DataFrame | None = None, value: str = "numeric_value",

@@ -294,6 +294,20 @@ def _(t: Tables):
     return resolve.to_usd(rows, "numeric_value", rates).drop("numeric_value")
 
 
+@query("fx_rate_join_table", f"""
+WITH rates AS ({TABLE_RATES.format(supplier='supplier')} UNION ALL SELECT 'mxn ', 2030, 99.5),
+r AS (SELECT upper(trim(currency)) AS currency, year, min(rate) AS rate FROM rates GROUP BY 1, 2),
+asked AS (SELECT DISTINCT currency, CASE WHEN submission_id LIKE '%7' THEN NULL ELSE report_year END AS y FROM subs),
+known AS (SELECT a.currency, a.y, arg_min(r.rate, abs(r.year - a.y) * 10000 + r.year) AS rate FROM asked a JOIN r ON r.currency = a.currency GROUP BY 1, 2)
+SELECT s.submission_id, s.currency, CAST(k.rate AS DOUBLE) AS fx_rate FROM subs s
+LEFT JOIN known k ON k.currency = s.currency AND k.y = CASE WHEN s.submission_id LIKE '%7' THEN NULL ELSE s.report_year END""")
+def _(t: Tables):
+    """Nearest year in a table with gaps of three years, ties within them, an odd spelling, and rows without a year."""
+    rates = t.spark.sql(TABLE_RATES + " UNION ALL SELECT 'mxn ', 2030, 99.5", supplier=t.raw("supplier")).withColumn("rate", C("rate").cast("double"))
+    rows = t.subs.select("submission_id", "currency", F.when(~C("submission_id").endswith("7"), C("report_year")).alias("report_year"))
+    return resolve.fx_rate_join(rows, rates).drop("report_year")
+
+
 @query("supported_currencies", f"SELECT DISTINCT currency FROM ({TABLE_RATES.format(supplier='supplier')})")
 def _(t: Tables):
     return resolve.supported_currencies(t.spark.sql(TABLE_RATES, supplier=t.raw("supplier")))

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ledgerloom import dims
 from ledgerloom.functions import text, values
-from ledgerloom.operators import analytics, audit, contract, documents, fidelity, resolve, store
+from ledgerloom.operators import analytics, audit, contract, documents, fidelity, names, resolve, store
 from ledgerloom.plans.fixtures import FX_BUCKETS, FX_COMPANIES, FX_NAMES, Tables
 from ledgerloom.plans.oracles import exact_avg
 from ledgerloom.plans.registry import query
@@ -190,6 +190,85 @@ def _(t: Tables):
     return t.subs.select("submission_id", resolve.company_label(C("founder_email"), C("original_filename"), names).alias("label"))
 
 
+@query("lookup_portfolio_table", """
+WITH ids AS (SELECT DISTINCT company_id FROM subs), f AS (
+  SELECT i.company_id, arg_min(d.portfolio_id, d.company_key) AS fund FROM ids i JOIN dim_company d ON contains(replace(replace(replace(lower(i.company_id), '.', ''), '-', ''), '_', ''), d.company_key) GROUP BY 1)
+SELECT s.submission_id, coalesce(f.fund, 'unknown') AS fund FROM subs s LEFT JOIN f ON s.company_id = f.company_id""")
+def _(t: Tables):
+    """The fund look-up against the company table instead of the registry."""
+    found = names.lookup_portfolio(t.subs.select("submission_id", "company_id"), _company_names(t), order="name", out="fund")
+    return found.select("submission_id", "fund")
+
+
+def _company_names(t: Tables):
+    return t.dim_company.select(C("company_key").alias("name"), "portfolio_id", "bucket_id")
+
+
+@query("company_bucket_table", """
+WITH ids AS (SELECT DISTINCT company_id FROM subs), f AS (
+  SELECT i.company_id, arg_min(d.bucket_id, d.company_key) AS bucket FROM ids i JOIN dim_company d ON contains(replace(replace(replace(lower(i.company_id), '.', ''), '-', ''), '_', ''), d.company_key) GROUP BY 1)
+SELECT s.submission_id, coalesce(f.bucket, 'UNKNOWN') AS bucket FROM subs s LEFT JOIN f ON s.company_id = f.company_id""")
+def _(t: Tables):
+    found = names.company_bucket(t.subs.select("submission_id", "company_id"), _company_names(t), order="name", out="bucket")
+    return found.select("submission_id", "bucket")
+
+
+@query("detect_company_table", """
+WITH ids AS (SELECT DISTINCT upper(company_id) || ' Board' AS txt FROM subs), f AS (
+  SELECT txt, arg_min(d.company_key, lpad(CAST(100 - length(d.company_key) AS VARCHAR), 3, '0') || d.company_key) AS k, arg_min(d.portfolio_id, lpad(CAST(100 - length(d.company_key) AS VARCHAR), 3, '0') || d.company_key) AS p
+  FROM ids JOIN dim_company d ON contains(regexp_replace(lower(txt), '[^a-z0-9]', '', 'g'), d.company_key) GROUP BY 1)
+SELECT s.submission_id, coalesce(f.k, 'unknown') AS company_key, coalesce(f.p, 'unknown') AS portfolio_id FROM subs s LEFT JOIN f ON upper(s.company_id) || ' Board' = f.txt""")
+def _(t: Tables):
+    rows = t.subs.select("submission_id", F.concat(F.upper("company_id"), F.lit(" Board")).alias("txt"))
+    return names.detect_company(rows, _company_names(t), "txt", "name").drop("txt")
+
+
+PASSAGE_NAMES = "SELECT DISTINCT lower(substr(text, 1, 16)) AS name, 'P' || CAST(length(text) % 7 AS STRING) AS portfolio_id, item_id AS ordinal FROM {benchmark}"
+
+
+@query("detect_company_documents", f"""
+WITH n AS (SELECT *, regexp_replace(name, '[^a-z0-9]', '', 'g') AS bare FROM ({PASSAGE_NAMES.format(benchmark='benchmark')})),
+d AS (SELECT doc_id, lower(text) AS l, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS s, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS p FROM documents),
+f AS (SELECT d.doc_id, n.name, n.portfolio_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(n.name) DESC, n.ordinal) AS rn FROM d JOIN n ON contains(d.l, n.name) OR contains(d.s, n.name) OR (n.bare <> '' AND contains(d.p, n.bare)))
+SELECT d.doc_id, coalesce(f.name, 'unknown') AS company_key, coalesce(f.portfolio_id, 'unknown') AS portfolio_id FROM d LEFT JOIN f ON f.doc_id = d.doc_id AND f.rn = 1""")
+def _(t: Tables):
+    """Names of several words (the beginnings of the benchmark passages) looked for in whole documents."""
+    listed = t.spark.sql(PASSAGE_NAMES, benchmark=t.raw("benchmark"))
+    return names.detect_company(t.raw("documents").select("doc_id", "text"), listed, unique="doc_id").drop("text")
+
+
+REGISTRY = "(VALUES " + ", ".join(f"('{n}', '{f}', {k})" for k, (n, f) in enumerate(dims.portfolio_names(), 1)) + ") AS r(name, portfolio_id, ordinal)"
+REGISTRY_TEXT = """CASE s.seq % 6 WHEN 0 THEN upper(a.name) || '_Q4' WHEN 1 THEN substr(a.name, 1, 2) || '_' || substr(a.name, 3) || ' deck'
+  WHEN 2 THEN 'the' || a.name || 's and ' || b.name WHEN 3 THEN 'no company' WHEN 4 THEN a.name || ' ' || b.name ELSE 'x' || b.name || '.com' END"""
+
+
+@query("detect_company_registry", f"""
+WITH r AS (SELECT * FROM {REGISTRY}),
+x AS (SELECT s.submission_id, {REGISTRY_TEXT} AS txt FROM subs s JOIN r a ON a.ordinal = s.seq % 30 + 1 JOIN r b ON b.ordinal = s.seq % 7 * 4 + 1),
+f AS (SELECT x.submission_id, r.name, r.portfolio_id, row_number() OVER (PARTITION BY x.submission_id ORDER BY length(r.name) DESC, r.ordinal) AS rn FROM x JOIN r ON contains(regexp_replace(lower(x.txt), '[^a-z0-9]', '', 'g'), r.name))
+SELECT x.submission_id, coalesce(f.name, 'unknown') AS company_key, coalesce(f.portfolio_id, 'unknown') AS portfolio_id FROM x LEFT JOIN f ON f.submission_id = x.submission_id AND f.rn = 1""")
+def _(t: Tables):
+    """The whole registry, as a table, in file names that spell companies in several ways."""
+    listed = t.spark.sql(f"SELECT * FROM {REGISTRY}")
+    rows = t.spark.sql(
+        f"SELECT s.submission_id, {REGISTRY_TEXT} AS txt FROM {{subs}} s JOIN {{r}} a ON a.ordinal = s.seq % 30 + 1 JOIN {{r}} b ON b.ordinal = s.seq % 7 * 4 + 1",
+        subs=t.subs, r=listed,
+    )
+    return names.detect_company(rows, listed, "txt", unique="submission_id").drop("txt")
+
+
+@query("company_label_table", """
+WITH n AS (SELECT upper(left(company_key, 1)) || substr(company_key, 2) AS name, company_key AS low FROM dim_company),
+c AS (SELECT DISTINCT company_key AS low FROM subs),
+f AS (SELECT c.low, min(n.name) AS match FROM c JOIN n ON contains(c.low, n.low) OR contains(n.low, c.low) GROUP BY 1)
+SELECT s.submission_id, CASE WHEN s.founder_email IS NULL THEN (SELECT min(name) FROM n) ELSE coalesce(f.match, upper(left(s.company_key, 1)) || substr(s.company_key, 2)) END AS label
+FROM subs s LEFT JOIN f ON s.company_key = f.low""")
+def _(t: Tables):
+    listed = t.dim_company.select(F.concat(F.upper(F.substring("company_key", 1, 1)), F.expr("substr(company_key, 2)")).alias("name"))
+    rows = t.subs.select("submission_id", "founder_email", "original_filename")
+    return names.company_label(rows, listed, order="name").select("submission_id", "label")
+
+
 @query("metric_dim_join", "SELECT id, kpi_key, kpi_label AS label, unit_expected, metric_bucket FROM parsed")
 def _(t: Tables):
     return resolve.metric_dim_join(t.kpi.select("id", "kpi_key")).select("id", "kpi_key", "label", "unit_expected", "metric_bucket")
