@@ -8,7 +8,7 @@ from ledgerloom import dims
 from ledgerloom.functions.periods import valid_period
 from ledgerloom.functions.units import unit_mismatch
 from ledgerloom.operators.resolve import company_bucket_substr, metric_dim_join, wrong_bucket
-from ledgerloom.operators.skew import attach_by_key, count_by
+from ledgerloom.operators.skew import attach_by_key, count_by, written
 
 FINDING = ["submission_id", "level", "check", "kpi_key", "detail"]
 
@@ -47,8 +47,10 @@ def audit_orphan(rows: DataFrame, contract_id: str = "contract_id") -> DataFrame
 def in_batch_duplicate(rows: DataFrame, order: str = "row_seq", row_id: str = "id") -> DataFrame:
     """Adds is_duplicate: true for the 2nd and later row of a (submission, kpi, period).
 
-    The first rows are found with a ranking limit and joined by their unique id.
+    The rows are worked out once, into a table; their keys alone are ranked there (one candidate per task and key
+    reaches the shuffle), and the first rows are found again by their unique id.
     """
+    rows = written(rows, "rows")
     window = Window.partitionBy("submission_id", "kpi_key", "period_id").orderBy(order, row_id)
     firsts = (
         rows.select("submission_id", "kpi_key", "period_id", order, row_id)
@@ -63,10 +65,24 @@ def in_batch_duplicate(rows: DataFrame, order: str = "row_seq", row_id: str = "i
     )
 
 
-def audit_duplicate(rows: DataFrame, order: str = "row_seq", row_id: str = "id") -> DataFrame:
-    """One finding per 2nd and later row of a (submission, kpi, period)."""
+#: Copies of one finding that a task writes out at most.
+COPIES = 100_000
+
+
+def audit_duplicate(rows: DataFrame) -> DataFrame:
+    """One finding per 2nd and later row of a (submission, kpi, period).
+
+    These findings differ in their key only, so the rows are counted (before the shuffle too) and not ranked: a key of n
+    rows gives n - 1 findings, written out in portions by as many tasks as it takes.
+    """
+    keys = ["submission_id", "kpi_key", "period_id"]
+    repeated = count_by(rows, keys, "__n").filter("__n > 1").withColumn("__n", F.col("__n") - 1)
+    portions = F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES))
+    dealt = repeated.withColumn("__portion", F.explode(portions)).repartition(*keys, "__portion")
+    size = F.least(F.lit(COPIES).cast("long"), F.col("__n") - F.col("__portion") * COPIES)
+    each = dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), size)))
     return _finding(
-        in_batch_duplicate(rows, order, row_id).filter("is_duplicate"), "error", "duplicate", F.col("kpi_key"),
+        each, "error", "duplicate", F.col("kpi_key"),
         F.concat(
             F.lit("Duplicate row detected for (kpi_key='"), F.col("kpi_key"), F.lit("', period_id='"),
             F.coalesce("period_id", F.lit("")), F.lit("'). Only one row per metric per period allowed."),
@@ -221,13 +237,14 @@ def post_load_audit(facts: DataFrame, submissions: DataFrame, portfolio_id: str
                     ordered: bool = False) -> DataFrame:
     """Flagged rows of the latest submissions; a row gets the first status that applies.
 
-    A null is_valid is neither valid nor invalid (three-valued logic).
+    A null is_valid is neither valid nor invalid (three-valued logic). Facts meet their submissions once: the joined rows
+    are written, and their duplicates counted there.
     """
     latest = submissions.filter(F.col("is_latest_version"))
     if portfolio_id is not None:
         latest = latest.filter(F.col("portfolio_id") == portfolio_id)
     heads = latest.select("submission_id", "company_id", "portfolio_id", "is_latest_version")
-    rows = dup_count(facts.join(heads, "submission_id"))
+    rows = dup_count(written(facts.join(heads, "submission_id"), "latest-rows"))
     dup, invalid = F.col("dup_count") > 1, ~F.col("is_valid")
     flagged = rows.filter(dup | invalid | (F.col("confidence") < dims.CONF_REVIEW)).withColumn(
         "audit_status",

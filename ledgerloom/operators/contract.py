@@ -43,32 +43,39 @@ def _ratio(total: Column, count: Column, digits: int) -> Column:
     return F.round(F.try_divide(total, count.cast("decimal(20,0)")), digits).cast("double")
 
 
-def submission_rollup(rows: DataFrame, mode: str = "reference") -> DataFrame:
-    """Per submission: counts, valid ratio, average confidence, period consistency and status.
-
-    ``intended`` averages the confidence of valid rows only.
-    """
+def rollup_aggregates(mode: str = "reference") -> list[Column]:
+    """What a submission's roll-up takes from its rows; ``rollup_columns`` makes the roll-up of it."""
     valid = F.coalesce(F.col("is_valid"), F.lit(False))
     conf = F.col("confidence")
     if mode == "intended":
         conf = F.when(valid, conf)
     # distinct periods are told apart by min and max, which needs no second shuffle
     periods = (F.min("period_id") == F.max("period_id")) & (F.count("period_id") == F.count(F.lit(1)))
-    agg = rows.groupBy("submission_id").agg(
+    return [
         F.count(F.lit(1)).alias("kpi_count_total"),
         F.count_if(valid).alias("kpi_count_valid"),
         rounded_avg(conf, 3).alias("avg_confidence"),
         F.coalesce(periods, F.count("period_id") == 0).alias("period_consistent"),
-    )
-    return agg.select(
-        "submission_id",
-        "kpi_count_total",
-        "kpi_count_valid",
+    ]
+
+
+def rollup_columns() -> list[Column]:
+    return [
+        F.col("kpi_count_total"),
+        F.col("kpi_count_valid"),
         _ratio(F.col("kpi_count_valid").cast("decimal(20,0)"), F.col("kpi_count_total"), 2).alias("valid_ratio"),
-        "avg_confidence",
-        "period_consistent",
+        F.col("avg_confidence"),
+        F.col("period_consistent"),
         submission_status(F.col("avg_confidence"), F.col("kpi_count_valid")).alias("status"),
-    )
+    ]
+
+
+def submission_rollup(rows: DataFrame, mode: str = "reference") -> DataFrame:
+    """Per submission: counts, valid ratio, average confidence, period consistency and status.
+
+    ``intended`` averages the confidence of valid rows only.
+    """
+    return rows.groupBy("submission_id").agg(*rollup_aggregates(mode)).select("submission_id", *rollup_columns())
 
 
 def submission_status(avg_confidence: Column, valid_count: Column) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.functions.classify import calc_origin
+from ledgerloom import dims
+from ledgerloom.functions.classify import calc_origin, is_present
 from ledgerloom.functions.formats import fixed_even
-from ledgerloom.operators.contract import key_difference, present_kpis, required_kpis, sector_label
+from ledgerloom.operators.contract import key_difference, present_kpis, required_kpis, rollup_aggregates, rollup_columns, sector_label
 from ledgerloom.operators.resolve import bucket_of, dim_identity_join
 from ledgerloom.operators.skew import attach_by_key
 
@@ -59,15 +60,19 @@ def fidelity_identity(submissions: DataFrame, dim: DataFrame, expected: Column |
     )
 
 
-def stored_values(facts: DataFrame, order: str = "row_seq") -> DataFrame:
-    """Per submission the stored number of each margin and its inputs (the last row of a repeated KPI)."""
+def stored_aggregates(order: str = "row_seq") -> list[Column]:
+    """The stored number of each margin and its inputs (the last row of a repeated KPI)."""
 
     def last(key: str) -> Column:
         seq = F.when(F.col("kpi_key") == key, F.col(order))
         return F.max_by("numeric_value", seq).alias("v_" + key)
 
-    keys = ["revenue", "cogs", "ebitda", *DERIVABLE]
-    return facts.groupBy("submission_id").agg(*[last(k) for k in keys], F.count(F.lit(1)).alias("__rows"))
+    return [last(k) for k in ("revenue", "cogs", "ebitda", *DERIVABLE)]
+
+
+def stored_values(facts: DataFrame, order: str = "row_seq") -> DataFrame:
+    """``stored_aggregates`` per submission, and its number of rows."""
+    return facts.groupBy("submission_id").agg(*stored_aggregates(order), F.count(F.lit(1)).alias("__rows"))
 
 
 def margin_columns(stored: DataFrame) -> DataFrame:
@@ -220,23 +225,77 @@ def fidelity_verdict(errors: Column, warnings: Column) -> Column:
     return F.when(errors > 0, "FAIL").when(warnings > 0, "WARN").otherwise("PASS")
 
 
+#: KPIs that some sector requires, in one order: bit k of a mask stands for the k-th.
+REQUIRED = sorted({key for keys in dims.SECTOR_REQUIREMENTS.values() for key in keys})
+
+
+def _required_mask(bucket: Column) -> Column:
+    masks = {sector: sum(1 << REQUIRED.index(k) for k in keys) for sector, keys in dims.SECTOR_REQUIREMENTS.items()}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in masks.items() for x in pair]), bucket), F.lit(0)).cast("long")
+
+
+def _percent(mode: str) -> Column:
+    """Rows whose margin was extracted as a percentage, which ``intended`` turns into a ratio."""
+    if mode != "intended":
+        return F.lit(False)
+    return F.coalesce(F.col("raw_value").contains("%") & (calc_origin(F.col("source_description")) != "calculated"), F.lit(False))
+
+
+def fidelity_aggregates(order: str = "row_seq", mode: str = "reference") -> list[Column]:
+    """All that the report takes from the rows of a submission, as one aggregate.
+
+    Rows of a margin differ for the report only in whether they are percentages, so they are counted by that; whether they
+    are findings follows from the submission's stored values. Required KPIs with a valid value are bits of one number.
+    """
+    key, percent = F.col("kpi_key"), _percent(mode)
+    present = is_present(F.col("is_valid"), F.col("numeric_value"))
+    bits = F.create_map(*[F.lit(x) for k, name in enumerate(REQUIRED) for x in (name, 1 << k)])
+    mask = F.when(present, F.try_element_at(bits, key).cast("long"))
+    counts = [F.count_if((key == k) & (percent == p)).alias(f"n_{k}_{p}") for k in DERIVABLE for p in (False, True)]
+    other = ~key.isin(list(DERIVABLE)) & (calc_origin(F.col("source_description")) == "calculated")
+    return [*stored_aggregates(order), F.bit_or(mask).alias("present_mask"), *counts, F.count_if(other).alias("n_other")]
+
+
+def _margin_counts() -> dict[str, Column]:
+    """Discrepancies, errors and warnings of a submission from ``fidelity_aggregates``."""
+    zero = F.lit(0).cast("bigint")
+    large, errors, warnings = zero, zero, F.coalesce("n_other", zero)
+    for key in DERIVABLE:
+        value, known = F.col("r_" + key), F.col("deps_" + key) & F.col("r_" + key).isNotNull()
+        for percent in (False, True):
+            stored = F.col("v_" + key) / 100 if percent else F.col("v_" + key)
+            delta = F.abs(stored - value) * 100
+            rows = F.coalesce(f"n_{key}_{percent}", zero)
+            large = large + F.when(delta > 0.5, rows).otherwise(zero)
+            errors = errors + F.when(known & (delta > 2.0), rows).otherwise(zero)
+            warnings = warnings + F.when(known & (stored.isNull() | ((delta > 0.5) & ~(delta > 2.0))), rows).otherwise(zero)
+    return {"discrepancies": large, "calc_errors": errors, "calc_warnings": warnings}
+
+
 def fidelity_report(facts: DataFrame, submissions: DataFrame, dim: DataFrame, order: str = "row_seq",
                     mode: str = "reference", expected: Column | None = None) -> DataFrame:
-    """One verdict per submission from the three audits; a filter on submission_id is pushed down."""
-    identity = fidelity_identity(submissions, dim, expected)
-    checklist = fidelity_checklist(facts, identity).select("submission_id", "is_complete", "checklist_warnings")
-    calculator = fidelity_calculator(facts, order, mode).select("submission_id", "discrepancies", "calc_errors", "calc_warnings")
-    zero = F.lit(0).cast("bigint")
-    joined = (
-        identity.select("submission_id", "company_id", "identity_errors", "identity_warnings")
-        .join(checklist, "submission_id")
-        .join(calculator, "submission_id", "left")
-    )
-    errors = F.col("identity_errors") + F.coalesce("calc_errors", zero)
-    warnings = F.col("identity_warnings") + F.coalesce("calc_warnings", zero) + F.col("checklist_warnings")
-    return joined.select(
-        "submission_id", "company_id", "is_complete",
-        F.coalesce("discrepancies", zero).alias("discrepancies"),
+    """One verdict per submission from the three audits; a filter on submission_id is pushed down.
+
+    The facts are read once and meet the submissions as one row each: all three audits are worked out from that row.
+    Submissions stored without status and average confidence get them from the same pass (facts then need
+    confidence and period_id; a submission without rows has no roll-up and is left out).
+    """
+    stored = "status" in submissions.columns
+    aggregates = fidelity_aggregates(order, mode) + ([] if stored else rollup_aggregates(mode))
+    per_submission = facts.groupBy("submission_id").agg(*aggregates)
+    if not stored:
+        kept = [c for c in per_submission.columns if c not in ("submission_id", "kpi_count_total", "kpi_count_valid", "avg_confidence", "period_consistent")]
+        per_submission = per_submission.select("submission_id", *kept, *rollup_columns())
+    heads = submissions.drop(*[c for c in per_submission.columns if c != "submission_id"]).join(per_submission, "submission_id", "left" if stored else "inner")
+    identity = margin_columns(fidelity_identity(heads, dim, expected)).withColumns(_margin_counts())
+    bucket = F.coalesce(F.when(F.col("bucket_in_db") != "", F.col("bucket_in_db")), F.col("bucket_expected"))
+    required = _required_mask(bucket)
+    complete = required.bitwiseAND(F.coalesce("present_mask", F.lit(0).cast("long"))) == required
+    incomplete = ((required == 0) | ~complete).cast("int")
+    errors = F.col("identity_errors") + F.col("calc_errors")
+    warnings = F.col("identity_warnings") + F.col("calc_warnings") + incomplete
+    return identity.select(
+        "submission_id", "company_id", complete.alias("is_complete"), "discrepancies",
         errors.alias("errors"), warnings.alias("warnings"), (errors + warnings).alias("total_findings"),
         fidelity_verdict(errors, warnings).alias("overall_status"),
     )

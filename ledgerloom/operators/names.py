@@ -11,18 +11,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.operators.skew import attach_by_key
-from ledgerloom.session import work_path
+from ledgerloom.operators.skew import attach_by_key, written
 
 PIECE = 3
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _pieces(text: Column, size: int) -> Column:
     """All runs of ``size`` characters, found in one pass."""
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
@@ -33,7 +26,7 @@ def containing(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     ``texts``: id, kind, text; ``names``: kind, needle. Empty needles are in no text.
     """
-    needles = _staged(names.filter("needle <> ''").select("kind", "needle").distinct(), "needles")
+    needles = written(names.filter("needle <> ''").select("kind", "needle").distinct(), "needles")
     size = F.least(F.length("needle"), F.lit(PIECE))
     own = reduce(lambda rest, n: F.when(size == n, _pieces(F.col("needle"), n)).otherwise(rest), range(1, PIECE), _pieces(F.col("needle"), PIECE))
     cut = needles.select("kind", "needle", F.explode(F.array_distinct(own)).alias("piece"))
@@ -59,10 +52,10 @@ def _best(rows: DataFrame, haystacks: dict[str, Column], needles: dict[str, Colu
         texts = rows.select(F.col(unique).alias("id"), "__text")
     else:
         counted = rows.groupBy("__text").agg(F.count(F.lit(1)).alias("__rows"))
-        texts = _staged(counted.withColumn("id", F.monotonically_increasing_id()), "texts")
+        texts = written(counted.withColumn("id", F.monotonically_increasing_id()), "texts")
     kinds = [F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in haystacks.items()]
-    looked_at = _staged(texts.select("id", F.inline(F.array(*kinds))), "haystacks")
-    listed = _staged(names.select("*", F.struct(*rank).alias("rank")), "names")
+    looked_at = written(texts.select("id", F.inline(F.array(*kinds))), "haystacks")
+    listed = written(names.select("*", F.struct(*rank).alias("rank")), "names")
     index = listed.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("needle")) for k, c in needles.items()])), "rank", F.struct(*columns).alias("found"))
     index = index.filter(F.col("needle").isNotNull())
     best = containing(looked_at, index).join(index, ["kind", "needle"]).groupBy("id").agg(F.min_by("found", "rank").alias("__best"))
@@ -121,15 +114,15 @@ def company_label(rows: DataFrame, names: DataFrame, email: str = "founder_email
     domain = F.get(F.split(host, r"\.", -1), F.lit(0))
     word = F.get(F.split(F.regexp_replace(F.col(filename), r"^[a-f0-9]+_", ""), r"[_.\s-]", -1), F.lit(0))
     rows = rows.withColumns({"__domain": domain, "__word": word})
-    listed = _staged(names.select("name", F.lower("name").alias("low"), F.col(order).alias("rank")), "names")
+    listed = written(names.select("name", F.lower("name").alias("low"), F.col(order).alias("rank")), "names")
     words = rows.select(F.explode(F.array("__domain", "__word")).alias("text")).filter("text <> ''").distinct()
-    words = _staged(words.select("text", F.lower("text").alias("low")), "words")
+    words = written(words.select("text", F.lower("text").alias("low")), "words")
     texts = words.select("low").distinct().select(F.col("low").alias("id"), F.lit("w").alias("kind"), F.col("low").alias("text"))
     shown = listed.select("low").distinct().select(F.col("low").alias("id"), F.lit("w").alias("kind"), F.col("low").alias("text"))
     inside = containing(texts, listed.select(F.lit("w").alias("kind"), F.col("low").alias("needle"))).select(F.col("id").alias("word"), F.col("needle").alias("low"))
     around = containing(shown, texts.select("kind", F.col("text").alias("needle"))).select(F.col("needle").alias("word"), F.col("id").alias("low"))
     best = inside.union(around).join(listed, "low").groupBy("word").agg(F.min_by("name", "rank").alias("match"))
-    matched = _staged(words.join(best, words["low"] == best["word"]).select("text", "match"), "matched")
+    matched = written(words.join(best, words["low"] == best["word"]).select("text", "match"), "matched")
     first = F.lit(None).cast("string") if mode == "intended" else listed.select(F.min_by("name", "rank")).scalar()
     for column in ("__domain", "__word"):
         found = matched.select(F.col("text").alias(column), F.col("match").alias(column + "_match"))

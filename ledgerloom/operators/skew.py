@@ -26,7 +26,8 @@ def _prefixed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({k: "__" + k for k in keys})
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows in a table on shared storage: worked out once for all that read them."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -52,16 +53,19 @@ def attach_by_key(
 ) -> DataFrame:
     """Join ``per_key`` (one row per key; nulls are equal) to ``rows``, splitting hot keys.
 
-    ``weight`` names the column of ``per_key`` that counts the key's rows in ``rows``; without
-    it the counts are taken here, unless ``small_keys`` says that no key can hold many rows.
+    ``weight`` names the column of ``per_key`` that counts the key's rows in ``rows``; without it the rows are
+    written to shared storage, so that they are worked out once, and counted there, unless ``small_keys`` says that no
+    key can hold many rows. Tables are written while the plan is built: even ``explain`` starts these jobs.
     """
-    per_key = _written(per_key, "per-key")
+    per_key = written(per_key, "per-key")
+    if not small_keys and weight is None:
+        rows = written(rows, "rows")
     names = ["__" + k for k in keys]
     hot = None
     if not small_keys:
         counts = per_key if weight else count_by(rows, keys, "__n")
         over = counts.filter(F.col(weight or "__n") > hot_rows)
-        hot = _written(over.select(*keys, F.ceil(F.col(weight or "__n") / hot_rows).cast("int").alias("__splits")), "hot-keys")
+        hot = written(over.select(*keys, F.ceil(F.col(weight or "__n") / hot_rows).cast("int").alias("__splits")), "hot-keys")
     if hot is None or hot.isEmpty():
         right = _prefixed(per_key, keys)
         return rows.join(right, _same_keys(rows, right, keys), how).drop(*names)

@@ -134,7 +134,8 @@ FROM identity2 i JOIN fid_check f ON i.submission_id = f.submission_id JOIN calc
 
 
 def _report(t: Tables, mode: str = "reference"):
-    return fidelity.fidelity_report(_fidelity_facts(t), t.heads, t.dim_company, expected=_expected(), mode=mode)
+    facts = t.parsed.select("submission_id", "kpi_key", "raw_value", "numeric_value", "source_description", "is_valid", "row_seq", "confidence", "period_id")
+    return fidelity.fidelity_report(facts, t.latest, t.dim_company, expected=_expected(), mode=mode)
 
 
 @query("fidelity_report", REPORT)
