@@ -106,7 +106,8 @@ def audit_unknown_metric(rows: DataFrame) -> DataFrame:
 def bucket_detail(company: str, bucket: str) -> Column:
     return F.concat(
         F.lit("Metric '"), F.col("kpi_key"), F.lit("' belongs to bucket '"), F.col("metric_bucket"),
-        F.lit("' but company '"), F.col(company), F.lit("' is classified as '"), F.col(bucket), F.lit("'."),
+        F.lit("' but company '"), F.col(company), F.lit("' is classified as '"), F.col(bucket),
+        F.lit("'. (confidence="), F.col("confidence").cast("string"), F.lit(")"),
     )
 
 

@@ -111,7 +111,7 @@ def row_warnings(rows: DataFrame) -> DataFrame:
                 F.col("is_valid") & (F.col("currency") != "USD") & F.col("fx_rate").isNull(),
                 F.concat(
                     F.lit("KPI '"), key, F.lit("': no FX rate for "), F.col("currency"), F.lit("/"),
-                    F.col("report_year").cast("string"), F.lit(" — normalized_value_usd is null."),
+                    F.col("report_year").cast("string"), F.lit(" — normalized_value_usd is null. Add the currency to RATE_TABLE."),
                 ),
             ),
         )
@@ -123,10 +123,6 @@ def submission_warnings(rollup: DataFrame) -> DataFrame:
     """Warning texts of whole submissions, one row each."""
     texts = F.array_compact(
         F.array(
-            F.when(
-                ~F.col("period_consistent"),
-                "Multiple period_ids detected. Check that the document covers a single fiscal year.",
-            ),
             F.when(
                 F.col("kpi_count_valid") == 0,
                 "No numeric KPI values were extracted. "
@@ -144,9 +140,20 @@ def submission_warnings(rollup: DataFrame) -> DataFrame:
     return rollup.select("submission_id", F.lit("*").alias("kpi_key"), F.explode(texts).alias("warning"))
 
 
+def period_warnings(rows: DataFrame) -> DataFrame:
+    """Submissions of more than one period, with the periods in order (an absent one is None)."""
+    named = F.coalesce(F.concat(F.lit("'"), F.col("period_id"), F.lit("'")), F.lit("None"))
+    periods = rows.groupBy("submission_id").agg(F.array_sort(F.collect_set(named)).alias("periods")).filter(F.size("periods") > 1)
+    text = F.concat(
+        F.lit("Multiple period_ids detected: {"), F.array_join("periods", ", "),
+        F.lit("}. Check that the document covers a single fiscal year."),
+    )
+    return periods.select("submission_id", F.lit("*").alias("kpi_key"), text.alias("warning"))
+
+
 def integrity_warnings(rows: DataFrame, rollup: DataFrame) -> DataFrame:
     """All warnings, one row per text; a list per submission could grow without bound."""
-    return row_warnings(rows).unionByName(submission_warnings(rollup))
+    return row_warnings(rows).unionByName(submission_warnings(rollup)).unionByName(period_warnings(rows))
 
 
 def base_values(rows: DataFrame, order: str = "row_seq") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import dims
 from ledgerloom.functions import periods, units, values
+from ledgerloom.functions.text import salted_hash
 
 
 def json_path(keys: list[str]) -> str:
@@ -315,18 +316,51 @@ def patch_document(docs: DataFrame, patches: DataFrame, doc_id: str, doc: str =
     return joined.withColumn(doc, F.when(patched, F.parse_json(text)).otherwise(F.col(doc))).select(*docs.columns)
 
 
+MANUAL_NOTE = "Entrada manual del Analista"  # fixed value
+
+
 def manual_entry(wide: DataFrame, ids: list[str]) -> DataFrame:
     """Wide form entries (16 nullable KPI columns) as KPI rows with full confidence."""
     clean = wide.select(*ids, *[values.nullif_blank(F.col(k).cast("string")).alias(k) for k in dims.KPI_KEYS])
     return clean.unpivot(ids, dims.KPI_KEYS, "kpi_key", "raw_value").withColumns(
         {
             "confidence": F.lit(1.0),
-            "source_description": F.lit("Entrada manual del Analista"),
+            "source_description": F.lit(MANUAL_NOTE),
             "original_currency": F.lit("USD"),
         }
     )
 
 
+def manual_documents(wide: DataFrame, salt: Column | None = None) -> DataFrame:
+    """Wide form entries as documents ready for ``ingest.build_contracts``: header columns, document (VARIANT) and its text.
+
+    ``wide``: company_id, period_id, portfolio_id, founder_email, submitted_at and the 16 KPI columns (any of them null or
+    blank). The node tree is built as a struct and turned into a VARIANT and a text, so nothing is parsed. The hash is
+    that of company, period and ``salt`` (default: random, so that a repeated entry is not a copy).
+    """
+    clean = coerce_manual_fields(wide, dims.KPI_KEYS)
+    direct: list[Column] = []
+    sections: dict[str, list[Column]] = {}
+    for key, _, path, _ in dims.KPI_REGISTRY:
+        node = F.struct(F.col(key).alias("value"), F.lit(1.0).alias("confidence"), F.lit(MANUAL_NOTE).alias("description")).alias(path[-1])
+        if len(path) == 1:
+            direct.append(node)
+        else:
+            sections.setdefault(path[0], []).append(node)
+    metrics = F.struct(*direct, *[F.struct(*members).alias(name) for name, members in sections.items()])
+    context = F.struct(F.lit("USD").alias("currency"), F.col("period_id").alias("period"), F.lit("units").alias("scale"), F.lit(MANUAL_NOTE).alias("scale_notes"))
+    tree = F.struct(context.alias(dims.CONTEXT), metrics.alias(dims.ROOT))
+    hashed = clean.withColumn("file_hash", salted_hash(F.col("company_id"), F.col("period_id"), salt))
+    return hashed.select(
+        F.concat(F.lit("M"), "file_hash").alias("submission_id"),
+        "file_hash", "company_id", "founder_email",
+        F.concat(F.lit("[manual] "), "company_id", F.lit(" "), "period_id").alias("original_filename"),
+        "submitted_at", "portfolio_id",
+        F.to_variant_object(tree).alias("doc"),
+        F.to_json(tree, {"ignoreNullFields": "false"}).alias("raw_json"),
+    )
+
+
 def coerce_manual_fields(wide: DataFrame, columns: list[str]) -> DataFrame:
     """Blank texts to null and numbers to text, for the given columns."""
     return wide.withColumns({c: values.nullif_blank(F.col(c).cast("string")) for c in columns})

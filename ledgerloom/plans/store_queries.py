@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ledgerloom import dims
 from ledgerloom.operators import audit, documents, fidelity, resolve, store, touched
@@ -47,7 +47,7 @@ def _(t: Tables):
 
 
 @query("audit_bucket_mismatch", """
-SELECT submission_id, 'error' AS level, 'bucket_mismatch' AS "check", kpi_key, 'Metric ''' || kpi_key || ''' belongs to bucket ''' || metric_bucket || ''' but company ''' || company_id || ''' is classified as ''' || bucket_id || '''.' AS detail
+SELECT submission_id, 'error' AS level, 'bucket_mismatch' AS "check", kpi_key, 'Metric ''' || kpi_key || ''' belongs to bucket ''' || metric_bucket || ''' but company ''' || company_id || ''' is classified as ''' || bucket_id || '''. (confidence=' || CAST(confidence AS VARCHAR) || ')' AS detail
 FROM parsed WHERE metric_bucket <> 'ALL' AND metric_bucket <> bucket_id AND confidence > 0.95""")
 def _(t: Tables):
     return audit.audit_bucket_mismatch(t.kpi.select("submission_id", "kpi_key", "company_id", "bucket_id", "confidence"))
@@ -316,6 +316,31 @@ def _(t: Tables):
     return _inserted(t).duplicates.select("submission_id", "stored_submission_id")
 
 
+@query("manual_entry_documents", """
+WITH w AS (SELECT c_custkey, 'cust' || c_custkey AS company_id, 'FY' || (2021 + c_custkey % 5) AS period_id,
+    substr(sha256('cust' || c_custkey || ':FY' || (2021 + c_custkey % 5) || ':' || c_custkey), 1, 16) AS file_hash FROM customer),
+v AS (SELECT w.*, CAST(c.c_acctbal AS VARCHAR) AS rev, CAST(c.c_custkey AS VARCHAR) AS cac, k.kpi_key, k.unit_expected, k.ordinal, CASE k.kpi_key WHEN 'revenue' THEN CAST(c.c_acctbal AS VARCHAR) WHEN 'cac' THEN CAST(c.c_custkey AS VARCHAR) WHEN 'churn_rate' THEN CAST(c.c_nationkey AS VARCHAR) || '%' END AS raw_value
+  FROM w JOIN customer c USING (c_custkey), dim_kpi k)
+SELECT 'M' || file_hash || '-' || kpi_key || '-' || ordinal AS id, kpi_key, 'FY' || coalesce(nullif(regexp_extract(rev, '\\b(20[0-9][0-9])\\b', 1), ''), nullif(regexp_extract(cac, '\\b(20[0-9][0-9])\\b', 1), ''), '2025') AS period_id, raw_value, CAST(replace(raw_value, '%', '') AS DOUBLE) AS numeric_value, raw_value IS NOT NULL AS is_valid, CAST(1 AS DOUBLE) AS confidence,
+  'Entrada manual del Analista' AS source_description, 'USD' AS original_currency, CASE WHEN raw_value IS NOT NULL THEN CAST(1 AS DOUBLE) END AS fx_rate FROM v""")
+def _(t: Tables):
+    """Analysts' entries, one wide row a customer, as documents: through contracts, audit and insert to stored facts.
+
+    Their period is inferred like that of any document (a year in the text, else that of the entry)."""
+    given = {"revenue": C("c_acctbal"), "cac": C("c_custkey"), "churn_rate": F.concat(C("c_nationkey").cast("string"), F.lit("%"))}
+    wide = t.raw("customer").select(
+        "c_custkey", F.concat(F.lit("cust"), C("c_custkey").cast("string")).alias("company_id"), F.concat(F.lit("FY"), (C("c_custkey") % 5 + 2021).cast("string")).alias("period_id"),
+        F.lit(None).cast("string").alias("founder_email"), F.lit("VII").alias("portfolio_id"), F.lit("2025-06-30").cast("timestamp_ntz").alias("submitted_at"),
+        *[given.get(k, F.lit("  ")).alias(k) for k in dims.KPI_KEYS],
+    )
+    built = ingest.build_contracts(documents.manual_documents(wide, C("c_custkey").cast("string")), path=work_path(t.spark, "staged"))
+    stored = t.spark.createDataFrame([], store.layout_schema(store.SUBMISSIONS_LAYOUT))
+    path = work_path(t.spark, "facts")
+    store.append_rows(ingest.insert_contracts(built, stored).rows, path, store.FACT_LAYOUT)
+    facts = store.read_or_empty(t.spark, path, store.FACT_LAYOUT)
+    return facts.select("id", "kpi_key", "period_id", "raw_value", "numeric_value", "is_valid", "confidence", "source_description", "original_currency", "fx_rate")
+
+
 @query("quarantine_documents", """
 SELECT submission_id, CASE WHEN form = 'broken' THEN 'json_error' ELSE 'not_object' END AS reason FROM subs
 WHERE form IN ('broken', 'array') AND submission_id IN (SELECT submission_id FROM kpi)""")
@@ -379,21 +404,89 @@ def _(t: Tables):
     return vault.scan_result_vault(t.spark, _vault(t), "EUROPE").select("file_hash")
 
 
-@query("result_by_hash", "SELECT file_hash, count(*) > 0 AS found FROM subs WHERE submission_id IN (SELECT submission_id FROM kpi) AND file_hash = (SELECT min(file_hash) FROM subs WHERE submission_id IN (SELECT submission_id FROM kpi)) GROUP BY 1")
+@query("result_by_hash", """
+SELECT file_hash, submission_id, kpis FROM (
+  SELECT s.file_hash, s.submission_id, count(DISTINCT k.kpi_key) AS kpis, s.portfolio_id, s.original_filename FROM subs s JOIN kpi k ON k.submission_id = s.submission_id
+  WHERE s.file_hash = (SELECT min(file_hash) FROM subs WHERE submission_id IN (SELECT submission_id FROM kpi)) GROUP BY ALL ORDER BY s.portfolio_id, s.original_filename LIMIT 1)""")
 def _(t: Tables):
-    stored = t.spark.read.parquet(_vault(t))
-    smallest = stored.agg(F.min("file_hash")).first()[0]
-    return vault.result_by_hash(stored, smallest).select("file_hash", F.lit(True).alias("found"))
+    """The document stored under the smallest hash, looked up by a scalar subquery and read as a document."""
+    path = work_path(t.spark, "vault")
+    named = t.kpi.groupBy("submission_id").agg(F.count_distinct("kpi_key").alias("n"))
+    results = t.subs.join(named, "submission_id").select("file_hash", C("portfolio_id").alias("company_domain"), "submission_id", "original_filename", F.to_json(F.struct("n")).alias("raw_json"))
+    vault.write_result_vault(results, path)
+    stored = t.spark.read.parquet(path)
+    found = vault.result_by_hash(stored, stored.select(F.min("file_hash")).scalar())
+    return documents.decoded_only(found).select("file_hash", "submission_id", documents.dig(C("doc"), ["n"], "bigint").alias("kpis"))
 
 
 @query("copy_to_vault", """
-WITH st AS (SELECT portfolio_id AS company_domain, file_hash FROM subs WHERE seq % 2 = 0), inc AS (SELECT DISTINCT company_id AS company_domain, file_hash FROM subs)
-SELECT i.file_hash, i.company_domain, true AS copied_from_general FROM inc i WHERE i.file_hash IN (SELECT file_hash FROM st)""")
+WITH st AS (SELECT portfolio_id AS company_domain, file_hash, submission_id, original_filename FROM subs WHERE seq % 2 = 0), inc AS (SELECT company_id AS company_domain, file_hash, min(founder_email) AS founder_email FROM subs GROUP BY 1, 2),
+src AS (SELECT file_hash, min(company_domain) AS first_company FROM st GROUP BY 1)
+SELECT company_domain, file_hash, NULL AS founder_email, NULL AS copied_from_general, count(*) AS results FROM st GROUP BY 1, 2
+UNION ALL SELECT i.company_domain, i.file_hash, i.founder_email, true, 1 FROM inc i JOIN src USING (file_hash)""")
 def _(t: Tables):
+    """Half of the submissions stored by region; what companies sent is copied into partitions of their own, and the whole vault read back."""
+    path = work_path(t.spark, "vault")
     stored = t.subs.filter(C("seq") % 2 == 0).select(
         C("portfolio_id").alias("company_domain"), "file_hash", "original_filename", F.lit("{}").alias("raw_json"))
-    incoming = t.subs.select(C("company_id").alias("company_domain"), "file_hash", "founder_email")
-    return vault.copy_to_vault(incoming, stored).select("file_hash", "company_domain", "copied_from_general")
+    vault.write_result_vault(stored, path)
+    vault.copy_to_vault(t.subs.select(C("company_id").alias("company_domain"), "file_hash", "founder_email"), path)
+    read = t.spark.read.option("mergeSchema", True).parquet(path)
+    return read.groupBy("company_domain", "file_hash", "founder_email", "copied_from_general").agg(F.count(F.lit(1)).alias("results"))
+
+
+SUPPLIER_FORM = "CASE s_suppkey % 10 WHEN 3 THEN 'broken' WHEN 5 THEN 'array' WHEN 7 THEN 'double' ELSE 'plain' END"
+
+
+def _json_vault(t: Tables) -> str:
+    """One .json file for each supplier, in the directory of its nation; the path. Some are cut off, no object, or encoded twice."""
+    root = work_path(t.spark, "json vault")
+    rows = t.raw("supplier").join(t.raw("nation"), C("s_nationkey") == C("n_nationkey"))
+    node = F.struct(C("s_acctbal").cast("string").alias("value"), F.lit(0.9).alias("confidence"))
+    whole = F.to_json(F.struct(F.struct(F.struct(node.alias("revenue")).alias("base_metrics")).alias(dims.ROOT), C("s_name").alias("name")))
+    form = F.expr(SUPPLIER_FORM)
+    text = F.when(form == "broken", F.substring(whole, F.lit(1), F.length(whole) - 3)).when(form == "array", "[1, 2]").when(form == "double", documents.json_string(whole)).otherwise(whole)
+    results = rows.select(C("n_name").alias("company_domain"), F.concat(C("s_name"), F.lit(" 100%+_result")).alias("id"), text.alias("raw_json"))
+    vault.write_json_files(results, root)
+    return root
+
+
+JSON_ITEMS = f"""
+SELECT s_name || ' 100%+_result' AS id, n_name AS company_domain, CAST(s_acctbal AS DOUBLE) AS revenue FROM supplier JOIN nation ON s_nationkey = n_nationkey
+WHERE {SUPPLIER_FORM} IN ('plain', 'double')"""
+
+
+def _items(found):
+    value = documents.dig(C("doc"), [dims.ROOT, "base_metrics", "revenue", "value"], "string").cast("double")
+    return found.select("id", "company_domain", value.alias("revenue"))
+
+
+@query("scan_json_files", JSON_ITEMS)
+def _(t: Tables):
+    return _items(vault.scan_json_files(t.spark, _json_vault(t)))
+
+
+@query("scan_json_company", JSON_ITEMS + " AND n_name = 'FRANCE'")
+def _(t: Tables):
+    return _items(vault.scan_json_files(t.spark, _json_vault(t), "FRANCE"))
+
+
+@query("scan_json_quarantine", f"""
+SELECT s_name || ' 100%+_result' AS id, n_name AS company_domain, n_name || '/' || s_name || ' 100%+_result.json' AS path, CASE {SUPPLIER_FORM} WHEN 'broken' THEN 'json_error' ELSE 'not_object' END AS reason
+FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE {SUPPLIER_FORM} IN ('broken', 'array')""")
+def _(t: Tables):
+    found = vault.scan_json_quarantine(t.spark, _json_vault(t))
+    return found.select("id", "company_domain", F.regexp_replace("gcs_path", "^[^/]*/", "").alias("path"), "reason")
+
+
+@query("stream_json_files", JSON_ITEMS)
+def _(t: Tables):
+    """The same files as they arrive: decoded by a stream and stored."""
+    sink, checkpoint = work_path(t.spark, "items"), work_path(t.spark, "checkpoint")
+    arriving = vault.json_texts(t.spark, _json_vault(t), stream=True)
+    rows = _items(documents.decoded_only(arriving, "value"))
+    rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(sink)
 
 
 @query("audit_vault_files", """
@@ -436,6 +529,25 @@ def _(t: Tables):
     return catalog.catalog_from_json(t.spark, path, whole_file=False)
 
 
+@query("load_kpi_catalog_csv", """
+SELECT 'Co "' || (p_partkey // 40) || '"' AS company, CAST(row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) AS INTEGER) AS position,
+  CASE WHEN p_partkey % 3 = 0 THEN p_name || chr(10) || 'second "line", end' ELSE p_name END AS legacy_kpi, p_type AS target_kpi, CAST(p_size AS VARCHAR) AS audit_logic FROM part""")
+def _(t: Tables):
+    """Sheets of 25 companies of 40 rules, a company named on its first row only, cells with line breaks and quotes."""
+    path = work_path(t.spark, "sheets")
+    group = F.floor(C("p_partkey") / 40)
+    first = F.lag(group).over(Window.partitionBy("sheet").orderBy("p_partkey"))
+    named = F.concat(F.lit('Co "'), group.cast("string"), F.lit('"'))
+    lines = F.when(C("p_partkey") % 3 == 0, F.concat(C("p_name"), F.lit('\nsecond "line", end'))).otherwise(C("p_name"))
+    rows = t.raw("part").withColumn("sheet", F.floor(C("p_partkey") / 1000)).select(
+        "sheet", "p_partkey", F.when(first.isNull() | (first != group), named).alias("company"), lines.alias("legacy_kpi"), C("p_type").alias("target_kpi"),
+        C("p_size").cast("string").alias("audit_logic"), F.lit(None).cast("string").alias("note"),
+    )
+    in_order = rows.repartition("sheet").sortWithinPartitions("sheet", "p_partkey").drop("p_partkey")
+    in_order.write.option("header", True).option("escape", '"').partitionBy("sheet").csv(path)
+    return catalog.catalog_from_csv(t.spark, path)
+
+
 # ---- streaming ------------------------------------------------------------------------------
 
 @query("stream_ingest_results", "SELECT submission_id, kpi_key, raw_value, numeric_value, is_valid FROM docrows WHERE form <> 'fenced'")

@@ -367,11 +367,16 @@ def _(t: Tables):
 @query("integrity_warnings", """
 SELECT submission_id, kpi_key, warning, count(*) AS n FROM (
   SELECT submission_id, kpi_key, 'KPI ''' || kpi_key || ''' value ''' || raw_value || ''' is not numeric — stored with is_valid=False' AS warning FROM facts WHERE NOT is_valid
-  UNION ALL SELECT submission_id, kpi_key, 'KPI ''' || kpi_key || ''': no FX rate for ' || currency || '/' || report_year || ' — normalized_value_usd is null.' FROM facts WHERE is_valid AND currency <> 'USD' AND fx_rate IS NULL
+  UNION ALL SELECT submission_id, kpi_key, 'KPI ''' || kpi_key || ''': no FX rate for ' || currency || '/' || report_year || ' — normalized_value_usd is null. Add the currency to RATE_TABLE.' FROM facts WHERE is_valid AND currency <> 'USD' AND fx_rate IS NULL
   UNION ALL SELECT submission_id, '*', 'No numeric KPI values were extracted. The document may not contain financial statements in a parseable format.' FROM rollup2 WHERE kpi_count_valid = 0
-  UNION ALL SELECT submission_id, '*', 'Average confidence ' || printf('%.2f', avg_confidence) || ' is below threshold 0.85. Submission flagged for human review.' FROM rollup2 WHERE avg_confidence < 0.85) GROUP BY ALL""")
-def _(t: Tables):
-    found = contract.integrity_warnings(t.facts, contract.submission_rollup(t.parsed))
+  UNION ALL SELECT submission_id, '*', 'Average confidence ' || printf('%.2f', avg_confidence) || ' is below threshold 0.85. Submission flagged for human review.' FROM rollup2 WHERE avg_confidence < 0.85
+  UNION ALL SELECT submission_id, '*', 'Multiple period_ids detected: {' || string_agg(p, ', ' ORDER BY p) || '}. Check that the document covers a single fiscal year.'
+    FROM (SELECT DISTINCT submission_id, CASE WHEN l_partkey % 50 = 7 THEN 'None' WHEN l_partkey % 50 = 8 THEN chr(39) || 'FY' || year(l_shipdate) || chr(39) ELSE chr(39) || period_id || chr(39) END AS p FROM facts)
+    GROUP BY submission_id HAVING count(*) > 1) GROUP BY ALL""")
+def _(t: Tables):
+    """Some rows with another period than their submission, some without one."""
+    period = F.when(C("l_partkey") % 50 == 7, None).when(C("l_partkey") % 50 == 8, F.concat(F.lit("FY"), F.year("l_shipdate").cast("string"))).otherwise(C("period_id"))
+    found = contract.integrity_warnings(t.facts.withColumn("period_id", period), contract.submission_rollup(t.parsed))
     return found.groupBy("submission_id", "kpi_key", "warning").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ledgerloom.operators import scans
+from ledgerloom.operators.skew import written
 
 DEFAULT_COMPANY = "Standard_KPIs"
 
@@ -29,24 +32,19 @@ def catalog_from_json(spark: SparkSession, path: str, whole_file: bool = True) -
     )
 
 
-def forward_fill(rows: DataFrame, column: str, order: str, sheet: list[str]) -> DataFrame:
-    """Fill empty cells from the last filled one above, per sheet.
+def catalog_from_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The same table from CSV files whose first column is filled only on the first row of a company.
 
-    Rows of a sheet are numbered by ``order``; the filled cells alone decide the blocks, so a
-    sheet is looked at in order (a catalogue sheet is a short file).
+    A file is a sheet: names are carried down within it, and rules numbered within a company of it. Both are scans in
+    splits (``scans``), so a long file, or a company with most of the rules, is worked on by many tasks. Rows are placed by
+    their position as read; the files are read once, into a table.
     """
-    window = Window.partitionBy(*sheet).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.last(F.when(F.col(column) != "", F.col(column)), ignorenulls=True).over(window)
-    return rows.withColumn(column, filled)
-
-
-def catalog_from_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The same table from a CSV whose first column is filled only on the first row of a company."""
-    raw = (
+    raw = written(
         spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"')
         .schema("company string, legacy_kpi string, target_kpi string, audit_logic string, note string").csv(path)
-        .select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__pos"))
+        .select("company", "legacy_kpi", "target_kpi", "audit_logic", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__pos")),
+        "catalog",
     )
-    filled = forward_fill(raw.drop("note"), "company", "__pos", ["__file"])
-    position = F.row_number().over(Window.partitionBy("__file", "company").orderBy("__pos"))
-    return filled.select("company", position.alias("position"), "legacy_kpi", "target_kpi", "audit_logic")
+    filled = scans.forward_fill(raw, "company", ["__file"], "__pos")
+    numbered = scans.row_numbers(filled, ["__file", "company"], "__pos")
+    return numbered.select("company", "position", "legacy_kpi", "target_kpi", "audit_logic")

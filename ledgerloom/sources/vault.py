@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom import dims
 from ledgerloom.functions.text import company_from_path
-from ledgerloom.operators.documents import decoded_only, dig
+from ledgerloom.operators.documents import decoded_only, dig, quarantine
 from ledgerloom.operators.resolve import lookup_portfolio
-from ledgerloom.operators.skew import attach_by_key
+from ledgerloom.operators.skew import attach_by_key, written
+from ledgerloom.operators.touched import exists
 
 METADATA = [
     "file_hash", "original_filename", "founder_email", "portfolio_id", "processed_at", "copied_from_general",
@@ -16,28 +17,69 @@ METADATA = [
 
 
 def _relative(path: Column, root: str) -> Column:
-    """Path below the vault root, with the root's own last name in front."""
+    """Decoded path below the vault root, with the root's own last name in front."""
     name = root.rstrip("/").rsplit("/", 1)[-1]
-    return F.concat(F.lit(name + "/"), F.substring_index(path, "/" + name + "/", -1))
+    plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.concat(F.lit(name + "/"), F.substring_index(plain, "/" + name + "/", -1))
 
 
-def scan_json_files(spark: SparkSession, root: str, company: str | None = None) -> DataFrame:
-    """Results stored as ``{root}/{company}/{id}.json``: id, company_domain, gcs_path, doc.
+def _placed(files: DataFrame, root: str) -> DataFrame:
+    """id, company_domain, gcs_path and value of file texts read from below ``root``."""
+    name = root.rstrip("/").rsplit("/", 1)[-1]
+    placed = files.select(_relative(F.col("_metadata.file_path"), root).alias("gcs_path"), "value")
+    domain = company_from_path(F.col("gcs_path"))
+    bare = F.replace(F.col("gcs_path"), F.lit(".json"), F.lit(""))
+    return placed.select(F.replace(bare, F.concat(F.lit(name + "/"), domain, F.lit("/")), F.lit("")).alias("id"), domain.alias("company_domain"), "gcs_path", "value")
+
 
-    Files are listed and read in parallel; malformed and non-object texts are left out. With a
-    company only its directory is listed.
+def json_texts(spark: SparkSession, root: str, company: str | None = None, stream: bool = False) -> DataFrame:
+    """Texts of the files ``{root}/{company}/{id}.json``: id, company_domain, gcs_path, value; as a batch or a stream.
+
+    Files are listed and read in parallel. With a company only its directory is listed; one without has no results.
     """
     path = root if company is None else f"{root.rstrip('/')}/{company}"
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json").text(path)
-        .select(_relative(F.col("_metadata.file_path"), root).alias("gcs_path"), "value")
-    )
-    files = decoded_only(files, "value").drop("value")
-    domain = company_from_path(F.col("gcs_path"))
-    short = F.replace(F.replace(F.col("gcs_path"), F.lit(".json"), F.lit("")),
-                      F.concat(F.lit("vault/"), domain, F.lit("/")), F.lit(""))
-    return files.select(short.alias("id"), domain.alias("company_domain"), "gcs_path", "doc")
+    if not stream and not exists(spark, path):
+        return spark.createDataFrame([], "id string, company_domain string, gcs_path string, value string")
+    reader = spark.readStream if stream else spark.read
+    return _placed(reader.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path), root)
+
+
+def scan_json_files(spark: SparkSession, root: str, company: str | None = None) -> DataFrame:
+    """Results stored as files: id, company_domain, gcs_path, doc. Malformed and non-object texts are left out."""
+    return decoded_only(json_texts(spark, root, company), "value").drop("value")
+
+
+def scan_json_quarantine(spark: SparkSession, root: str, company: str | None = None) -> DataFrame:
+    """The files that ``scan_json_files`` leaves out: their path, text (value) and reason."""
+    return quarantine(json_texts(spark, root, company), "value")
+
+
+def write_json_files(results: DataFrame, root: str) -> None:
+    """Each result (company_domain, id, raw_json) as a file ``{root}/{company_domain}/{id}.json``.
+
+    Tasks write their own files: beside the target first, then moved, so a reader sees whole files only and a
+    repeated task replaces what it wrote. Any file system that Arrow knows by its address will do.
+    """
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        if "://" in root:
+            store, base = fs.FileSystem.from_uri(root)
+        else:
+            store, base = fs.LocalFileSystem(), root.removeprefix("file:")
+        made: set[str] = set()
+        for row in rows:
+            folder = f"{base.rstrip('/')}/{row['company_domain']}"
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            target = f"{folder}/{row['id']}.json"
+            with store.open_output_stream(f"{target}.part") as out:
+                out.write((row["raw_json"] or "").encode())
+            store.move(f"{target}.part", target)
+
+    results.select("company_domain", "id", "raw_json").foreachPartition(write)
 
 
 def write_result_vault(results: DataFrame, path: str) -> None:
@@ -74,12 +116,15 @@ def result_items(stored: DataFrame, names: list[tuple[str, str]] | None = None)
     )
 
 
-def result_by_hash(stored: DataFrame, file_hash: str) -> DataFrame:
-    """One stored result of a content hash, that of the first company; the filter reaches the file scan."""
+def result_by_hash(stored: DataFrame, file_hash: str | Column) -> DataFrame:
+    """The stored result of a content hash, that of the first company; the filter reaches the file scan.
+
+    ``file_hash`` may be a scalar subquery, which runs inside the same query.
+    """
     return stored.filter(F.col("file_hash") == file_hash).orderBy("company_domain", "original_filename", "raw_json").limit(1)
 
 
-def copy_to_vault(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+def copies_for(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Results of another company with the same hash, re-addressed to the incoming company.
 
     ``incoming``: company_domain, file_hash, founder_email. Nothing is copied that the company has.
@@ -98,6 +143,19 @@ def copy_to_vault(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def copy_to_vault(incoming: DataFrame, path: str, processed_at: Column | None = None) -> None:
+    """Copies of results that a company lacks, written into its partition of the vault at ``path``.
+
+    The copies are complete in a table beside the vault before the first is appended, so the vault is not read while it grows.
+    """
+    stored = incoming.sparkSession.read.parquet(path)
+    found = copies_for(incoming, stored)
+    if "processed_at" in stored.columns:
+        at = F.current_timestamp() if processed_at is None else processed_at
+        found = found.withColumn("processed_at", at.cast(stored.schema["processed_at"].dataType))
+    write_result_vault(written(found, "copies"), path)
+
+
 # The four sections a usable document needs two of.
 KEY_SECTIONS = ["revenue_growth", "profit_margins", "cash_flow_indicators", "debt_ratios"]
 
