@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ledgerloom.dims import KPI_KEYS
 from ledgerloom.functions.periods import period_year
 from ledgerloom.operators import audit, contract, documents, resolve, store
+from ledgerloom.operators.skew import written
+from ledgerloom.session import work_path
+from ledgerloom.sources import vault
 
 
 @dataclass
@@ -69,7 +73,7 @@ class Inserted:
     rows: DataFrame         # their KPI rows, with id and created_at
     rejected: DataFrame     # submissions with blocking errors (quarantine)
     duplicates: DataFrame   # submissions whose hash is already stored
-    retired: DataFrame      # stored submissions with updated latest flags
+    retired: DataFrame      # stored submissions with updated latest flags (was_latest: the flag before)
 
 
 def row_id() -> Column:
@@ -79,7 +83,10 @@ def row_id() -> Column:
 
 def insert_contracts(contracts: Contracts, stored: DataFrame, names: list[tuple[str, str]] | None = None,
                      portfolio: list[tuple[str, str]] | None = None, mode: str = "reference") -> Inserted:
-    """Audit, drop rejected and duplicate documents, retire older versions, fill in the fund."""
+    """Audit, drop rejected and duplicate documents, retire older versions, fill in the fund.
+
+    Judged headers and new submissions are written tables, so no part of the result works out the audit again.
+    """
     headers = audit.with_audit_bucket(contracts.headers, names)
     attributes = headers.select("submission_id", F.col("submission_id").alias("contract_id"), "company_id", "bucket_id")
     rows = contracts.rows.join(attributes, "submission_id").withColumns(
@@ -89,13 +96,102 @@ def insert_contracts(contracts: Contracts, stored: DataFrame, names: list[tuple[
         }
     )
     verdicts = audit.contract_verdicts(rows, headers, mode)
-    judged = headers.join(verdicts.drop("bucket_id"), "submission_id")
+    judged = written(headers.join(verdicts.drop("bucket_id"), "submission_id"), "judged")
     accepted = judged.filter(F.col("blocking_errors") == 0)
     rejected = judged.filter(F.col("blocking_errors") > 0).select("submission_id", "errors", "warnings", "blocking_errors")
     fresh, duplicates = store.dedup_against_store(accepted, stored)
     fresh = store.latest_version(store.dedup_by_hash(fresh))  # copies within the batch count once
-    fresh = store.fill_portfolio(fresh, portfolio).drop("errors", "warnings", "blocking_errors", "passed")
+    fresh = written(store.fill_portfolio(fresh, portfolio).drop("errors", "warnings", "blocking_errors", "passed"), "fresh")
     # submitted_at stands for the current time, so a repeated batch gives equal rows
     placed = fresh.select("submission_id", F.col("submitted_at").cast("timestamp").alias("created_at"))
     kept = contracts.rows.join(placed, "submission_id").withColumn("id", row_id())
-    return Inserted(fresh, kept, rejected, duplicates, store.retire_versions(stored, fresh))
+    retired = store.retire_versions(stored.withColumn("was_latest", F.col("is_latest_version")), fresh)
+    return Inserted(fresh, kept, rejected, duplicates, retired)
+
+
+@dataclass
+class Loaded:
+    """Where a batch was written, and how many rows of each kind went there, counted while they were written."""
+
+    root: str
+    counts: dict[str, int]
+
+
+def _write_counted(frames: dict[str, tuple[DataFrame, Callable[[DataFrame], None]]]) -> dict[str, int]:
+    """Each frame written by its writer; its rows are observed on the way, so no frame is worked out again to be counted."""
+    counts = {}
+    for name, (rows, write) in frames.items():
+        seen = Observation(name)
+        write(rows.observe(seen, F.count(F.lit(1)).alias("rows")))
+        counts[name] = seen.get["rows"]
+    return counts
+
+
+def _to(path: str) -> Callable[[DataFrame], None]:
+    return lambda rows: rows.write.mode("append").parquet(path)
+
+
+def write_batch(inserted: Inserted, root: str) -> Loaded:
+    """A batch into the tables below ``root``: submissions, facts, rejected, duplicates, and the stored submissions whose
+    flag changes (retired)."""
+    return Loaded(root, _write_counted({
+        "submissions": (inserted.headers, lambda rows: store.append_rows(rows, f"{root}/submissions", store.SUBMISSIONS_LAYOUT)),
+        "facts": (inserted.rows, lambda rows: store.append_rows(rows, f"{root}/facts", store.FACT_LAYOUT)),
+        "rejected": (inserted.rejected, _to(f"{root}/rejected")),
+        "duplicates": (inserted.duplicates, _to(f"{root}/duplicates")),
+        "retired": (inserted.retired.filter("was_latest AND NOT is_latest_version").drop("was_latest"), _to(f"{root}/retired")),
+    }))
+
+
+def ingest_chunks(
+    chunks: DataFrame,
+    uploads: DataFrame,
+    stored: DataFrame,
+    root: str,
+    names: list[tuple[str, str]] | None = None,
+    portfolio: list[tuple[str, str]] | None = None,
+    buckets: list[tuple[str, str]] | None = None,
+    mode: str = "reference",
+) -> Loaded:
+    """From extracted chunks to stored tables: decode, merge, detect the company, gate, contract, checklist, audit, insert, vault.
+
+    ``chunks``: submission_id, chunk_id, raw_json; ``uploads``: the header of each submission (``HEADER_INPUT`` without
+    portfolio_id). ``names`` are the companies looked for in texts, ``portfolio`` those that give an undetected company its
+    fund, ``buckets`` those that give it its sector. Below ``root`` appear submissions, facts, retired, duplicates,
+    checklist, vault and quarantine (stage, reason): what a stage takes out is there, and nowhere behind it. Every stage
+    that is read more than once is a written table.
+    """
+    text = documents.decoded_only(chunks.select("submission_id", "chunk_id", "raw_json"), fenced=True)
+    broken = documents.quarantine(chunks.select("submission_id", "chunk_id", "raw_json"), fenced=True).select(
+        "submission_id", F.lit("decode").alias("stage"), F.concat(F.lit("chunk "), F.col("chunk_id").cast("string"), F.lit(": "), "reason").alias("reason")
+    )
+    merged = written(documents.merge_chunk_documents(text.select("submission_id", "chunk_id", "doc"), "submission_id", "chunk_id", mode=mode), "merged")
+    found = uploads.join(merged, "submission_id").withColumn(
+        "__found", resolve.detect_company(F.concat_ws(" ", "raw_json", "original_filename"), names)
+    )
+    known = F.col("__found.company_key") != "unknown"
+    placed = found.withColumns({
+        "portfolio_id": F.when(known, F.col("__found.portfolio_id")).otherwise(resolve.lookup_portfolio(F.col("company_id"), portfolio)),
+        "company_id": F.when(known, F.col("__found.company_key")).otherwise(F.col("company_id")),
+    }).drop("__found")
+    judged = written(
+        documents.decoded_only(placed).withColumn("financial", documents.is_financial(F.col("doc"))), "judged"
+    )
+    docs = judged.filter("financial")
+    gated = judged.filter(~F.col("financial")).select("submission_id", F.lit("gate").alias("stage"), F.lit("not_financial").alias("reason"))
+    contracts = build_contracts(docs, mode=mode, path=work_path(chunks.sparkSession, "contracts"))
+    inserted = insert_contracts(contracts, stored, buckets, portfolio, mode)
+    heads = audit.with_audit_bucket(contracts.headers.select("submission_id", "company_id"), buckets)
+    listed = contract.sector_checklist(contracts.rows, heads).select("submission_id", "bucket_id", "missing_kpis", "is_complete", "display_message")
+    rejected = inserted.rejected.select("submission_id", F.lit("audit").alias("stage"), F.concat(F.col("blocking_errors").cast("string"), F.lit(" blocking errors")).alias("reason"))
+    results = docs.select(
+        "file_hash", F.col("company_id").alias("company_domain"), "submission_id", "raw_json", "original_filename", "founder_email", "portfolio_id",
+        F.col("submitted_at").cast("string").alias("processed_at"),
+    )
+    done = write_batch(Inserted(inserted.headers, inserted.rows, inserted.rejected, inserted.duplicates, inserted.retired), root)
+    more = _write_counted({
+        "quarantine": (broken.unionByName(gated).unionByName(rejected), lambda rows: rows.write.mode("append").partitionBy("stage").parquet(f"{root}/quarantine")),
+        "checklist": (listed, _to(f"{root}/checklist")),
+        "vault": (results, lambda rows: vault.write_result_vault(rows, f"{root}/vault")),
+    })
+    return Loaded(root, done.counts | more)

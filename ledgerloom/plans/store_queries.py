@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window, functions as F
 
 from ledgerloom import dims
@@ -316,6 +318,123 @@ def _(t: Tables):
     return _inserted(t).duplicates.select("submission_id", "stored_submission_id")
 
 
+def _blocked(t: Tables):
+    """As ``_inserted``, with a period that the sender got wrong in every twentieth document, which the audit does not let pass."""
+    built = ingest.build_contracts(t.docs, path=work_path(t.spark, "staged"))
+    wrong = C("submission_id").substr(2, 20).cast("bigint") % 20 == 3
+    built.headers = built.headers.withColumn("period_id", F.when(wrong, "2025-Q9").otherwise(C("period_id")))
+    return ingest.insert_contracts(built, store.latest_version(t.subs.filter(C("seq") % 7 == 0)), NAMES)
+
+
+JUDGED = """
+b AS (SELECT d.submission_id, d.seq, CASE WHEN contains(replace(replace(replace(lower(d.company_id), '.', ''), '-', ''), '_', ''), 'cust11') THEN 'SAAS'
+    WHEN contains(replace(replace(replace(lower(d.company_id), '.', ''), '-', ''), '_', ''), 'cust2') THEN 'LEND' ELSE 'UNKNOWN' END AS bucket FROM docset d),
+rejected AS (SELECT b.submission_id, 1 + count(*) FILTER (k.metric_bucket <> 'ALL' AND b.bucket <> 'UNKNOWN' AND k.metric_bucket <> b.bucket AND r.confidence > 0.95) AS errors,
+    count(*) FILTER (translate(coalesce(r.unit, ''), 'MKB', '') <> '' AND NOT contains(translate(r.unit, 'MKB', ''), k.unit_expected) AND NOT contains(k.unit_expected, translate(r.unit, 'MKB', ''))) AS warnings, CAST(1 AS BIGINT) AS blocking_errors
+  FROM b JOIN docrows r ON r.submission_id = b.submission_id JOIN dim_kpi k ON k.kpi_key = r.kpi_key WHERE b.seq % 20 = 3 GROUP BY 1),
+passed AS (SELECT d.*, 'FY' || coalesce(y.year, CAST(year(d.submitted_at) AS VARCHAR)) AS per FROM docset d LEFT JOIN docyear y ON d.submission_id = y.submission_id WHERE d.seq % 20 <> 3),
+known AS (SELECT p.submission_id, min(s.submission_id) AS stored_submission_id FROM passed p JOIN subs s ON s.file_hash = p.file_hash AND s.seq % 7 = 0 GROUP BY 1),
+fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY submitted_at, submission_id) AS rn FROM passed WHERE submission_id NOT IN (SELECT submission_id FROM known)) WHERE rn = 1),
+old AS (SELECT *, row_number() OVER (PARTITION BY company_id, period_id ORDER BY submitted_at DESC, submission_id DESC) = 1 AS was FROM subs WHERE seq % 7 = 0),
+retired AS (SELECT submission_id FROM old WHERE was AND (company_id, period_id) IN (SELECT (company_id, per) FROM fresh))"""
+
+
+@query("insert_contract_rejected", f"WITH {JUDGED} SELECT * FROM rejected")
+def _(t: Tables):
+    return _blocked(t).rejected.select("submission_id", "errors", "warnings", "blocking_errors")
+
+
+@query("insert_contract_retired", f"WITH {JUDGED} SELECT o.submission_id, o.was AND r.submission_id IS NULL AS is_latest_version FROM old o LEFT JOIN retired r ON r.submission_id = o.submission_id")
+def _(t: Tables):
+    return _blocked(t).retired.select("submission_id", "is_latest_version")
+
+
+@query("insert_contract_counts", f"""
+WITH {JUDGED} SELECT 'submissions' AS name, count(*) AS observed, count(*) AS stored FROM fresh UNION ALL SELECT 'facts', count(*), count(*) FROM fresh f JOIN docrows r ON r.submission_id = f.submission_id
+UNION ALL SELECT 'rejected', count(*), count(*) FROM rejected UNION ALL SELECT 'duplicates', count(*), count(*) FROM known UNION ALL SELECT 'retired', count(*), count(*) FROM retired""")
+def _(t: Tables):
+    """Rows counted while a batch was written, beside those of the tables read back."""
+    return _counted(t, ingest.write_batch(_blocked(t), work_path(t.spark, "batch")))
+
+
+def _counted(t: Tables, loaded):
+    """(name, observed, stored) of a loaded batch."""
+    observed = t.spark.createDataFrame([(k, n) for k, n in loaded.counts.items()], "name string, observed bigint")
+    stored = [t.spark.read.parquet(f"{loaded.root}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("stored")) for name in loaded.counts]
+    return observed.join(functools.reduce(lambda a, b: a.union(b), stored), "name")
+
+
+LATER_CHUNK = ", ".join(f"'{k}'" for k in dims.KPI_KEYS[8:])
+DETECTED = [("urgent", "FU"), ("high", "FH")]
+FUNDS = [("cust1", "F1"), ("cust22", "F2"), ("cust3", "F3")]
+
+
+def _ingested(t: Tables):
+    """Two chunks a document (KPIs dealt by their key), some malformed or without metrics, ingested into a store that holds every seventh submission."""
+    context = F.concat(F.lit('{"_document_context":'), F.to_json(F.struct("currency", F.col("period_id").alias("period"))))
+    chunks = None
+    for chunk, keys in enumerate((dims.KPI_KEYS[:8], dims.KPI_KEYS[8:])):
+        built = documents.build_documents(t.kpi.filter(C("kpi_key").isin(keys)), "submission_id")
+        whole = F.concat(context, F.lit(',"financial_metrics_2025":'), F.coalesce("metrics_json", F.lit("{}")), F.lit("}"))
+        text = (
+            F.when(C("form") == "broken", F.substring(whole, F.lit(1), F.length(whole) - 2)).when(C("form") == "array", "[1, 2]")
+            .when(C("form") == "fenced", F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(C("form").isin("no_metrics", "empty"), F.concat(context, F.lit("}"))).otherwise(whole)
+        )
+        some = t.subs.join(t.kpi.select("submission_id").distinct(), "submission_id", "left_semi").join(built, "submission_id", "left")
+        part = some.select("submission_id", F.lit(chunk).alias("chunk_id"), text.alias("raw_json"))
+        chunks = part if chunks is None else chunks.unionByName(part)
+    uploads = t.subs.select("submission_id", "file_hash", "company_id", "founder_email", "original_filename", "submitted_at")
+    stored = store.latest_version(t.subs.filter(C("seq") % 7 == 0))
+    return ingest.ingest_chunks(chunks, uploads, stored, work_path(t.spark, "ingested"), DETECTED, FUNDS, NAMES)
+
+
+INGESTED = f"""
+mrows AS (SELECT r.submission_id, r.kpi_key, r.ordinal, r.confidence, CASE WHEN r.is_scalar AND r.kpi_key IN ({LATER_CHUNK}) THEN NULL ELSE r.raw_value END AS raw_value,
+    CASE WHEN r.is_scalar AND r.kpi_key IN ({LATER_CHUNK}) THEN NULL ELSE r.numeric_value END AS numeric_value, r.is_scalar FROM docrows r),
+gate AS (SELECT submission_id, coalesce(bool_or(NOT is_scalar AND kpi_key IN ({", ".join(f"'{k}'" for k in dims.CORE_FINANCIAL_KPIS)}) AND lower(trim(raw_value)) NOT IN ('', 'null', 'n/a', '--', '0', 'none')), false) AS financial FROM mrows GROUP BY 1),
+placed AS (SELECT d.submission_id, d.file_hash, d.submitted_at, d.seq, CASE WHEN contains(lower(d.original_filename), 'urgent') THEN 'urgent' WHEN contains(lower(d.original_filename), 'high') THEN 'high' ELSE d.company_id END AS company_id,
+    CASE WHEN contains(lower(d.original_filename), 'urgent') THEN 'FU' WHEN contains(lower(d.original_filename), 'high') THEN 'FH'
+      WHEN contains(translate(lower(d.company_id), '.-_', ''), 'cust1') THEN 'F1' WHEN contains(translate(lower(d.company_id), '.-_', ''), 'cust22') THEN 'F2' WHEN contains(translate(lower(d.company_id), '.-_', ''), 'cust3') THEN 'F3' ELSE 'unknown' END AS portfolio_id
+  FROM docset d JOIN gate g ON g.submission_id = d.submission_id AND g.financial),
+known AS (SELECT p.submission_id FROM placed p JOIN subs s ON s.file_hash = p.file_hash AND s.seq % 7 = 0 GROUP BY 1),
+fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY submitted_at, submission_id) AS rn FROM placed WHERE submission_id NOT IN (SELECT submission_id FROM known)) WHERE rn = 1)"""
+
+
+@query("ingest_chunks", f"WITH {INGESTED} SELECT f.submission_id, f.company_id, f.portfolio_id, m.kpi_key, m.raw_value, m.numeric_value FROM fresh f JOIN mrows m ON m.submission_id = f.submission_id")
+def _(t: Tables):
+    """Chunks to stored submissions and facts, read back."""
+    root = _ingested(t).root
+    heads = store.read_or_empty(t.spark, f"{root}/submissions", store.SUBMISSIONS_LAYOUT).select("submission_id", "company_id", "portfolio_id")
+    facts = store.read_or_empty(t.spark, f"{root}/facts", store.FACT_LAYOUT).select("submission_id", "kpi_key", "raw_value", "numeric_value")
+    return heads.join(facts, "submission_id")
+
+
+@query("ingest_chunks_quarantine", f"""
+WITH {INGESTED} SELECT s.submission_id, 'decode' AS stage, 'chunk ' || c.n || ': ' || CASE WHEN s.form = 'broken' THEN 'json_error' ELSE 'not_object' END AS reason
+FROM subs s, (SELECT unnest([0, 1]) AS n) c WHERE s.form IN ('broken', 'array') AND s.submission_id IN (SELECT submission_id FROM kpi)
+UNION ALL SELECT submission_id, 'gate', 'not_financial' FROM gate WHERE NOT financial""")
+def _(t: Tables):
+    return t.spark.read.parquet(f"{_ingested(t).root}/quarantine").select("submission_id", C("stage").cast("string").alias("stage"), "reason")
+
+
+@query("ingest_chunks_vault", f"""
+WITH {INGESTED} SELECT p.company_id AS company_domain, p.file_hash, p.portfolio_id, m.raw_value AS revenue FROM placed p JOIN mrows m ON m.submission_id = p.submission_id AND m.kpi_key = 'revenue'""")
+def _(t: Tables):
+    """The vault that ingestion fills, read as documents."""
+    stored = documents.decoded_only(t.spark.read.parquet(f"{_ingested(t).root}/vault"))
+    rows = documents.explode_kpis(stored, "doc", ["company_domain", "file_hash", "portfolio_id"]).filter("kpi_key = 'revenue'")
+    return rows.select("company_domain", "file_hash", "portfolio_id", C("raw_value").alias("revenue"))
+
+
+@query("ingest_chunks_counts", f"""
+WITH {INGESTED}, q AS (SELECT 2 * count(*) AS n FROM subs WHERE form IN ('broken', 'array') AND submission_id IN (SELECT submission_id FROM kpi))
+SELECT 'submissions' AS name, count(*) AS observed, count(*) AS stored FROM fresh UNION ALL SELECT 'facts', 16 * count(*), 16 * count(*) FROM fresh UNION ALL SELECT 'duplicates', count(*), count(*) FROM known
+UNION ALL SELECT 'quarantine', (SELECT n FROM q) + count(*), (SELECT n FROM q) + count(*) FROM gate WHERE NOT financial
+UNION ALL SELECT 'checklist', count(*), count(*) FROM placed UNION ALL SELECT 'vault', count(*), count(*) FROM placed UNION ALL SELECT 'rejected', 0, 0""")
+def _(t: Tables):
+    return _counted(t, _ingested(t)).filter("name <> 'retired'")
+
+
 @query("manual_entry_documents", """
 WITH w AS (SELECT c_custkey, 'cust' || c_custkey AS company_id, 'FY' || (2021 + c_custkey % 5) AS period_id,
     substr(sha256('cust' || c_custkey || ':FY' || (2021 + c_custkey % 5) || ':' || c_custkey), 1, 16) AS file_hash FROM customer),
@@ -466,9 +585,9 @@ def _(t: Tables):
     return _items(vault.scan_json_files(t.spark, _json_vault(t)))
 
 
-@query("scan_json_company", JSON_ITEMS + " AND n_name = 'FRANCE'")
+@query("scan_json_company", JSON_ITEMS + " AND n_name = 'NATION_19'")
 def _(t: Tables):
-    return _items(vault.scan_json_files(t.spark, _json_vault(t), "FRANCE"))
+    return _items(vault.scan_json_files(t.spark, _json_vault(t), "NATION_19"))
 
 
 @query("scan_json_quarantine", f"""
