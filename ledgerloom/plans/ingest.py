@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ledgerloom.dims import KPI_KEYS
@@ -123,7 +124,10 @@ def _write_counted(frames: dict[str, tuple[DataFrame, Callable[[DataFrame], None
     for name, (rows, write) in frames.items():
         seen = Observation(name)
         write(rows.observe(seen, F.count(F.lit(1)).alias("rows")))
-        counts[name] = seen.get["rows"]
+        try:
+            counts[name] = seen.get["rows"]
+        except Py4JJavaError:  # a plan that Spark finds to be empty before it runs has no node left to observe
+            counts[name] = 0
     return counts
 
 

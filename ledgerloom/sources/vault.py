@@ -36,6 +36,7 @@ def json_texts(spark: SparkSession, root: str, company: str | None = None, strea
     """Texts of the files ``{root}/{company}/{id}.json``: id, company_domain, gcs_path, value; as a batch or a stream.
 
     Files are listed and read in parallel. With a company only its directory is listed; one without has no results.
+    Spark's file sources skip files of no bytes, so such a file is neither a result nor in quarantine.
     """
     path = root if company is None else f"{root.rstrip('/')}/{company}"
     if not stream and not exists(spark, path):
