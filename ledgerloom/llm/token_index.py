@@ -16,12 +16,14 @@ Defined cases: a null text is empty and has the end id only; rows that share a d
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +34,6 @@ from ledgerloom.session import work_path
 END_ID = 0
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 50_000
-KNOWN_WORDS = 400_000
 MAGIC = 0x0058444E49444954
 NULL_ID = -(1 << 63)
 
@@ -40,12 +41,12 @@ _MARKS = ".,;:!?#$%&*"
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library that remembers words.
+    """A tokenizer of the tokenizers library that encodes each distinct word of a slice of texts once.
 
     With a byte-level pre-tokenizer a lone space between other characters always begins a new pre-token, so the ids of a
     text are those of its space-separated words, each with the space before it; likewise marks after a letter begin a new
     pre-token, so words that differ in the marks behind them are encoded once. Texts in which a space has white space or
-    nothing beside it are encoded whole.
+    nothing beside it are encoded whole. Words are told apart, cut and put together again in Arrow.
     """
 
     def __init__(self, path: str):
@@ -57,57 +58,83 @@ class Encoder:
         self.by_word = self.library.normalizer is None and str(self.library.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
         self.opens[[i for token, i in self.library.get_vocab().items() if token.startswith("Ġ")]] = True
-        self.marks: dict[str, bytes] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, bytes | None] = {"": None}  # None: the text is to be encoded whole
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spaced(self, words: list[str]) -> None:
-        """Learn words that neither begin nor end with white space."""
+    def spaced(self, words: list[str]) -> pa.Array:
+        """Ids of words that neither begin nor end with white space, with a space before each."""
+        parts = []
         for low in range(0, len(words), 1000):
             some = words[low : low + 1000]
             found = self.whole([" " + " ".join(some)])[0]
-            width = self.dtype.itemsize
-            starts = (width * np.flatnonzero(self.opens[np.frombuffer(found, self.dtype)])).tolist()
+            starts = np.flatnonzero(self.opens[np.frombuffer(found, self.dtype)])
             if len(starts) == len(some):
-                self.known.update(zip(some, [found[a:b] for a, b in zip(starts, [*starts[1:], len(found)], strict=True)], strict=True))
-            else:
-                self.known.update(zip(some, self.whole([f" {w}" for w in some]), strict=True))
-
-    def learn(self, words: Iterable[str]) -> None:
-        plain, marked = [], []
-        for word in words:
-            if word[0].isspace() or word[-1].isspace():
-                self.known[word] = None
-            elif (stem := word.rstrip(_MARKS)) != word and stem[-1:].isalpha():
-                marked.append((word, stem))
+                cuts = np.append(starts * self.dtype.itemsize, len(found)).astype(np.int32)
+                parts.append(pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(cuts), pa.py_buffer(found)]))
             else:
-                plain.append(word)
-        stems = {stem for _, stem in marked if stem not in self.known}
-        self.spaced([*plain, *(stems - set(plain))])
-        for word, stem in marked:
-            marks = word[len(stem) :]
-            if marks not in self.marks:
-                self.marks[marks] = self.whole([marks])[0]
-            self.known[word] = self.known[stem] + self.marks[marks]
+                parts.append(pa.array(self.whole([f" {w}" for w in some]), pa.binary()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def words(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of distinct words, and which of them only a whole text can be encoded with (their ids are empty)."""
+
+        def of_char(start: int, stop: int | None, test, of: pa.Array) -> np.ndarray:
+            coded = pc.utf8_slice_codeunits(of, start, stop).dictionary_encode()
+            known = np.array([test(c) for c in coded.dictionary.to_pylist()], bool)
+            return known[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, bool)
+
+        blank = lambda c: not c or c.isspace()
+        odd = of_char(0, 1, blank, words) | of_char(-1, None, blank, words)
+        plain = words.filter(pa.array(~odd))
+        stems = pc.utf8_rtrim(plain, characters=_MARKS)
+        marked = of_char(-1, None, str.isalpha, stems) & pc.not_equal(stems, plain).to_numpy(zero_copy_only=False)
+        mask = pa.array(marked)
+        marks = pc.replace_substring_regex(plain.filter(mask), f"(?s)^.*?([{re.escape(_MARKS)}]*)$", r"\1").dictionary_encode()
+        stems = pc.if_else(mask, stems, plain).dictionary_encode()
+        tail_of = pa.array([b"", *self.whole(marks.dictionary.to_pylist())], pa.binary())
+        tail = np.zeros(len(plain), np.int64)
+        tail[marked] = 1 + marks.indices.to_numpy(zero_copy_only=False)
+        ids = pc.binary_join_element_wise(self.spaced(stems.dictionary.to_pylist()).take(stems.indices), tail_of.take(pa.array(tail)), b"")
+        place = np.full(len(words), len(plain), np.int64)
+        place[~odd] = np.arange(len(plain))
+        return pa.concat_arrays([ids, pa.array([b""], pa.binary())]).take(pa.array(place)), odd
+
+    def encode_slice(self, texts: pa.Array, end: bytes = b"") -> tuple[bytes, np.ndarray]:
+        """Little-endian ids of all texts, each with ``end`` behind it, and the number of ids of each."""
+        n = len(texts)
+        if not n:
+            return b"", np.zeros(0, np.int64)
+        lists = pc.split_pattern(texts, " ") if self.by_word else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), texts)
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        leads = np.zeros(len(flat), bool)
+        leads[np.cumsum(lengths) - lengths] = True
+        first = flat.filter(pa.array(leads))
+        coded = flat.filter(pa.array(~leads)).dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, odd = self.words(coded.dictionary) if len(code) else (pa.array([], pa.binary()), np.zeros(0, bool))
+        doc = np.repeat(np.arange(n), lengths - 1)
+        in_one = np.zeros(n, bool)  # these are encoded whole
+        in_one[doc[odd[code]]] = True
+        in_one |= np.array([not w or w[-1].isspace() for w in first.to_pylist()], bool) & (lengths > 1)
+        own = pa.array(self.whole(pc.if_else(pa.array(in_one), texts, first).to_pylist()), pa.binary())
+        pieces = np.where(in_one, 1, lengths) + 1
+        starts = np.cumsum(pieces) - pieces
+        order = np.full(int(pieces.sum()), -1, np.int64)
+        order[starts] = len(ids) + np.arange(n)
+        order[starts + pieces - 1] = len(ids) + n
+        order[order < 0] = code[~in_one[doc]]
+        laid = pa.concat_arrays([ids, own, pa.array([end], pa.binary())]).take(pa.array(order))
+        at = np.frombuffer(laid.buffers()[1], np.int32)[laid.offset : laid.offset + len(laid) + 1]
+        payload = laid.buffers()[2].to_pybytes()[at[0] : at[-1]] if laid.buffers()[2] else b""
+        return payload, (at[starts + pieces] - at[starts]).astype(np.int64) // self.dtype.itemsize
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, without the end id."""
-        if len(self.known) > KNOWN_WORDS:
-            self.forget()
-        known, split = self.known, [x.split(" ") for x in texts]
-        if self.by_word:
-            self.learn(set().union(*(words[1:] for words in split)) - known.keys())
-        out: list[bytes | None] = []
-        for words in split:
-            parts = [known[w] for w in words[1:]] if self.by_word and words[0] and not words[0][-1].isspace() else [None]
-            out.append(None if None in parts else b"".join(parts))
-        first = iter(self.whole([x if rest is None else words[0] for x, words, rest in zip(texts, split, out, strict=True)]))
-        return [next(first) if rest is None else next(first) + rest for rest in out]
+        """Little-endian ids of each text."""
+        payload, counts = self.encode_slice(pa.array(texts, pa.string()))
+        ends = (np.cumsum(counts) * self.dtype.itemsize).tolist()
+        return [payload[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -122,11 +149,10 @@ def _shard_file(path: str):
         one = encoder(path)
         end = np.array([END_ID], one.dtype).tobytes()
         ids, lengths, payload = [], [], 0
-        for batch in slices(batches):
-            found = [x + end for x in one.encode(batch.column("text").to_pylist())]
+        for batch in slices(batches, SHARD_BYTES):
+            joined, counts = one.encode_slice(batch.column("text"), end)
             ids.append(batch.column("doc_id"))
-            lengths.append(np.array([len(x) // one.dtype.itemsize for x in found], np.int64))
-            joined = b"".join(found)
+            lengths.append(counts)
             payload += len(joined)
             if joined:
                 yield pa.RecordBatch.from_arrays([pa.array([joined[:-1]], pa.binary())], names=["value"])

@@ -248,10 +248,14 @@ def tokenizer():
     return path("byte_bpe_50k.json")
 
 
-def test_remembered_words_encode_as_the_library_does(tokenizer):
+def test_words_put_together_encode_as_the_library_does(tokenizer):
     encoder = token_index.Encoder(tokenizer)
     texts = ["", " ", "a b", " lead", "trail ", "two  blanks", "tab\tand\nline", "it's don't I'LL", "x<|endoftext|>y <|endoftext|> z", "é À 日本 語 x", "1 23 .. !! a b", "a᠎b c"]
     assert encoder.by_word and encoder.encode(texts) == encoder.whole(texts) == encoder.encode(texts)
+    rng = np.random.default_rng(6)
+    parts = ["a", " ", "  ", "b.", "c!?", "\t", "\n", "é", "日本", "'s", "don't", "I'LL", "<|endoftext|>", "1", "23", "…", "\xa0", "\u2003", "x-y", "&*", "#tag", "É.", ".", "\x1c", "ß,"]
+    mixes = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(5000)]
+    assert encoder.encode(mixes) == encoder.whole(mixes) and encoder.encode([]) == []
 
 
 def test_token_files_round_trip(spark, odd_docs, no_docs, tokenizer):
