@@ -34,6 +34,8 @@ from ledgerloom.session import work_path
 END_ID = 0
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 50_000
+KNOWN_WORDS = 1_500_000
+SLICE_BYTES = 8 << 20
 MAGIC = 0x0058444E49444954
 NULL_ID = -(1 << 63)
 
@@ -41,7 +43,7 @@ _MARKS = ".,;:!?#$%&*"
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library that encodes each distinct word of a slice of texts once.
+    """A tokenizer of the tokenizers library that encodes each distinct word of a slice of texts once, and remembers words.
 
     With a byte-level pre-tokenizer a lone space between other characters always begins a new pre-token, so the ids of a
     text are those of its space-separated words, each with the space before it; likewise marks after a letter begin a new
@@ -58,6 +60,7 @@ class Encoder:
         self.by_word = self.library.normalizer is None and str(self.library.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
         self.opens[[i for token, i in self.library.get_vocab().items() if token.startswith("Ġ")]] = True
+        self.known = (pa.array([], pa.string()), pa.array([], pa.binary()))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,6 +79,19 @@ class Encoder:
                 parts.append(pa.array(self.whole([f" {w}" for w in some]), pa.binary()))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
+    def remembered(self, words: pa.Array) -> pa.Array:
+        """As ``spaced``; words that this process has met before, up to KNOWN_WORDS of them, are not encoded again."""
+        at = pc.index_in(words, value_set=self.known[0])
+        place, unseen = at.fill_null(0).to_numpy().astype(np.int64), at.is_null().to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(unseen))
+        place[unseen] = len(self.known[0]) + np.arange(len(new))
+        found = self.spaced(new.to_pylist())
+        both = (pa.concat_arrays([self.known[0], new]), pa.concat_arrays([self.known[1], found]))
+        out = both[1].take(pa.array(place))
+        if len(new):
+            self.known = both if len(both[0]) <= KNOWN_WORDS else (new[:KNOWN_WORDS], found[:KNOWN_WORDS])
+        return out
+
     def words(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Ids of distinct words, and which of them only a whole text can be encoded with (their ids are empty)."""
 
@@ -95,7 +111,7 @@ class Encoder:
         tail_of = pa.array([b"", *self.whole(marks.dictionary.to_pylist())], pa.binary())
         tail = np.zeros(len(plain), np.int64)
         tail[marked] = 1 + marks.indices.to_numpy(zero_copy_only=False)
-        ids = pc.binary_join_element_wise(self.spaced(stems.dictionary.to_pylist()).take(stems.indices), tail_of.take(pa.array(tail)), b"")
+        ids = pc.binary_join_element_wise(self.remembered(stems.dictionary).take(stems.indices), tail_of.take(pa.array(tail)), b"")
         place = np.full(len(words), len(plain), np.int64)
         place[~odd] = np.arange(len(plain))
         return pa.concat_arrays([ids, pa.array([b""], pa.binary())]).take(pa.array(place)), odd
@@ -149,7 +165,7 @@ def _shard_file(path: str):
         one = encoder(path)
         end = np.array([END_ID], one.dtype).tobytes()
         ids, lengths, payload = [], [], 0
-        for batch in slices(batches, SHARD_BYTES):
+        for batch in slices(batches, SLICE_BYTES):
             joined, counts = one.encode_slice(batch.column("text"), end)
             ids.append(batch.column("doc_id"))
             lengths.append(counts)
