@@ -8,7 +8,7 @@ from ledgerloom import dims
 from ledgerloom.functions import text, values
 from ledgerloom.functions.periods import month_key
 from ledgerloom.operators.contract import exact_avg, exact_parts, exact_total
-from ledgerloom.operators.skew import attach_by_key, count_by
+from ledgerloom.operators.skew import attach_by_key, count_by, written
 
 
 def portfolio_analytics(facts: DataFrame, submissions: DataFrame, portfolio_id: str | None = None,
@@ -98,10 +98,10 @@ def portfolio_companies(dim: DataFrame, portfolio_id: str | None = None) -> Data
 
 def duplicate_filenames(results: DataFrame, name: str = "original_filename", row_limit: int | None = None) -> DataFrame:
     """Adds the cleaned file name, how often it occurs and whether it is repeated."""
-    cleaned = results.withColumn("clean_name", text.strip_hash_prefix(F.col(name)))
+    cleaned = written(results.withColumn("clean_name", text.strip_hash_prefix(F.col(name))), "results")
     extra = {} if row_limit is None else {"hot_rows": row_limit}
     counted = attach_by_key(cleaned, count_by(cleaned, ["clean_name"], "name_count"), ["clean_name"],
-                            weight="name_count", **extra)
+                            weight="name_count", staged=True, **extra)
     return counted.withColumn("is_duplicate", F.col("name_count") > 1)
 
 

@@ -220,11 +220,15 @@ def with_audit_bucket(submissions: DataFrame, names: list[tuple[str, str]] | Non
 
 
 def dup_count(rows: DataFrame, keys: list[str] | None = None, row_limit: int | None = None) -> DataFrame:
-    """Adds the number of rows with the same (submission, kpi, period); hot groups are split."""
+    """Adds the number of rows with the same (submission, kpi, period); hot groups are split.
+
+    The rows are worked out once, into a table, and counted there.
+    """
     keys = keys or ["submission_id", "kpi_key", "period_id"]
+    rows = written(rows, "rows")
     counts = count_by(rows, keys, "dup_count")
     extra = {} if row_limit is None else {"hot_rows": row_limit}
-    return attach_by_key(rows, counts, keys, weight="dup_count", **extra)
+    return attach_by_key(rows, counts, keys, weight="dup_count", staged=True, **extra)
 
 
 # Audit verdicts.
@@ -245,7 +249,7 @@ def post_load_audit(facts: DataFrame, submissions: DataFrame, portfolio_id: str
     if portfolio_id is not None:
         latest = latest.filter(F.col("portfolio_id") == portfolio_id)
     heads = latest.select("submission_id", "company_id", "portfolio_id", "is_latest_version")
-    rows = dup_count(written(facts.join(heads, "submission_id"), "latest-rows"))
+    rows = dup_count(facts.join(heads, "submission_id"))
     dup, invalid = F.col("dup_count") > 1, ~F.col("is_valid")
     flagged = rows.filter(dup | invalid | (F.col("confidence") < dims.CONF_REVIEW)).withColumn(
         "audit_status",
@@ -257,6 +261,17 @@ def post_load_audit(facts: DataFrame, submissions: DataFrame, portfolio_id: str
     return flagged.orderBy(F.col("audit_status").desc(), "company_id", "kpi_key") if ordered else flagged
 
 
+def ordered_findings(flagged: DataFrame) -> DataFrame:
+    """Per submission its flagged rows as one text, ``kpi=count`` in the order of the KPIs.
+
+    Rows are counted per KPI first, so a text has one entry for each KPI that the submission names, however many rows it has.
+    """
+    per_kpi = flagged.groupBy("submission_id", "kpi_key").agg(F.count(F.lit(1)).alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct("kpi_key", "n")))
+    entry = F.transform(listed, lambda r: F.concat(r["kpi_key"], F.lit("="), r["n"].cast("string")))
+    return per_kpi.groupBy("submission_id").agg(F.array_join(entry, ";").alias("findings"))
+
+
 def audit_counts(flagged: DataFrame) -> DataFrame:
     return flagged.agg(
         F.count(F.lit(1)).alias("total_rows"),

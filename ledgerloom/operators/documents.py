@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import dims
@@ -120,24 +122,27 @@ def explode_kpis(docs: DataFrame, doc: str = "doc", keep: list[str] | None = Non
     source_description and node_warning. One pass over constant paths: no join, no shuffle.
     """
     keep = keep if keep is not None else [c for c in docs.columns if c != doc]
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(key).alias("kpi_key"),
-                F.lit(label).alias("kpi_label"),
-                F.lit(unit).alias("unit_type"),
-                dig(F.col(doc), dims.KPI_PATHS[key]).alias("node"),
-            )
-            for i, (key, label, _, unit) in enumerate(dims.KPI_REGISTRY, 1)
-        ]
-    )
-    node = F.col("node")
-    # each in a projection of its own, so that no path or type is looked at twice
-    rows = docs.select(*keep, F.inline(entries)).withColumn("node_kind", F.schema_of_variant(node))
-    rows = rows.withColumn("is_node", F.coalesce(F.col("node_kind").startswith("OBJECT"), F.lit(False)))
-    rows = rows.withColumn("scalar", F.when(F.col("is_node"), F.try_variant_get(node, "$.value", "variant")).otherwise(node))
-    rows = rows.withColumn("kind", F.when(F.col("is_node"), F.schema_of_variant("scalar")).otherwise(F.col("node_kind")))
+    def entry(i: int, key: str, label: str, unit: str) -> Column:
+        path = dims.KPI_PATHS[key]
+        return F.struct(
+            F.lit(i).alias("ordinal"),
+            F.lit(key).alias("kpi_key"),
+            F.lit(label).alias("kpi_label"),
+            F.lit(unit).alias("unit_type"),
+            dig(F.col(doc), [*path, "value"]).alias("value"),
+            dig(F.col(doc), [*path, "description"], "string").alias("source_description"),
+            dig(F.col(doc), [*path, "confidence"], "double").alias("confidence"),
+        )
+
+    entries = F.array(*[entry(i, key, label, unit) for i, (key, label, _, unit) in enumerate(dims.KPI_REGISTRY, 1)])
+    rows = docs.select(*keep, F.col(doc).alias("__doc"), F.inline(entries))
+    # a node is looked at as a whole, and its type worked out, only where it has no value of its own
+    whole = reduce(lambda rest, k: F.when(F.col("kpi_key") == k, dig(F.col("__doc"), dims.KPI_PATHS[k])).otherwise(rest), dims.KPI_KEYS, F.lit(None).cast("variant"))
+    rows = rows.withColumn("node", F.when(F.col("value").isNull(), whole)).drop("__doc")
+    rows = rows.withColumn("node_kind", F.when(F.col("node").isNotNull(), F.schema_of_variant("node")))
+    bare = F.col("value").isNull() & F.col("node").isNotNull() & ~F.col("node_kind").startswith("OBJECT")
+    rows = rows.withColumn("bare", bare).withColumn("scalar", F.when(F.col("bare"), F.col("node")).otherwise(F.col("value")))
+    rows = rows.withColumn("kind", F.when(F.col("bare"), F.col("node_kind")).otherwise(F.schema_of_variant("scalar")))
     read = rows.select(
         *keep,
         "ordinal",
@@ -145,10 +150,10 @@ def explode_kpis(docs: DataFrame, doc: str = "doc", keep: list[str] | None = Non
         "kpi_label",
         "unit_type",
         _scalar_text(F.col("scalar"), F.col("kind")).alias("raw_value"),
-        F.when(F.col("is_node"), F.try_variant_get(node, "$.description", "string")).alias("source_description"),
-        F.when(F.col("is_node"), F.try_variant_get(node, "$.confidence", "double")).alias("confidence"),
+        "source_description",
+        "confidence",
         F.when(
-            ~F.col("is_node") & (F.col("node_kind") != "VOID"),
+            F.col("bare") & (F.col("node_kind") != "VOID"),
             F.concat(F.lit("KPI '"), F.col("kpi_key"), F.lit("' node is not a dict: "), _kind_name(F.col("node_kind"))),
         ).alias("node_warning"),
     )
@@ -226,10 +231,14 @@ def build_documents(kpis: DataFrame, doc_id: str, order: str = "row_seq") -> Dat
         )
     )
     text = F.when(F.col("is_scalar"), json_string(F.col("raw_value"))).otherwise(as_text)
-    per_doc = kpis.groupBy(doc_id).agg(
-        *[F.min_by(text, F.when(F.col("kpi_key") == k, F.col(order))).alias("n_" + k) for k in dims.KPI_KEYS]
-    )
-    return per_doc.select(doc_id, metrics_json({k: F.col("n_" + k) for k in dims.KPI_KEYS}).alias("metrics_json"))
+    # one row for each KPI of a document, and only these are turned into JSON; then at most 16 in a map
+    first = Window.partitionBy(doc_id, "kpi_key").orderBy(order)
+    known = kpis.filter(F.col("kpi_key").isin(dims.KPI_KEYS)).select(doc_id, "kpi_key", order, "raw_value", "confidence", "source_description", "is_scalar")
+    nodes = known.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") == 1).select(doc_id, "kpi_key", text.alias("json"))
+    of_doc = F.map_from_entries(F.collect_list(F.struct("kpi_key", "json"))).alias("nodes")
+    per_doc = nodes.filter("json IS NOT NULL").groupBy(doc_id).agg(of_doc)
+    every = kpis.select(doc_id).distinct().join(per_doc, doc_id, "left")
+    return every.select(doc_id, metrics_json({k: F.try_element_at("nodes", F.lit(k)) for k in dims.KPI_KEYS}).alias("metrics_json"))
 
 
 def json_string(text: Column) -> Column:

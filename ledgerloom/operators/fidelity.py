@@ -9,7 +9,7 @@ from ledgerloom.functions.classify import calc_origin, is_present
 from ledgerloom.functions.formats import fixed_even
 from ledgerloom.operators.contract import key_difference, present_kpis, required_kpis, rollup_aggregates, rollup_columns, sector_label
 from ledgerloom.operators.resolve import bucket_of, dim_identity_join
-from ledgerloom.operators.skew import attach_by_key
+from ledgerloom.operators.skew import attach_by_key, written
 
 DERIVABLE = {"gross_profit_margin": "(revenue - cogs) / revenue", "ebitda_margin": "ebitda / revenue"}
 
@@ -96,8 +96,9 @@ def recalc_margins(facts: DataFrame, order: str = "row_seq", mode: str = "refere
     More than 2 points is ERROR, more than 0.5 WARN. ``reference`` compares the stored number as
     it is; ``intended`` first turns extracted percentages ("68%") into ratios.
     """
+    facts = written(facts, "facts")
     per_submission = margin_columns(stored_values(facts, order))
-    rows = attach_by_key(facts, per_submission, ["submission_id"], weight="__rows").drop("__rows")
+    rows = attach_by_key(facts, per_submission, ["submission_id"], weight="__rows", staged=True).drop("__rows")
     key = F.col("kpi_key")
 
     def pick(prefix: str) -> Column:

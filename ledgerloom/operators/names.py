@@ -51,6 +51,7 @@ def _best(rows: DataFrame, haystacks: dict[str, Column], needles: dict[str, Colu
     if unique:
         texts = rows.select(F.col(unique).alias("id"), "__text")
     else:
+        rows = written(rows, "rows")
         counted = rows.groupBy("__text").agg(F.count(F.lit(1)).alias("__rows"))
         texts = written(counted.withColumn("id", F.monotonically_increasing_id()), "texts")
     kinds = [F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in haystacks.items()]
@@ -62,7 +63,7 @@ def _best(rows: DataFrame, haystacks: dict[str, Column], needles: dict[str, Colu
     if unique:
         return rows.join(best.withColumnRenamed("id", unique), unique, "left").drop("__text")
     per_text = texts.join(best, "id", "left").select("__text", "__rows", "__best")
-    return attach_by_key(rows, per_text, [on], weight="__rows").drop("__rows", "__text")
+    return attach_by_key(rows, per_text, [on], weight="__rows", staged=True).drop("__rows", "__text")
 
 
 def _squeeze(company: Column) -> Column:

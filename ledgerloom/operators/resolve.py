@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import dims
 from ledgerloom.functions import formats, values
-from ledgerloom.operators.skew import attach_by_key, row_hash
+from ledgerloom.operators.skew import attach_by_key, row_hash, written
 
 
 def _first_match(names: list[tuple[str, str]], test, result) -> Column:
@@ -97,6 +97,7 @@ def normalize_company(rows: DataFrame, dim: DataFrame, company: str = "company_i
     equality: an id has only as many candidate prefixes as it has separators, so distinct
     ids are exploded to their candidates and joined by key.
     """
+    rows = written(rows, "rows")
     distinct = rows.groupBy(company).agg(F.count(F.lit(1)).alias("__rows"))
     base = F.substring_index(F.lower(F.col(company)), ".", 1)
     squeezed = F.translate(base, "-_", "")
@@ -126,7 +127,7 @@ def normalize_company(rows: DataFrame, dim: DataFrame, company: str = "company_i
         )
         .select(company, "__rows", F.coalesce("__best", "__fallback").alias(out))
     )
-    return attach_by_key(rows, best, [company], weight="__rows").drop("__rows")
+    return attach_by_key(rows, best, [company], weight="__rows", staged=True).drop("__rows")
 
 
 def bucket_of(key: Column) -> Column:
@@ -279,24 +280,32 @@ def dim_identity_join(submissions: DataFrame, dim: DataFrame, key: str = "compan
     return joined.withColumn("in_dim_company", F.col("__key").isNotNull()).drop("__key")
 
 
-DEFAULT_PARTS = 16
+#: Companies without rules, and default rules, that meet in one cell of the grid at most.
+CELL_ROWS = 2_000
 
 
 def catalog_with_default(companies: DataFrame, catalog: DataFrame, default: str = "Standard_KPIs") -> DataFrame:
     """Catalogue rules of each company, or the default set when it has none.
 
-    Companies without rules and the default set, both of any size, are dealt into DEFAULT_PARTS parts each by a hash of
-    the row and meet in the cells of that grid: neither passes through one task, one value or the driver.
+    Every company without rules gets every default rule, and both sides may be of any size: they are dealt into parts
+    of some CELL_ROWS rows by a hash of the row, as many parts as their counts ask for, and meet in the cells of that
+    grid. Neither passes through one task, one value or the driver; a short default set is one part, so that
+    companies are not copied.
     """
     columns = [c for c in catalog.columns if c != "company"]
     own = catalog.filter(F.col("company") != default)
     known = own.select("company").distinct()
     named = companies.join(own, "company").withColumn("rule_set", F.col("company"))
-    others, rules = companies.join(known, "company", "left_anti"), catalog.filter(F.col("company") == default).select(*columns)
-    every = F.explode(F.array(*[F.lit(k) for k in range(DEFAULT_PARTS)]))
-    others = others.withColumn("__of", F.pmod(row_hash(others), F.lit(DEFAULT_PARTS)).cast("int")).withColumn("__to", every)
-    rules = rules.withColumn("__to", F.pmod(row_hash(rules), F.lit(DEFAULT_PARTS)).cast("int")).withColumn("__of", every)
-    unfolded = others.join(rules, ["__of", "__to"]).select(*companies.columns, F.lit(default).alias("rule_set"), *columns)
+    others = written(companies.join(known, "company", "left_anti"), "companies")
+    rules = written(catalog.filter(F.col("company") == default).select(*columns), "rules")
+    across, down = (max(1, -(-side.count() // CELL_ROWS)) for side in (others, rules))
+
+    def dealt(side: DataFrame, name: str, parts: int, other: str, copies: int) -> DataFrame:
+        spread = side.withColumn(name, F.pmod(row_hash(side), F.lit(parts)).cast("int"))
+        return spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    met = dealt(others, "__of", across, "__to", down).join(dealt(rules, "__to", down, "__of", across), ["__of", "__to"])
+    unfolded = met.select(*companies.columns, F.lit(default).alias("rule_set"), *columns)
     return named.select(unfolded.columns).union(unfolded)
 
 

@@ -50,15 +50,17 @@ def attach_by_key(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     small_keys: bool = False,
+    staged: bool = False,
 ) -> DataFrame:
     """Join ``per_key`` (one row per key; nulls are equal) to ``rows``, splitting hot keys.
 
-    ``weight`` names the column of ``per_key`` that counts the key's rows in ``rows``; without it the rows are
-    written to shared storage, so that they are worked out once, and counted there, unless ``small_keys`` says that no
-    key can hold many rows. Tables are written while the plan is built: even ``explain`` starts these jobs.
+    The rows are written to shared storage first, so that they are worked out once however often they are read
+    (``staged``: the caller has done so). ``weight`` names the column of ``per_key`` that counts the key's rows in
+    ``rows``; without it they are counted here. ``small_keys`` says that no key can hold many rows: nothing is written or
+    counted then. Tables are written while the plan is built: even ``explain`` starts these jobs.
     """
     per_key = written(per_key, "per-key")
-    if not small_keys and weight is None:
+    if not small_keys and not staged:
         rows = written(rows, "rows")
     names = ["__" + k for k in keys]
     hot = None
@@ -71,8 +73,10 @@ def attach_by_key(
         return rows.join(right, _same_keys(rows, right, keys), how).drop(*names)
     # written tables: Spark broadcasts the list if its size allows, and else can split the shuffle
     hot = _prefixed(hot, keys)
-    left = rows.join(hot, _same_keys(rows, hot, keys), "left").drop(*names)
-    left = left.withColumn("__salt", F.coalesce(F.pmod(row_hash(rows), F.col("__splits")), F.lit(0))).drop("__splits")
+    # dealt out by their place in the written table, so that rows equal in every column part as well
+    placed = rows.withColumn("__place", F.monotonically_increasing_id())
+    left = placed.join(hot, _same_keys(placed, hot, keys), "left").drop(*names)
+    left = left.withColumn("__salt", F.coalesce(F.pmod("__place", F.col("__splits")), F.lit(0))).drop("__splits", "__place")
     right = per_key.join(hot, _same_keys(per_key, hot, keys), "left").drop(*names)
     right = right.withColumn(
         "__salt2", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__splits"), F.lit(1)) - 1))

@@ -232,11 +232,12 @@ def _(t: Tables):
 
 
 @query("merge_dim", """
-SELECT coalesce(s.s_suppkey, p.p_partkey) AS company_key, CASE WHEN p.p_partkey IS NOT NULL THEN p.p_name ELSE s.s_name END AS company_name,
-  CASE WHEN p.p_partkey IS NOT NULL THEN p.p_brand ELSE CAST(s.s_nationkey AS VARCHAR) END AS portfolio_id FROM supplier s FULL JOIN (SELECT * FROM part WHERE p_partkey % 3 = 0) p ON s.s_suppkey = p.p_partkey""")
+SELECT coalesce(s.s_suppkey, p.p_partkey + 3) AS company_key, CASE WHEN p.p_partkey IS NOT NULL THEN p.p_name ELSE s.s_name END AS company_name,
+  CASE WHEN p.p_partkey IS NOT NULL THEN p.p_brand ELSE CAST(s.s_nationkey AS VARCHAR) END AS portfolio_id FROM supplier s FULL JOIN part p ON s.s_suppkey = p.p_partkey + 3""")
 def _(t: Tables):
+    """All parts merged into all suppliers; keys are shifted by three, so that some are new, some replace and some stay."""
     target = t.raw("supplier").select(C("s_suppkey").alias("company_key"), C("s_name").alias("company_name"), C("s_nationkey").cast("string").alias("portfolio_id"))
-    source = t.raw("part").filter(C("p_partkey") % 3 == 0).select(C("p_partkey").alias("company_key"), C("p_name").alias("company_name"), C("p_brand").alias("portfolio_id"))
+    source = t.raw("part").select((C("p_partkey") + 3).alias("company_key"), C("p_name").alias("company_name"), C("p_brand").alias("portfolio_id"))
     return store.merge_dim(target, source)
 
 

@@ -290,7 +290,7 @@ def _(t: Tables):
 CATALOG = """
 SELECT 'cust' || CAST(p_partkey AS STRING) AS company, p_name AS legacy_kpi, p_type AS target_kpi, p_brand AS audit_logic
 FROM {part} WHERE p_size % 10 <> 0
-UNION ALL SELECT 'Standard_KPIs', max(p_name), min(p_type), CAST(p_size AS STRING) FROM {part} GROUP BY p_size"""
+UNION ALL SELECT 'Standard_KPIs', max(p_name), min(p_type), p_brand || ' ' || CAST(p_size AS STRING) FROM {part} GROUP BY p_brand, p_size"""
 
 
 @query("catalog_with_default", f"""
@@ -650,12 +650,7 @@ def _(t: Tables):
 SELECT submission_id, string_agg(kpi_key || '=' || n, ';' ORDER BY kpi_key) AS findings FROM (SELECT submission_id, kpi_key, count(*) AS n FROM flagged GROUP BY ALL) GROUP BY submission_id""")
 def _(t: Tables):
     facts = t.parsed.select("id", "submission_id", "kpi_key", "period_id", "confidence", "is_valid")
-    flagged = audit.post_load_audit(facts, t.latest, ordered=False)
-    per_kpi = flagged.groupBy("submission_id", "kpi_key").agg(F.count(F.lit(1)).alias("n"))
-    # one entry per KPI that the document names
-    listed = F.sort_array(F.collect_list(F.struct("kpi_key", "n")))
-    line = F.transform(listed, lambda r: F.concat(r["kpi_key"], F.lit("="), r["n"].cast("string")))
-    return per_kpi.groupBy("submission_id").agg(F.array_join(line, ";").alias("findings"))
+    return audit.ordered_findings(audit.post_load_audit(facts, t.latest, ordered=False))
 
 
 @query("render_markdown", """
