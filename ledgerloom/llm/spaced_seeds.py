@@ -54,6 +54,32 @@ def seed_hashes(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mixed(reduce(np.add, (hashes[place : place + n] * _PLACE[k] for k, place in enumerate(mask))))
 
 
+class Followed:
+    """Known seeds in order of hash and of the hash before it: where those of one hash behind a given one lie."""
+
+    def __init__(self, hashes: np.ndarray, before: np.ndarray, inner: np.ndarray):
+        changes = np.append(True, (hashes[1:] != hashes[:-1]) | (before[1:] != before[:-1]) | (inner[1:] != inner[:-1]))
+        low = np.flatnonzero(changes)
+        high = np.append(low[1:], len(hashes))
+        low, high = low[inner[low]], high[inner[low]]
+        keys = self._key(hashes[low], before[low])
+        order = np.argsort(keys)
+        self.keys, self.low, self.high = keys[order], low[order], high[order]
+        self.hashes, self.before = hashes[self.low], before[self.low]
+
+    @staticmethod
+    def _key(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return mixed(hashes ^ mixed(before + np.uint64(1)))
+
+    def of(self, hashes: np.ndarray, before: np.ndarray, inner: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, behind the last) place of the known seeds with this hash and predecessor; ``none`` twice where there are none."""
+        if not len(self.keys):
+            return none, none
+        k = np.minimum(np.searchsorted(self.keys, self._key(hashes, before)), len(self.keys) - 1)
+        same = inner & (self.hashes[k] == hashes) & (self.before[k] == before)
+        return np.where(same, self.low[k], none), np.where(same, self.high[k], none)
+
+
 class Block:
     """Some benchmark items and their seeds."""
 
@@ -65,8 +91,8 @@ class Block:
         return {"ids": self.ids, "tokens": self.tokens}
 
     @cached_property
-    def seeds(self) -> list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each mask: the hashes in order, their items, their positions, and whether a hash's leading bits occur."""
+    def seeds(self) -> list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray, np.ndarray, Followed]]:
+        """For each mask: the hashes in order, their items, their positions, whether a hash's leading bits occur, and what precedes them."""
         out = []
         for masks, wanted in ((LONG_MASKS, lambda n: n >= STRETCH), (SHORT_MASKS, lambda n: SHORTEST <= n < STRETCH)):
             own = [k for k, t in enumerate(self.tokens) if wanted(len(t))]
@@ -75,11 +101,12 @@ class Block:
                 item = np.repeat(own, [len(x) for x in found])
                 place = np.concatenate([np.arange(len(x)) for x in found])
                 hashes = np.concatenate(found)
-                order = np.argsort(hashes, kind="stable")
+                before = np.concatenate([np.append(np.zeros(1, np.uint64), x[:-1])[: len(x)] for x in found])
+                order = np.lexsort((before, place > 0, hashes))
                 bits = min(26, max(16, (32 * len(hashes)).bit_length()))
                 seen = np.zeros(1 << bits, bool)
                 seen[hashes >> np.uint64(64 - bits)] = True
-                out.append((mask, hashes[order], item[order], place[order], seen))
+                out.append((mask, hashes[order], item[order], place[order], seen, Followed(hashes[order], before[order], place[order] > 0)))
         return out
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, int, int]]:
@@ -87,7 +114,7 @@ class Block:
         words = Words(texts, token)
         hashes, doc, start = words.hashes(), words.doc, words.start
         found = set()
-        for mask, known, item, place, seen in self.seeds:
+        for mask, known, item, place, seen, followed in self.seeds:
             own = seed_hashes(hashes, mask)
             if not len(own):
                 continue
@@ -95,8 +122,13 @@ class Block:
             at = np.flatnonzero(seen[own >> np.uint64(64 - bits)] & (doc[: len(own)] == doc[max(mask) :]))
             low, high = np.searchsorted(known, own[at]), np.searchsorted(known, own[at], side="right")
             at, low, high = at[high > low], low[high > low], high[high > low]
-            each = np.repeat(np.arange(len(at)), high - low)
-            hit = np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[each]
+            # equal seeds whose predecessors are equal too lie on an alignment that an earlier pair has given
+            inner = (at > 0) & (doc[at] == doc[np.maximum(at, 1) - 1])
+            skip, until = followed.of(own[at], own[np.maximum(at, 1) - 1], inner, high)
+            first = (skip - low) + (high - until)
+            each = np.repeat(np.arange(len(at)), first)
+            hit = np.arange(len(each)) - np.repeat(np.cumsum(first) - first, first) + low[each]
+            hit += np.where(hit >= skip[each], until[each] - skip[each], 0)
             found.update(zip(doc[at[each]].tolist(), item[hit].tolist(), (at[each] - place[hit]).tolist(), strict=True))
         out = []
         for text, k, shift in sorted(found):

@@ -424,3 +424,32 @@ def test_pipeline_stages_keep_the_columns(spark, odd_docs, no_docs, monkeypatch)
             assert name == "packing" or rows.columns == docs.columns
         assert rows.columns[0] == "bin_id" and (rows.count() > 0) == (docs is odd_docs)
     assert content_sort.keep_one(covering_simhash.keep_one(odd_docs)).columns == odd_docs.columns
+
+
+def test_seeds_of_repetitive_texts_give_each_alignment_once():
+    """Every alignment that some seed supports, as the product of all equal seeds gives it, without that product."""
+    rng = np.random.default_rng(7)
+    names = ["a", "b", "c"]
+    texts = [" ".join(rng.choice(names, rng.integers(0, 60))) for _ in range(40)] + ["a " * 50, "a b " * 40, "x " + "a " * 30 + "y"]
+    items = [" ".join(rng.choice(names, rng.integers(5, 30))) for _ in range(25)] + ["a " * 20, "a b " * 12, "a " * 7]
+    hashed = lambda t: spaced_seeds.Words(pa.array([t]), spaced_seeds.token).hashes()
+    block = spaced_seeds.Block([(k, hashed(t).tobytes()) for k, t in enumerate(items)])
+    found = {(text, item, start - at) for text, item, start, _, at, _, _ in block.matches(pa.array(texts))}
+    expected = set()
+    for text, words in enumerate(map(hashed, texts)):
+        for k, tokens in enumerate(map(hashed, items)):
+            masks = spaced_seeds.LONG_MASKS if len(tokens) >= 13 else spaced_seeds.SHORT_MASKS
+            shifts = {p - q for mask in masks for p in range(len(words) - max(mask)) for q in range(len(tokens) - max(mask)) if all(words[p + m] == tokens[q + m] for m in mask)}
+            stretch = min(13, len(tokens))
+            for shift in shifts:
+                low, high = max(0, shift), min(len(words), shift + len(tokens))
+                equal = (words[low:high] == tokens[low - shift : high - shift]).astype(int)
+                if any(equal[p : p + stretch].sum() >= 0.8 * stretch for p in range(high - low - stretch + 1)):
+                    expected.add((text, k, shift))
+    assert found == expected
+    assert len(found) > 200
+
+
+def test_one_word_repeated_does_not_multiply_out():
+    block = spaced_seeds.Block([(1, spaced_seeds.Words(pa.array(["word " * 3_000]), spaced_seeds.token).hashes().tobytes())])
+    assert len(block.matches(pa.array(["word " * 20_000]))) == 20_000 + 3_000 - 25  # all shifts that leave 13 tokens
