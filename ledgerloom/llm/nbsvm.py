@@ -186,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
     ordered = rows.where("NOT apart").repartition(SHARDS, "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("packed"))
     fitted = [(np.frombuffer(r["weight"], np.float32).astype(np.float64), r["bias"]) for r in ordered.mapInArrow(train, "weight binary, bias double").collect()]
-    if not fitted:  # a sample too small to be cut into shards
-        whole = [(r["label"], np.frombuffer(r["packed"], np.int32)) for r in rows.orderBy("doc_id").limit(SHARDS * 100).collect()]
+    if not fitted:  # no shard has both classes: the whole sample, itself bounded, is fitted at once
+        whole = [(r["label"], np.frombuffer(r["packed"], np.int32)) for r in rows.orderBy("doc_id").collect()]
         fitted = [descend(whole, ratio)]
     model = Model(ratio, np.mean([w for w, _ in fitted], axis=0), float(np.mean([b for _, b in fitted])), 1.0, 0.0)
     learned = spark.sparkContext.broadcast(model)
