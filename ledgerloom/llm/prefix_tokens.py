@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import Words, id_and_text, slices
 
-#: Words that need care and token pairs that a task's process remembers at most; places of the table of pairs, as a power of two.
+#: Words that need care and token pairs that a task's process remembers at most; places of the table of pairs, a power of two.
 WORDS, PAIRS, PLACES = 50_000, 500_000, 20
 
 #: Pre-tokens of more bytes are computed one by one.
-TOGETHER = 64
+TOGETHER = 1000
 
 #: Bytes of text that a task works on at once: the more, the fewer words are met again in the next slice.
 SLICE = 6 << 20
@@ -515,7 +515,7 @@ class _Together:
             if not len(at):
                 break
         at, length, token = (np.concatenate(x) for x in zip(*found, strict=True))
-        reach = (at - begin[at] + length).astype(np.uint8)
+        reach = (at - begin[at] + length).astype(np.uint16)
         order = np.argsort(reach, kind="stable")
         at, length, token, reach = at[order], length[order], token[order], reach[order]
         last, number = np.full(len(text) + len(size), -1, np.int64), np.zeros(len(text) + len(size), np.int64)

@@ -50,6 +50,7 @@ def test_word_by_word_equals_all_at_once(vocabulary):
     count = prefix_tokens.counter(vocabulary[0])
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeinorstÀéß,.!7") for _ in range(rng.randint(1, 80))) for _ in range(500)]
+    words += ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "éß", "日本語") for n in (63, 64, 333, 334, 999, 1000, 1001, 2500)]
     flat, start = count.all_counts(words)
     for word, k in zip(words, start.tolist(), strict=True):
         assert flat[k : k + len(word)].tolist() == count._with_specials(word)
