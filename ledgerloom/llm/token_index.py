@@ -34,8 +34,8 @@ from ledgerloom.session import work_path
 END_ID = 0
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 50_000
-KNOWN_WORDS = 1_000_000
-SLICE_BYTES = 4 << 20
+KNOWN_WORDS = 2_000_000
+SLICE_BYTES = 6 << 20
 MAGIC = 0x0058444E49444954
 NULL_ID = -(1 << 63)
 
