@@ -34,7 +34,7 @@ from ledgerloom.session import work_path
 END_ID = 0
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 50_000
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 800_000
 SLICE_BYTES = 6 << 20
 MAGIC = 0x0058444E49444954
 NULL_ID = -(1 << 63)
@@ -89,7 +89,8 @@ class Encoder:
         both = (pa.concat_arrays([self.known[0], new]), pa.concat_arrays([self.known[1], found]))
         out = both[1].take(pa.array(place))
         if len(new):
-            self.known = both if len(both[0]) <= KNOWN_WORDS else (new[:KNOWN_WORDS], found[:KNOWN_WORDS])
+            over = len(both[0]) > KNOWN_WORDS
+            self.known = tuple(pa.concat_arrays([x[-KNOWN_WORDS // 2 :]]) for x in both) if over else both  # the older half is forgotten
         return out
 
     def words(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -172,6 +173,7 @@ def _shard_file(path: str):
             payload += len(joined)
             if joined:
                 yield pa.RecordBatch.from_arrays([pa.array([joined[:-1]], pa.binary())], names=["value"])
+            pa.default_memory_pool().release_unused()
         if not ids:
             return
         keys = pa.chunked_array(ids).combine_chunks()
