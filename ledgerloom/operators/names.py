@@ -1,8 +1,8 @@
 """Names of a table of any size found inside texts, without comparing every name with every text.
 
-Each name is indexed by one of its three-letter pieces, the one that the fewest names have. A text that contains the
+Each name is indexed by one of its pieces of PIECE letters, the one that the fewest names have. A text that contains the
 name contains this piece, so texts, cut into their distinct pieces, meet names in an equality join, and every candidate
-is then verified in full. Names shorter than three letters are their own piece.
+is then verified in full. Names shorter than that are their own piece.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.operators.skew import attach_by_key, written
 
-PIECE = 3
+PIECE = 5
 
 
 def _pieces(text: Column, size: int) -> Column:
