@@ -9,7 +9,8 @@ lengths are part of the signature, which keeps the groups of equal signatures sm
 every pair is verified by its edit distance.
 
 All of it is SQL functions, joins and aggregates. Occurrences are summed before the shuffle, so a word of any frequency
-arrives as one row per task; the joins are over distinct words only.
+arrives as one row per task; the joins are over distinct words only. They are sort-merge joins by hint: Spark takes the size of
+a table from its compressed files and counts an exploded row once, so it would broadcast millions of signatures.
 
 Defined cases: a null text has no words; a null doc_id counts as an empty text in the hash that decides on deletions;
 repeated rows count each; of equally frequent near words the first in code-point order is the form; no words give an empty
@@ -86,7 +87,7 @@ def near_words(words: DataFrame) -> DataFrame:
         )
     )
     other = with_dimensions.select(F.col("word").alias("b"), F.col("n").alias("b_n"), either.alias("by")).select("b", "b_n", "by.*")
-    pairs = own.select(F.col("word").alias("a"), F.col("n").alias("a_n"), "signature").join(other, "signature")
+    pairs = own.select(F.col("word").alias("a"), F.col("n").alias("a_n"), "signature").join(other.hint("merge"), "signature")
     pairs = pairs.where(F.col("longer") | (F.col("a") < F.col("b")))
     return pairs.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
 
@@ -98,7 +99,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     """
     up = staged(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
-        further = up.select(F.col("word").alias("middle"), F.col("root").alias("top"))
+        further = up.select(F.col("word").alias("middle"), F.col("root").alias("top")).hint("merge")
         joined = up.join(further, up["root"] == further["middle"], "left")
         up = staged(joined.select("word", F.coalesce("top", "root").alias("root"), F.col("middle").isNotNull().alias("moved")), "roots")
         if up.where("moved").isEmpty():
@@ -119,7 +120,7 @@ def spelling_forms(docs: DataFrame, least_length: int = 6, least: int = 5, times
     # most frequent first, then in code-point order, which is the byte order of UTF-8
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     frequent = -F.col("best.less") >= times * F.col("n")
-    found = words.join(best, "word", "left").select(
+    found = words.join(best.hint("merge"), "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -128,4 +129,4 @@ def spelling_forms(docs: DataFrame, least_length: int = 6, least: int = 5, times
     )
     found = staged(found, "forms")
     roots = _roots(found.where("form IS NOT NULL"))
-    return found.join(roots, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return found.join(roots.hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

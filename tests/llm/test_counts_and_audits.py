@@ -253,6 +253,15 @@ def test_spelling_forms_of_edits_and_chains(make_docs):
     assert ("abcdeygxz", "abcdefgh") in {(r[0], r[5]) for r in expected}
 
 
+def test_spelling_forms_broadcasts_no_words(make_docs):
+    """Signatures are exploded, so sizes taken from files say nothing of them: no side goes through the driver."""
+    docs = make_docs([(k, "letter lettor wordle wordla") for k in range(6)])
+    words = spelling_forms.vocabulary(docs).localCheckpoint()
+    for rows in (spelling_forms.near_words(words), spelling_forms.spelling_forms(docs)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_spelling_forms_odd_rows(odd_docs, no_docs, make_docs):
     assert forms_of(odd_docs) == brute_forms(brute_words(ODD))
     assert forms_of(no_docs) == set()
