@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.plans.fixtures import Tables
 from ledgerloom.plans.oracles import oracle_query
+from ledgerloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function of ``Tables``; ``sql`` is its oracle (none: rows are only counted)."""
+    """Register a function of ``Tables``; ``sql`` is its oracle (none: rows are only counted).
+
+    A query sets the run-time settings its plans rely on, as the session may be any.
+    """
 
     def register(build: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: build(Tables(tune(spark), sf_dir))
         if sql is not None:
             ORACLES[name] = oracle_query(sql)
         return build

@@ -48,3 +48,15 @@ def test_query_equals_oracle(spark, oracle, name):
     positions = [names.index(c) for c in columns]
     expected = [tuple(row[i] for i in positions) for row in result.fetchall()]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("name", ["portfolio_analytics_all", "scaled_bars", "context_text", "history_tail", "net_margin_proxy", "anomaly_vs_history"])
+def test_query_sets_the_code_limit_in_any_session(spark, name):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.unset(limit)
+        QUERIES[name](spark, SF_DIR)
+        assert spark.conf.get(limit) == "8000"
+    finally:
+        spark.conf.set(limit, before)
