@@ -113,6 +113,24 @@ def test_copies_land_in_the_company_partition(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_a_vault_of_many_companies_lies_in_slots(spark, tmp_path):
+    path = str(tmp_path / "vault")
+    stored = spark.createDataFrame([("acme", "h1", "a.pdf", '{"x": 1}'), ("7", "h2", None, "{}")], "company_domain string, file_hash string, original_filename string, raw_json string")
+    vault.write_result_vault(stored, path, digits=2)
+    wanted = spark.range(2000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("company_domain"), F.lit("h1").alias("file_hash"), F.lit(None).cast("string").alias("founder_email"))
+    for _ in range(2):  # nothing is copied twice
+        vault.copy_to_vault(wanted, path)
+        folders = [name for name in os.listdir(path) if "=" in name]
+        assert len(folders) <= 256 and all(name.startswith("slot=s") and len(name) == 8 for name in folders)
+        read = spark.read.option("mergeSchema", True).parquet(path)
+        assert read.count() == 2002 and read.select("company_domain").distinct().count() == 2002
+    for company in ("c17", "7"):
+        found = vault.of_company(read, company)
+        assert [r["company_domain"] for r in found.collect()] == [company]
+        scans = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters: [" in line]
+        assert scans and all("PartitionFilters: []" not in line for line in scans)
+
+
 # ---- documents and ingest -------------------------------------------------------------------
 
 
