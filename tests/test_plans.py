@@ -153,6 +153,33 @@ def test_manual_documents(spark):
 DOC = '{{"_document_context": {{"currency": "USD", "period": "FY2024"}}, "financial_metrics_2025": {{"base_metrics": {{"revenue": {{"value": "{0}", "confidence": {1}}}}}}}}}'
 
 
+def test_documents_are_worked_out_once(spark, tmp_path):
+    """Rows are extracted from the staged documents, so what the documents come from is read once."""
+    text = '{"financial_metrics_2025": {"base_metrics": {"revenue": {"value": "$1M", "confidence": 0.9}}}}'
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    ids = spark.createDataFrame(spark.sparkContext.parallelize([("S1",), ("S2",)], 1).mapPartitions(passed), "submission_id string")
+    docs = documents.decoded_only(ids.select(
+        "submission_id", *[F.lit("x").alias(c) for c in ingest.HEADER_INPUT if c not in ("submission_id", "submitted_at")],
+        F.lit("2025-01-01").cast("timestamp_ntz").alias("submitted_at"), F.lit(text).alias("raw_json")))
+    built = ingest.build_contracts(docs, path=str(tmp_path / "staged"))
+    assert built.rows.count() == 32 and built.headers.count() == 2
+    assert seen.value == 2
+
+
+def test_code_fences_and_blanks(spark):
+    fence = "```"
+    texts = ["{}", f"{fence}json\n{{}}\n{fence}", f" \t\x0b{fence}json {{}} {fence}\x0c\n", f"{{}}{fence}", f"{fence}{{}}", '\n"{}"\x0b', "\x0c{}\x0b", f"a {fence} b", "", " \n", None, f"{fence}json{fence}"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    plain = F.regexp_replace(F.btrim("t", F.lit(" \t\n\r\x0b\x0c")), r"^```json\s*|\s*```$", "")
+    assert all(r["a"] == r["b"] for r in rows.select(documents.strip_code_fence(F.col("t")).alias("a"), plain.alias("b")).collect())
+
+
 def test_ingest_of_chunks(spark, tmp_path):
     root = str(tmp_path / "out")
     chunks = [
