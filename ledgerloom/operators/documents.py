@@ -36,20 +36,31 @@ def decode(text: Column) -> Column:
 
 
 def decode_json_doc(df: DataFrame, text_col: str = "raw_json", out: str = "doc", fenced: bool = False) -> DataFrame:
-    """Adds the decoded document (null when it is malformed or not an object)."""
-    text = F.col(text_col)
-    return df.withColumn(out, decode(strip_code_fence(text) if fenced else text))
+    """Adds the decoded document (null when it is malformed or not an object).
+
+    The text without its fence is a column of its own: an expression would be worked out again wherever ``decode`` looks at it.
+    """
+    if not fenced:
+        return df.withColumn(out, decode(F.col(text_col)))
+    return df.withColumn("__bare", strip_code_fence(F.col(text_col))).withColumn(out, decode(F.col("__bare"))).drop("__bare")
 
 
 def decoded_only(df: DataFrame, text_col: str = "raw_json", out: str = "doc", fenced: bool = False) -> DataFrame:
     """The same without the undecodable rows.
 
-    Exploding an array of at most one document keeps the parse in one place; a filter on the
-    document would be pushed below it and parse every text twice.
+    The parse is a column, and exploding an array of it keeps it in one place; a filter on the column itself would be
+    pushed below it and parse every text twice.
     """
-    text = F.col(text_col)
-    found = F.array_compact(F.array(decode(strip_code_fence(text) if fenced else text)))
-    return df.select("*", F.explode(found).alias(out))
+    parsed = decode_json_doc(df, text_col, "__parsed", fenced)
+    return parsed.select("*", F.explode(F.array("__parsed")).alias(out)).drop("__parsed").filter(F.col(out).isNotNull())
+
+
+def decode_or_reason(df: DataFrame, text_col: str = "raw_json", out: str = "doc", fenced: bool = False) -> DataFrame:
+    """Adds the decoded document and, where there is none, the reason that ``quarantine`` gives: both from one parse."""
+    bare = strip_code_fence(F.col(text_col)) if fenced else F.col(text_col)
+    read = df.withColumn("__bare", bare).withColumn(out, decode(F.col("__bare")))
+    why = F.when(F.try_parse_json(F.col("__bare")).isNull(), "json_error").otherwise("not_object")
+    return read.withColumn("reason", F.when(F.col(out).isNull(), why)).drop("__bare")
 
 
 def quarantine(df: DataFrame, text_col: str = "raw_json", fenced: bool = False) -> DataFrame:
@@ -104,9 +115,18 @@ def ensure_sections(df: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def is_financial(doc: Column) -> Column:
-    """At least one of the 12 core KPIs carries a real value."""
-    texts = [_scalar_text(dig(doc, [*dims.KPI_PATHS[k], "value"])) for k in dims.CORE_FINANCIAL_KPIS]
-    return F.exists(F.array(*texts), values.has_financial_value)
+    """At least one of the 12 core KPIs carries a real value.
+
+    A value read as a text tells this at once; only that of a decimal zero (0.0 is a value, 0 is none) is not its JSON text.
+    """
+
+    def carries(key: str) -> Column:
+        path = [*dims.KPI_PATHS[key], "value"]
+        text = dig(doc, path, "string")
+        zero = F.coalesce(values.strip(text) == "0", F.lit(False))
+        return values.has_financial_value(text) | (zero & values.has_financial_value(_scalar_text(dig(doc, path))))
+
+    return reduce(lambda a, b: a | b, [carries(k) for k in dims.CORE_FINANCIAL_KPIS])
 
 
 def filter_financial_docs(df: DataFrame, doc: str = "doc") -> DataFrame:
@@ -229,7 +249,8 @@ def missing_or_low_conf(df: DataFrame, doc: str = "doc", keep: list[str] | None
 def build_documents(kpis: DataFrame, doc_id: str, order: str = "row_seq") -> DataFrame:
     """KPI rows (raw_value, confidence, source_description, is_scalar) to the JSON of the metrics section.
 
-    The first row of a repeated KPI counts; unregistered keys are not part of a document.
+    The first row of a repeated KPI counts; unregistered keys are not part of a document. The rows are read and shuffled
+    once, as one row per document and task with its first node of each KPI, so a document of very many rows is no large group.
     """
     as_text = F.to_json(
         F.struct(
@@ -237,14 +258,10 @@ def build_documents(kpis: DataFrame, doc_id: str, order: str = "row_seq") -> Dat
         )
     )
     text = F.when(F.col("is_scalar"), json_string(F.col("raw_value"))).otherwise(as_text)
-    # one row for each KPI of a document, and only these are turned into JSON; then at most 16 in a map
-    first = Window.partitionBy(doc_id, "kpi_key").orderBy(order)
-    known = kpis.filter(F.col("kpi_key").isin(dims.KPI_KEYS)).select(doc_id, "kpi_key", order, "raw_value", "confidence", "source_description", "is_scalar")
-    nodes = known.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") == 1).select(doc_id, "kpi_key", text.alias("json"))
-    of_doc = F.map_from_entries(F.collect_list(F.struct("kpi_key", "json"))).alias("nodes")
-    per_doc = nodes.filter("json IS NOT NULL").groupBy(doc_id).agg(of_doc)
-    every = kpis.select(doc_id).distinct().join(per_doc, doc_id, "left")
-    return every.select(doc_id, metrics_json({k: F.try_element_at("nodes", F.lit(k)) for k in dims.KPI_KEYS}).alias("metrics_json"))
+    known = F.when(F.col("kpi_key").isin(dims.KPI_KEYS), F.struct(F.col(order).alias("at"), text.alias("json")))
+    nodes = kpis.select(doc_id, "kpi_key", known.alias("node"))
+    firsts = nodes.groupBy(doc_id).agg(*[F.min(F.when(F.col("kpi_key") == k, F.col("node"))).alias(k) for k in dims.KPI_KEYS])
+    return firsts.select(doc_id, metrics_json({k: F.col(k)["json"] for k in dims.KPI_KEYS}).alias("metrics_json"))
 
 
 def json_string(text: Column) -> Column:
@@ -256,19 +273,17 @@ def json_string(text: Column) -> Column:
 def metrics_json(nodes: dict[str, Column]) -> Column:
     """JSON text of the metrics section from one JSON text per KPI (null = absent)."""
 
-    def member(key: str, json: Column) -> Column:
-        return F.when(json.isNotNull(), F.concat(F.lit(f'"{key}":'), json))
-
     sections: dict[str, list[Column]] = {}
     top: list[Column] = []
     for key, _, path, _ in dims.KPI_REGISTRY:
+        member = F.concat(F.lit(f'"{key}":'), nodes[key])
         if len(path) == 1:
-            top.append(member(key, nodes[key]))
+            top.append(member)
         else:
-            sections.setdefault(path[0], []).append(member(key, nodes[key]))
+            sections.setdefault(path[0], []).append(member)
     for section, members in sections.items():
-        body = F.concat_ws(",", *members)
-        top.append(F.when(body != "", F.concat(F.lit(f'"{section}":{{'), body, F.lit("}"))))
+        filled = reduce(lambda a, b: a | b, [m.isNotNull() for m in members])
+        top.append(F.when(filled, F.concat(F.lit(f'"{section}":{{'), F.concat_ws(",", *members), F.lit("}"))))
     return F.concat(F.lit("{"), F.concat_ws(",", *top), F.lit("}"))
 
 
@@ -401,42 +416,31 @@ def merge_chunk_documents(chunks: DataFrame, doc_id: str = "doc_id", chunk: str
     The first chunk's document with all its members, the best node of each KPI, and the required
     sections. A scalar of the first chunk survives only when no chunk has an object with a value.
     The context comes from the first chunk (``intended``: from the first chunk that has one).
-    """
-    numbered = chunks.select(doc_id, chunk, doc)
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("kpi_key"), dig(F.col(doc), dims.KPI_PATHS[k]).alias("node"))
-            for i, k in enumerate(dims.KPI_KEYS, 1)
-        ]
-    )
-    nodes = numbered.select(doc_id, chunk, F.inline(entries))
-    value = F.try_variant_get(F.col("node"), "$.value", "variant")
-    has_value = is_object(F.col("node")) & F.coalesce(F.schema_of_variant(value) != "VOID", F.lit(False))
-    rank = F.when(has_value, F.coalesce(F.try_variant_get(F.col("node"), "$.confidence", "double"), F.lit(0.0)))
-    first = Window.partitionBy(doc_id, "kpi_key").orderBy(F.col("rank").desc_nulls_last(), F.col(chunk))
-    # the first chunk always takes part, with whatever node it has, as the fallback
-    merged = (
-        nodes.select(doc_id, chunk, "ordinal", "kpi_key", F.to_json("node").alias("node_json"), rank.alias("rank"))
-        .withColumn("__rank", F.row_number().over(first))
-        .filter(F.col("__rank") == 1)
-        .select(doc_id, "ordinal", "kpi_key", "node_json")
-    )
-    per_doc = merged.groupBy(doc_id).agg(
-        *[F.max(F.when(F.col("kpi_key") == k, F.col("node_json"))).alias("n_" + k) for k in dims.KPI_KEYS]
-    )
 
-    def first_of(rows: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(chunk))
-        return rows.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank", chunk)
+    Chunks are read and shuffled once: a task hands on one row per document, with its best node of each KPI and its first chunk.
+    """
 
-    joined = first_of(numbered).join(per_doc, doc_id)
+    def node(key: str) -> Column:
+        """JSON text of the node, and its place: objects with a value by falling confidence, then the rest; by chunk."""
+        found = dig(F.col(doc), dims.KPI_PATHS[key])
+        value = dig(F.col(doc), [*dims.KPI_PATHS[key], "value"])
+        has_value = F.coalesce(is_object(found) & (F.schema_of_variant(value) != "VOID"), F.lit(False))
+        rank = F.when(has_value, F.coalesce(dig(F.col(doc), [*dims.KPI_PATHS[key], "confidence"], "double"), F.lit(0.0)))
+        # nan is above all numbers, as in a falling order
+        place = F.struct(~has_value, F.coalesce(~F.isnan(rank), F.lit(True)), -rank, F.col(chunk))
+        return F.struct(F.to_json(found).alias("json"), place.alias("place"))
+
+    first = F.struct(F.col(chunk).alias("chunk"))
+    read = chunks.select(doc_id, F.col(doc).alias("__doc"), first.alias("__first"), *[node(k).alias(k) for k in dims.KPI_KEYS])
+    best = [F.min_by(F.col(k)["json"], F.col(k)["place"]).alias(k) for k in dims.KPI_KEYS]
     context = None
     if mode == "intended":
-        own = F.to_json(dig(F.col(doc), [dims.CONTEXT]))
-        with_context = first_of(numbered.select(doc_id, chunk, own.alias("context_json")).filter("context_json IS NOT NULL"))
-        joined, context = joined.join(with_context, doc_id, "left"), F.col("context_json")
-    text = document_with(F.col(doc), {k: F.col("n_" + k) for k in dims.KPI_KEYS}, context, sections=True)
-    return joined.select(doc_id, text.alias("raw_json"))
+        own = F.to_json(dig(F.col("__doc"), [dims.CONTEXT]))
+        best.append(F.min_by(own, F.when(own.isNotNull(), F.col("__first"))).alias("__context"))
+        context = F.col("__context")
+    merged = read.groupBy(doc_id).agg(F.min_by("__doc", F.col("__first")).alias("__doc"), *best)
+    text = document_with(F.col("__doc"), {k: F.col(k) for k in dims.KPI_KEYS}, context, sections=True)
+    return merged.select(doc_id, text.alias("raw_json"))
 
 
 PAGES_PER_CHUNK = 90
