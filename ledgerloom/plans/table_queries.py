@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ledgerloom import dims
 from ledgerloom.functions import text, values
 from ledgerloom.operators import analytics, audit, contract, documents, fidelity, names, resolve, store
+from ledgerloom.operators.skew import written
 from ledgerloom.plans.fixtures import FX_BUCKETS, FX_COMPANIES, FX_NAMES, Tables
 from ledgerloom.plans.oracles import exact_avg
 from ledgerloom.plans.registry import query
@@ -65,11 +66,12 @@ def _(t: Tables):
 SELECT submission_id, kpi_key, CASE WHEN (seq % 3 = 0 AND kpi_key = 'revenue') OR (seq % 5 = 0 AND kpi_key = 'mrr') THEN '$' || seq || 'K' ELSE raw_value END AS raw_value,
   CASE WHEN (seq % 3 = 0 AND kpi_key = 'revenue') OR (seq % 5 = 0 AND kpi_key = 'mrr') THEN CASE WHEN is_scalar THEN NULL ELSE confidence END ELSE confidence END AS confidence FROM docrows""")
 def _(t: Tables):
-    ids = t.docs.select("submission_id", "seq")
+    docs = written(t.docs.select("submission_id", "seq", "doc"), "docs")  # read three times, built once
+    ids = docs.select("submission_id", "seq")
     value = F.concat(F.lit("$"), C("seq").cast("string"), F.lit("K"))
     patches = ids.filter(C("seq") % 3 == 0).select("submission_id", F.lit("revenue").alias("kpi_key"), value.alias("value")).unionByName(
         ids.filter(C("seq") % 5 == 0).select("submission_id", F.lit("mrr").alias("kpi_key"), value.alias("value")))
-    patched = documents.patch_document(t.docs.select("submission_id", "doc"), patches, "submission_id")
+    patched = documents.patch_document(docs.select("submission_id", "doc"), patches, "submission_id")
     return documents.explode_kpis(patched, "doc", ["submission_id"]).select("submission_id", "kpi_key", "raw_value", "confidence")
 
 
