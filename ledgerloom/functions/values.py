@@ -56,7 +56,7 @@ def numeric_value(raw: Column, mode: str = "reference") -> Column:
     "no value" texts need no test of their own: none of them is a number.
     """
     bare = _bare(raw)
-    last = F.upper(F.right(bare, F.lit(1)))
+    last = F.translate(F.right(bare, F.lit(1)), "kmb", "KMB")
     scale = F.when(last == "K", 1e3).when(last == "M", 1e6).when(last == "B", 1e9).otherwise(1.0)
     unscaled = F.when(last.isin("K", "M", "B"), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
     digits = F.regexp_extract(F.replace(unscaled, F.lit(","), F.lit("")), WHOLE_NUMBER, 1)
@@ -69,7 +69,7 @@ def numeric_value(raw: Column, mode: str = "reference") -> Column:
 def numeric_unit(raw: Column, value: Column) -> Column:
     """Symbol and scale letter of a text that is a number (``value`` not null), null without any."""
     symbol = F.when(raw.contains("%"), "%").when(raw.contains("$"), "$").otherwise("")
-    last = F.upper(F.right(_bare(raw), F.lit(1)))
+    last = F.translate(F.right(_bare(raw), F.lit(1)), "kmb", "KMB")
     unit = F.concat(symbol, F.when(last.isin("K", "M", "B"), last).otherwise(""))
     return F.when(value.isNotNull(), F.nullif(unit, F.lit("")))
 

@@ -77,6 +77,28 @@ def dig(doc: Column, keys: list[str], kind: str = "variant") -> Column:
     return F.try_variant_get(doc, json_path(keys), kind)
 
 
+def _node_type() -> str:
+    """Type of the metrics section with the node of each KPI as it is."""
+    sections: dict[str, list[str]] = {}
+    top = []
+    for key, _, path, _ in dims.KPI_REGISTRY:
+        if len(path) == 1:
+            top.append(f"{path[0]}: variant")
+        else:
+            sections.setdefault(path[0], []).append(f"{path[-1]}: variant")
+    return f"struct<{', '.join(top + [f'{name}: struct<{", ".join(inner)}>' for name, inner in sections.items()])}>"
+
+
+def kpi_nodes(doc: Column) -> Column:
+    """The nodes of all KPIs from one walk through a document; ``node_of`` takes one out."""
+    return dig(doc, [dims.ROOT], _node_type())
+
+
+def node_of(nodes: Column, key: str) -> Column:
+    """Node of a KPI, null where ``dig`` finds none."""
+    return reduce(lambda inner, name: inner[name], dims.KPI_PATHS[key][1:], nodes)
+
+
 def is_object(node: Column) -> Column:
     return F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
 
@@ -144,28 +166,30 @@ def explode_kpis(docs: DataFrame, doc: str = "doc", keep: list[str] | None = Non
     """16 rows per document in registry order, also for KPIs the document does not have.
 
     Adds ordinal, kpi_key, kpi_label, raw_value, numeric_value, unit, is_valid, confidence,
-    source_description and node_warning. One pass over constant paths: no join, no shuffle.
+    source_description and node_warning. One walk through the document, no join, no shuffle; a row carries its own node only.
     """
     keep = keep if keep is not None else [c for c in docs.columns if c != doc]
+
     def entry(i: int, key: str, label: str, unit: str) -> Column:
-        path = dims.KPI_PATHS[key]
         return F.struct(
             F.lit(i).alias("ordinal"),
             F.lit(key).alias("kpi_key"),
             F.lit(label).alias("kpi_label"),
             F.lit(unit).alias("unit_type"),
-            dig(F.col(doc), [*path, "value"]).alias("value"),
-            dig(F.col(doc), [*path, "description"], "string").alias("source_description"),
-            dig(F.col(doc), [*path, "confidence"], "double").alias("confidence"),
+            node_of(F.col("__nodes"), key).alias("node"),
         )
 
     entries = F.array(*[entry(i, key, label, unit) for i, (key, label, _, unit) in enumerate(dims.KPI_REGISTRY, 1)])
-    rows = docs.select(*keep, F.col(doc).alias("__doc"), F.inline(entries))
-    # a node is looked at as a whole, and its type worked out, only where it has no value of its own
-    nodes = {i: dig(F.col("__doc"), dims.KPI_PATHS[k]) for i, k in enumerate(dims.KPI_KEYS, 1)}
-    whole = reduce(lambda chain, i: chain.when(F.col("ordinal") == i, nodes[i]), nodes, F.when(F.lit(False), F.lit(None).cast("variant")))
-    rows = rows.withColumn("node", F.when(F.col("value").isNull(), whole)).drop("__doc")
-    rows = rows.withColumn("node_kind", F.when(F.col("node").isNotNull(), F.schema_of_variant("node")))
+    rows = docs.select(*keep, kpi_nodes(F.col(doc)).alias("__nodes")).select(*keep, F.inline(entries))
+    rows = rows.withColumns(
+        {
+            "value": dig(F.col("node"), ["value"]),
+            "source_description": dig(F.col("node"), ["description"], "string"),
+            "confidence": dig(F.col("node"), ["confidence"], "double"),
+        }
+    )
+    # the type of a node is worked out only where it has no value of its own
+    rows = rows.withColumn("node_kind", F.when(F.col("value").isNull() & F.col("node").isNotNull(), F.schema_of_variant("node")))
     bare = F.col("value").isNull() & F.col("node").isNotNull() & ~F.col("node_kind").startswith("OBJECT")
     rows = rows.withColumn("bare", bare).withColumn("scalar", F.when(F.col("bare"), F.col("node")).otherwise(F.col("value")))
     rows = rows.withColumn("kind", F.when(F.col("bare"), F.col("node_kind")).otherwise(F.schema_of_variant("scalar")))
@@ -232,8 +256,8 @@ def missing_or_low_conf(df: DataFrame, doc: str = "doc", keep: list[str] | None
     keep = keep if keep is not None else [c for c in df.columns if c != doc]
     nodes = []
     for k in dims.HEADLINE_KPIS:
-        value = dig(F.col(doc), [*dims.KPI_PATHS[k], "value"])
-        conf = dig(F.col(doc), [*dims.KPI_PATHS[k], "confidence"])
+        value = dig(node_of(F.col("__nodes"), k), ["value"])
+        conf = dig(node_of(F.col("__nodes"), k), ["confidence"])
         numeric = F.schema_of_variant(conf).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
         nodes.append(
             F.struct(
@@ -242,7 +266,7 @@ def missing_or_low_conf(df: DataFrame, doc: str = "doc", keep: list[str] | None
                 F.when(numeric, F.try_variant_get(conf, "$", "double")).alias("confidence"),
             )
         )
-    rows = df.select(*keep, F.inline(F.array(*nodes)))
+    rows = df.select(*keep, kpi_nodes(F.col(doc)).alias("__nodes")).select(*keep, F.inline(F.array(*nodes)))
     return rows.filter(F.col("raw_value").isNull() | (F.col("confidence") < dims.CONF_CRITICAL))
 
 
@@ -335,10 +359,10 @@ def patch_document(docs: DataFrame, patches: DataFrame, doc_id: str, doc: str =
     wide = patches.groupBy(doc_id).agg(
         *[F.max(F.when(F.col("kpi_key") == k, F.col("value"))).alias("p_" + k) for k in dims.KPI_KEYS]
     )
-    joined = docs.join(wide, doc_id, "left")
+    joined = docs.join(wide, doc_id, "left").withColumn("__nodes", kpi_nodes(F.col(doc)))
     nodes, patched = {}, F.lit(False)
     for k in dims.KPI_KEYS:
-        old = dig(F.col(doc), dims.KPI_PATHS[k])
+        old = node_of(F.col("__nodes"), k)
         new = F.col("p_" + k)
         nodes[k] = F.when(new.isNotNull(), _object_with(old, {"value": json_string(new)})).otherwise(F.to_json(old))
         patched = patched | new.isNotNull()
@@ -422,16 +446,17 @@ def merge_chunk_documents(chunks: DataFrame, doc_id: str = "doc_id", chunk: str
 
     def node(key: str) -> Column:
         """JSON text of the node, and its place: objects with a value by falling confidence, then the rest; by chunk."""
-        found = dig(F.col(doc), dims.KPI_PATHS[key])
-        value = dig(F.col(doc), [*dims.KPI_PATHS[key], "value"])
+        found = node_of(F.col("__nodes"), key)
+        value = dig(found, ["value"])
         has_value = F.coalesce(is_object(found) & (F.schema_of_variant(value) != "VOID"), F.lit(False))
-        rank = F.when(has_value, F.coalesce(dig(F.col(doc), [*dims.KPI_PATHS[key], "confidence"], "double"), F.lit(0.0)))
+        rank = F.when(has_value, F.coalesce(dig(found, ["confidence"], "double"), F.lit(0.0)))
         # nan is above all numbers, as in a falling order
         place = F.struct(~has_value, F.coalesce(~F.isnan(rank), F.lit(True)), -rank, F.col(chunk))
         return F.struct(F.to_json(found).alias("json"), place.alias("place"))
 
     first = F.struct(F.col(chunk).alias("chunk"))
-    read = chunks.select(doc_id, F.col(doc).alias("__doc"), first.alias("__first"), *[node(k).alias(k) for k in dims.KPI_KEYS])
+    found = chunks.select(doc_id, chunk, F.col(doc).alias("__doc"), kpi_nodes(F.col(doc)).alias("__nodes"))
+    read = found.select(doc_id, "__doc", first.alias("__first"), *[node(k).alias(k) for k in dims.KPI_KEYS])
     best = [F.min_by(F.col(k)["json"], F.col(k)["place"]).alias(k) for k in dims.KPI_KEYS]
     context = None
     if mode == "intended":
