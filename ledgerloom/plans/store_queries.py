@@ -449,7 +449,9 @@ def _(t: Tables):
 
     Their period is inferred like that of any document (a year in the text, else that of the entry)."""
     given = {"revenue": C("c_acctbal"), "cac": C("c_custkey"), "churn_rate": F.concat(C("c_nationkey").cast("string"), F.lit("%"))}
-    wide = t.raw("customer").select(
+    # a small file is one task, and each customer becomes 16 rows: dealt out first
+    customers = t.raw("customer").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    wide = customers.select(
         "c_custkey", F.concat(F.lit("cust"), C("c_custkey").cast("string")).alias("company_id"), F.concat(F.lit("FY"), (C("c_custkey") % 5 + 2021).cast("string")).alias("period_id"),
         F.lit(None).cast("string").alias("founder_email"), F.lit("VII").alias("portfolio_id"), F.lit("2025-06-30").cast("timestamp_ntz").alias("submitted_at"),
         *[given.get(k, F.lit("  ")).alias(k) for k in dims.KPI_KEYS],
@@ -674,7 +676,8 @@ def _(t: Tables):
 @query("stream_ingest_results", "SELECT submission_id, kpi_key, raw_value, numeric_value, is_valid FROM docrows WHERE form <> 'fenced'")
 def _(t: Tables):
     source, sink, checkpoint = (work_path(t.spark, n) for n in ("arriving", "rows", "checkpoint"))
-    t.raw_docs.select("submission_id", "raw_json").write.parquet(source)
+    # four micro-batches of four files, whose small row groups let all cores share a file
+    t.raw_docs.select("submission_id", "raw_json").repartition(16, "submission_id").write.option("parquet.block.size", 4 << 20).parquet(source)
     arriving = t.spark.readStream.schema("submission_id string, raw_json string").option("maxFilesPerTrigger", 4).parquet(source)
     rows = streams.stream_ingest_results(arriving)
     done = rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -23,13 +23,23 @@ def local_session(name: str = "ledgerloom", cpus: int | str = "*", shuffle_parti
     return tune(spark)
 
 
+#: Shuffled bytes that one task takes at most, where adaptive execution puts partitions together.
+PARTITION_BYTES = 8 << 20
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Run-time settings the plans rely on.
 
     The Java compiler leaves methods above 8000 bytes of bytecode interpreted, so a stage
     whose generated method is larger is better run operator by operator.
+
+    Rows of documents shrink some 50 times as they are shuffled, so a partition of Spark's 64 MB takes gigabytes to sort
+    and to group. Tasks get at most ``PARTITION_BYTES``; a session that asks for less is left as it is.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > PARTITION_BYTES:
+        spark.conf.set(size, str(PARTITION_BYTES))
     return spark
 
 

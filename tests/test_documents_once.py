@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import documents
+from ledgerloom.session import tune
 
 
 def exchanges(frame):
@@ -63,3 +64,24 @@ def test_gate_looks_at_values_as_before(spark):
     rows = found.select("id", documents.is_financial(F.col("doc")).alias("fast"), slow.alias("slow")).collect()
     assert len(rows) == len(values) and all(r["fast"] == r["slow"] for r in rows)
     assert "exists" not in documents.is_financial(F.col("doc"))._jc.toString().lower()
+
+
+def test_exploded_rows_do_not_carry_their_document(spark):
+    texts = spark.createDataFrame([("a", chunk("5K", 0.5)), ("b", '{"financial_metrics_2025": {"base_metrics": {"revenue": 7}}}'), ("c", '{"financial_metrics_2025": 1}')], "id string, raw_json string")
+    rows = documents.explode_kpis(documents.decoded_only(texts), "doc", ["id"])
+    generated = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate inline" in line]
+    assert len(generated) == 1 and "__doc" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: (r["raw_value"], r["numeric_value"], r["unit"], r["node_warning"]) for r in rows.filter("kpi_key = 'revenue'").collect()}
+    assert got == {"a": ("5K", 5000.0, "K", None), "b": ("7", 7.0, "$", "KPI 'revenue' node is not a dict: int"), "c": (None, None, "$", None)}
+    assert rows.count() == 48
+
+
+def test_tasks_get_partitions_of_bounded_size(spark):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    try:
+        for given, kept in (("64MB", str(8 << 20)), ("16k", "16k")):
+            spark.conf.set(size, given)
+            assert tune(spark).conf.get(size) == kept
+    finally:
+        spark.conf.set(size, before)
