@@ -17,7 +17,7 @@ def normalize_unit(unit: Column) -> Column:
     text = strip(unit)
     lower = F.lower(text)
     last = F.upper(F.right(text, F.lit(1)))
-    scaled = F.when(last.isin("M", "K", "B"), F.concat(_symbol(F.regexp_replace(lower, ".$", "")), last))
+    scaled = F.when(last.isin("M", "K", "B"), F.concat(_symbol(F.substring(lower, F.lit(1), F.length(lower) - 1)), last))
     return F.coalesce(_symbol(lower), scaled, text)
 
 

@@ -56,11 +56,26 @@ def numeric_value(raw: Column, mode: str = "reference") -> Column:
     "no value" texts need no test of their own: none of them is a number.
     """
     bare = _bare(raw)
-    last = F.translate(F.right(bare, F.lit(1)), "kmb", "KMB")
+    last = _last(bare)
+    return _scaled(raw, last, _unscaled(bare, last), mode)
+
+
+def _last(bare: Column) -> Column:
+    """Last letter of a bare text; k, m and b in upper case."""
+    return F.translate(F.right(bare, F.lit(1)), "kmb", "KMB")
+
+
+def _unscaled(bare: Column, last: Column) -> Column:
+    """Bare text without its scale letter and without commas."""
+    cut = F.when(last.isin("K", "M", "B"), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+    return F.replace(cut, F.lit(","), F.lit(""))
+
+
+def _scaled(raw: Column, last: Column, text: Column, mode: str) -> Column:
+    """Number of an unscaled text with scale and sign; one of digits and points only needs no pattern, the cast judges it alike."""
     scale = F.when(last == "K", 1e3).when(last == "M", 1e6).when(last == "B", 1e9).otherwise(1.0)
-    unscaled = F.when(last.isin("K", "M", "B"), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
-    digits = F.regexp_extract(F.replace(unscaled, F.lit(","), F.lit("")), WHOLE_NUMBER, 1)
-    number = F.replace(digits, F.lit("_"), F.lit("")).try_cast("double")
+    matched = F.replace(F.regexp_extract(text, WHOLE_NUMBER, 1), F.lit("_"), F.lit(""))
+    number = F.when(F.translate(text, "0123456789.", "") == "", text).otherwise(matched).try_cast("double")
     if mode == "intended":
         number = F.when(F.abs(number) < float("inf"), number)
     return number * scale * F.when(strip(raw).startswith("-"), -1.0).otherwise(1.0)
@@ -68,8 +83,11 @@ def numeric_value(raw: Column, mode: str = "reference") -> Column:
 
 def numeric_unit(raw: Column, value: Column) -> Column:
     """Symbol and scale letter of a text that is a number (``value`` not null), null without any."""
+    return _unit(raw, _last(_bare(raw)), value)
+
+
+def _unit(raw: Column, last: Column, value: Column) -> Column:
     symbol = F.when(raw.contains("%"), "%").when(raw.contains("$"), "$").otherwise("")
-    last = F.translate(F.right(_bare(raw), F.lit(1)), "kmb", "KMB")
     unit = F.concat(symbol, F.when(last.isin("K", "M", "B"), last).otherwise(""))
     return F.when(value.isNotNull(), F.nullif(unit, F.lit("")))
 
@@ -81,8 +99,10 @@ def parse_numeric(raw: Column, mode: str = "reference") -> Column:
 
 
 def with_parsed(df: DataFrame, raw: Column, value: str = "numeric_value", unit: str = "unit", mode: str = "reference") -> DataFrame:
-    """Adds number and unit of a text column in two steps, so the number is computed once."""
-    return df.withColumn(value, numeric_value(raw, mode)).withColumn(unit, numeric_unit(raw, F.col(value)))
+    """Adds number and unit of a text column in steps, so that bare text, scale letter and number are each computed once."""
+    bare, last, text = F.col("__bare"), F.col("__last"), F.col("__unscaled")
+    cut = df.withColumn("__bare", _bare(raw)).withColumn("__last", _last(bare)).withColumn("__unscaled", _unscaled(bare, last))
+    return cut.withColumn(value, _scaled(raw, last, text, mode)).withColumn(unit, _unit(raw, last, F.col(value))).drop("__bare", "__last", "__unscaled")
 
 
 def number_prefix(text: Column) -> Column:
