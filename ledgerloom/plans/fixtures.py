@@ -194,7 +194,7 @@ class Tables:
     @cached_property
     def raw_docs(self) -> DataFrame:
         """One JSON text per submission with KPI rows, in the forms uploads come in."""
-        built = documents.build_documents(self.kpi, "submission_id")
+        built = documents.build_documents(self.kpi_by_submission, "submission_id")
         context = F.concat(
             F.lit('{"_document_context":'),
             F.to_json(F.struct("currency", F.col("period_id").alias("period"))),
