@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from ledgerloom import dims
 from ledgerloom.operators import documents
 from ledgerloom.session import tune
 
@@ -85,3 +86,15 @@ def test_tasks_get_partitions_of_bounded_size(spark):
             assert tune(spark).conf.get(size) == kept
     finally:
         spark.conf.set(size, before)
+
+
+def test_gate_walks_through_a_document_once(spark):
+    nodes = ['{"value":"5"}', '{"value":0}', '{"value":0.0}', '{"value":"0"}', '{"value":[]}', '{"value":{"a":1}}', '{"value":null}', '{"value":true}', '"5"', "[1]", "null", "{}"]
+    sections = [f'{{"{path[0]}":{n}}}' if len(path) == 1 else f'{{"{path[0]}":{{"{path[1]}":{n}}}}}' for path in (dims.KPI_PATHS[k] for k in dims.CORE_FINANCIAL_KPIS) for n in nodes]
+    texts = [f'{{"{dims.ROOT}":{s}}}' for s in [*sections, '{"base_metrics":[1]}', "[]", "null", '"x"', "{}"]] + ["{}"]
+    found = documents.decoded_only(spark.createDataFrame(list(enumerate(texts)), "id int, raw_json string"))
+    passed = documents.filter_financial_docs(found)
+    assert passed.columns == found.columns
+    assert {r[0] for r in passed.select("id").collect()} == {r[0] for r in found.filter(documents.is_financial(F.col("doc"))).select("id").collect()}
+    plan = passed._jdf.queryExecution().optimizedPlan().toString()
+    assert "['value'], StringType" not in plan
